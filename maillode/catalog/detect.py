@@ -42,22 +42,11 @@ def _magic(i: Column) -> Column:
 def typed_occurrences(spark, sf_dir) -> DataFrame:
     """The occurrence view with leading bytes of many formats, and awkward names."""
     i = F.col("doc_id")
-    documents = corpus.table(spark, sf_dir, "documents")
-    view = corpus.occurrences(spark, sf_dir).join(documents.select("doc_id", "text"), "doc_id")
-    content = F.concat(_magic(i), F.encode("text", "UTF-8"))
-    odd_name = F.when(i % 5 == 0, F.format_string('a"b/c\\d​\n %d.text', i)).when(
-        i % 5 == 1, F.concat(F.lit("long ") , F.repeat(F.lit("x"), 130))
-    )
-    return (
-        view.withColumn("content", content)
-        .withColumn("kind", sniff.sniff(F.col("content")))
-        .withColumn("sha256", F.sha2("content", 256))
-        .withColumn("size", F.octet_length("content").cast("long"))
-        .withColumn("sniffed_type", F.col("kind.sniffed_type"))
-        .withColumn("sniffed_ext", F.col("kind.sniffed_ext"))
-        .withColumn("filename", F.when(i % 3 != 2, F.coalesce(odd_name, "filename")))
-        .drop("text", "content", "kind")
+    odd_name = F.when(i % 5 == 0, F.format_string('a"b/c\\d\u200b\n\xa0%d.text', i)).when(
+        i % 5 == 1, F.concat(F.lit("long "), F.repeat(F.lit("x"), 130))
     )
+    name = F.when(i % 3 != 2, F.coalesce(odd_name, "filename"))
+    return corpus.occurrences(spark, sf_dir, _magic(i)).withColumn("filename", name)
 
 
 TYPED = f"""{sql.OCC},
@@ -260,10 +249,10 @@ SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE nullif(trim(regexp_repla
 )
 def clean_text(spark, sf_dir):
     dirty = F.concat(
-        F.lit(" \x00\t "), F.replace("text", F.lit(". "), F.lit(".\x00  \x1f\n\x00")),
-        F.lit("\r\n\x00　"),
+        F.lit("\u2003\x00\t "), F.replace("text", F.lit(". "), F.lit(".\x00 \u00a0\x1f\n\x00")),
+        F.lit("\r\n\x00\u3000"),
     )
-    blank = F.lit(" \x00\t  ")
+    blank = F.lit(" \x00\t\u2009 ")
     kept = F.when(F.col("doc_id") % 50 == 7, blank).otherwise(dirty)
     documents = corpus.table(spark, sf_dir, "documents")
     return documents.select("doc_id", text.clean(kept).alias("cleaned"))

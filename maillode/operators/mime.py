@@ -13,7 +13,9 @@ import email.policy
 import hashlib
 from collections.abc import Iterator, Sequence
 from email.message import Message
+from email.policy import EmailPolicy
 from email.utils import getaddresses
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -75,14 +77,31 @@ BYTES_PER_BATCH = 32 << 20
 # --- the stage: one message in, one record out -------------------------------
 
 
-def read_message(raw: bytes) -> tuple[Message | None, str | None]:
+SHORT_HEADER = 1000
+
+
+def modern_policy() -> EmailPolicy:
+    """The modern policy, parsing equal headers once.
+
+    It parses a header anew at each look, some forty times a message. Parsed
+    headers are immutable and mostly repeat, so each task keeps the short ones.
+    """
+    parse = email.policy.default.header_factory
+    parse_kept = lru_cache(maxsize=8192)(parse)
+
+    def parse_header(name: str, value: str):
+        return (parse_kept if len(value) <= SHORT_HEADER else parse)(name, value)
+
+    return email.policy.default.clone(header_factory=parse_header)
+
+
+def read_message(raw: bytes, modern: EmailPolicy) -> tuple[Message | None, str | None]:
     """Parse under the modern policy, then the lenient one, else report why not."""
     problem = None
-    for policy, note in ((email.policy.default, "compat32 fallback"), (None, "unparseable")):
+    policies = ((modern, "compat32 fallback"), (email.policy.compat32, "unparseable"))
+    for policy, note in policies:
         try:
-            if policy is None:
-                return email.message_from_bytes(raw), problem
-            return email.message_from_bytes(raw, policy=policy), None
+            return email.message_from_bytes(raw, policy=policy), problem
         except Exception as exc:
             problem = f"{note}: {exc!r}"
     return None, problem
@@ -250,11 +269,15 @@ def _storable(value: str | None) -> str | None:
 
 
 def message_record(
-    raw: bytes | None, read_error: str | None, parts: str | None, bodies: bool
+    raw: bytes | None,
+    read_error: str | None,
+    parts: str | None,
+    bodies: bool,
+    modern: EmailPolicy,
 ) -> dict:
     if raw is None:
         return {"read_error": read_error or "no bytes"}
-    message, parse_error = read_message(raw)
+    message, parse_error = read_message(raw, modern)
     record = {"parse_error": parse_error}
     if message is None:
         return record
@@ -304,12 +327,13 @@ def _message_stage(source: DataFrame, column: str, load, parts, bodies) -> DataF
                 columns + added, kept_names + [n for n, _ in arrow_types]
             )
 
+        modern = modern_policy()
         for batch in batches:
             inputs = batch.column(batch.schema.get_field_index(column))
             start, held, records = 0, 0, []
             for i in range(len(inputs)):
                 raw, problem = load(inputs[i].as_py())
-                records.append(message_record(raw, problem, parts, bodies))
+                records.append(message_record(raw, problem, parts, bodies, modern))
                 held += len(raw or b"")
                 if held >= BYTES_PER_BATCH or len(records) == ROWS_PER_BATCH:
                     yield emit(batch, start, i + 1, records)

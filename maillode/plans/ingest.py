@@ -13,10 +13,12 @@ files or written tables, so a lost executor costs its tasks and nothing more.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from email.policy import EmailPolicy
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,7 @@ from ..operators.mime import (
     attachment_rows,
     body_rows,
     message_rows,
+    modern_policy,
     parse_files,
     part_bytes,
     read_message,
@@ -141,10 +144,11 @@ def blob_contents(blobs: DataFrame) -> DataFrame:
 
 
 def _content_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    modern = modern_policy()
     for batch in batches:
         rows, held = [], 0
         for want in batch.to_pylist():
-            content, error = part_content(want["maildir_path"], want["part_path"], want["sha256"])
+            content, error = part_content(**want, modern=modern)
             rows.append((want["sha256"][:2], want["sha256"], content, error))
             held += len(content or b"")
             if held >= CONTENT_PER_BATCH:
@@ -166,14 +170,14 @@ def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def part_content(path: str, part_path: str, sha256: str) -> tuple[bytes | None, str | None]:
+def part_content(
+    maildir_path: str, part_path: str, sha256: str, modern: EmailPolicy
+) -> tuple[bytes | None, str | None]:
     """Bytes of one part of one message file, checked against its digest."""
-    import hashlib
-
-    raw, error = read_file(path)
+    raw, error = read_file(maildir_path)
     if raw is None:
         return None, error
-    message, error = read_message(raw)
+    message, error = read_message(raw, modern)
     if message is None:
         return None, error
     for address, part in addressed_parts(message):

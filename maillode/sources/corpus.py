@@ -71,10 +71,13 @@ def _placed(documents: DataFrame, name: Column) -> DataFrame:
     return documents.withColumn("folder", folder).withColumn("maildir_path", path)
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as the occurrence view, one row per document."""
+def occurrences(spark: SparkSession, sf_dir: str, lead: Column | None = None) -> DataFrame:
+    """``documents`` as the occurrence view, one row per document.
+
+    ``lead`` puts bytes before each text, to make files of other types.
+    """
     i = F.col("doc_id")
-    content = F.encode("text", "UTF-8")
+    content = F.encode("text", "UTF-8") if lead is None else F.concat(lead, F.encode("text", "UTF-8"))
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     placed = _placed(documents, F.concat(F.lit("d"), i))
     date = F.format_string("%d-0%d-1%dT09:15:00+01:00", i % 12 + 2002, i % 9 + 1, i % 10)
@@ -87,14 +90,14 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "maildir_path",
             F.lit("2").alias("part_path"),
-            F.sha2("text", 256).alias("sha256"),
+            F.sha2(content, 256).alias("sha256"),
             F.when(i % 7 != 0, name).alias("filename"),
             F.when(i % 4 == 0, "application/octet-stream")
             .when(i % 4 == 1, "text/plain")
             .when(i % 4 == 2, "image/png")
             .alias("mime_declared"),
             F.lit(False).alias("decode_failed"),
-            F.octet_length("text").cast("long").alias("size"),
+            F.octet_length(content).cast("long").alias("size"),
             "kind.sniffed_type",
             "kind.sniffed_ext",
             "folder",
