@@ -151,6 +151,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw message per document: (doc_id, maildir_path, folder, mtime, size, raw)."""
     i = F.col("doc_id")
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    documents = spread(documents, "doc_id")
     epoch = F.format_string("%d.d%d", i + 1362000000, i)
     placed = _placed(documents, F.when(i % 4 == 2, F.format_string("d%d.x", i)).otherwise(epoch))
     raw = F.encode(_message_text(i), "UTF-8")
