@@ -12,7 +12,9 @@ import sys
 
 from pyspark import cloudpickle
 
-# Python stages travel with the plan, so executors need no installed copy.
+# Python stages travel with the plan, so executors need no installed copy. A
+# stage must name the functions it uses, not their module: a module would be
+# sent whole, and with it what belongs to the driver.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __version__ = "0.1.0"

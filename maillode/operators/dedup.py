@@ -52,10 +52,12 @@ def join_unique(
 
 
 def _split_join(rows, lookup, hot_keys, key, how) -> DataFrame:
-    hot_lookup = lookup.join(hot_keys.select(key), key, "left_semi")
+    hot_keys = hot_keys.select(key)
+    hot_lookup = hot_keys.join(lookup, key, "left" if how == "left" else "inner")
     hot = rows.join(F.broadcast(hot_lookup), key, "left_semi" if how == "left_semi" else "inner")
-    rest = rows.join(F.broadcast(hot_lookup.select(key)), key, "left_anti")
-    return hot.unionByName(rest.join(lookup, key, how))
+    rest = rows.join(F.broadcast(hot_keys), key, "left_anti").join(lookup, key, how)
+    both = hot.unionByName(rest)
+    return both.select(rows.columns) if how == "left_semi" else both
 
 
 def with_copies(rows: DataFrame, attachments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

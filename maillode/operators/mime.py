@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import headers, names, text
+from ..functions.headers import rfc2047, rfc5322_iso
 from ..functions.sniff import CONTAINER_BYTES, sniff
 from ..sources.maildir import read_file
 
@@ -169,7 +170,7 @@ def part_record(address: str, part: Message, with_content: bool) -> dict:
         if declared is None:
             declared = part.get_param("name", header="content-type")
         record["filename_raw"] = _storable(str(declared)) if declared else None
-        record["filename"] = _storable(headers.rfc2047(record["filename_raw"]))
+        record["filename"] = _storable(rfc2047(record["filename_raw"]))
         content_id = part.get("Content-ID")
         record["content_id"] = _storable(str(content_id)) if content_id else None
         content, record["decode_failed"] = part_bytes(part)
@@ -197,7 +198,7 @@ def part_records(message: Message, with_content: bool) -> list[dict]:
 def header_record(message: Message) -> dict:
     def decoded(name: str) -> str | None:
         value = message.get(name)
-        return _storable(headers.rfc2047(str(value))) if value else None
+        return _storable(rfc2047(str(value))) if value else None
 
     date = _date_header(message)
     return {
@@ -209,7 +210,7 @@ def header_record(message: Message) -> dict:
         "from_addrs": addresses(message, ("From",)),
         "to_addrs": addresses(message, RECIPIENT_HEADERS),
         "date_raw": date,
-        "date_header": headers.rfc5322_iso(_squeezed(date)),
+        "date_header": rfc5322_iso(_squeezed(date)),
     }
 
 
