@@ -35,6 +35,12 @@ def _documents(spark, sf_dir) -> DataFrame:
     return corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), "text", "lang")
 
 
+def _sniffed(contents: DataFrame) -> DataFrame:
+    """The other columns and the detected type of the content in ``c``."""
+    others = [c for c in contents.columns if c != "c"]
+    return contents.select(*others, sniff.sniff("c").alias("k")).select(*others, "k.*")
+
+
 def _magic(i: Column) -> Column:
     return F.unhex(F.element_at(F.array(*map(F.lit, MAGIC)), (i % len(MAGIC) + 1).cast("int")))
 
@@ -74,7 +80,7 @@ typed AS (
 )
 def sniff_types(spark, sf_dir):
     content = F.concat(_magic(F.col("i")), F.encode("text", "UTF-8"))
-    return _documents(spark, sf_dir).select("i", sniff.sniff(content).alias("k")).select("i", "k.*")
+    return _sniffed(_documents(spark, sf_dir).select("i", content.alias("c")))
 
 
 ZIP_FILLER = 5000
@@ -99,8 +105,7 @@ def sniff_zip(spark, sf_dir):
     filler = F.when(i % 7 == 0, F.repeat(F.lit("x"), ZIP_FILLER)).otherwise("")
     marker = pick(*(m for m, _, _ in sniff.ZIP_MARKERS), "META-INF/")
     tail = F.encode(F.concat(filler, marker, F.col("text")), "UTF-8")
-    kind = sniff.sniff(F.concat(head, tail)).alias("k")
-    return _documents(spark, sf_dir).select("i", kind).select("i", "k.*")
+    return _sniffed(_documents(spark, sf_dir).select("i", F.concat(head, tail).alias("c")))
 
 
 @query(
@@ -121,9 +126,7 @@ def sniff_text(spark, sf_dir):
             F.encode("html", "UTF-8").alias("c"),
         )
     )
-    return contents.select("origin", "i", sniff.sniff(F.col("c")).alias("k")).select(
-        "origin", "i", "k.*"
-    )
+    return _sniffed(contents)
 
 
 # --- character sets ----------------------------------------------------------

@@ -77,58 +77,56 @@ PREFIXES = (
 )
 
 
-def sniff(data: Column) -> Column:
-    """Struct (sniffed_type, sniffed_ext); both NULL for bytes no rule names.
+def sniff(column: str) -> Column:
+    """Struct (sniffed_type, sniffed_ext) of a BINARY column; both NULL for bytes no rule names.
 
-    ``data`` may be the whole file or any prefix of at least 4,096 bytes.
+    The column may hold the whole file or any prefix of at least 4,096 bytes.
+    The rules are handed to Spark as one SQL expression, which it parses at once;
+    as many Column calls would take longer than the query.
     """
-    head = F.substring(data, 1, HEAD_BYTES)
-    latin = F.decode(head, "ISO-8859-1")
-    rules = (
-        _container_rules(data)
-        + [(F.substring(data, 5, 8) == _ascii(b), "video/mp4", "mp4") for b in MP4_BRANDS]
-        + [
+    return F.expr(sniff_sql(column))
+
+
+def sniff_sql(data: str) -> str:
+    head = f"substring({data}, 1, {HEAD_BYTES})"
+    latin = f"decode({head}, 'ISO-8859-1')"
+    is_zip = f"substring({data}, 1, 4) IN ({', '.join(map(_hex, ZIP_HEADS))})"
+    window = f"substring({data}, 1, {CONTAINER_BYTES})"
+    rules = [
+        *(
+            (f"{is_zip} AND contains({window}, {_ascii(marker)})", mime, ext)
+            for marker, mime, ext in ZIP_MARKERS
+        ),
+        (is_zip, "application/zip", "zip"),
+        (
+            f"substring({data}, 5, 8) IN ({', '.join(map(_ascii, MP4_BRANDS))})",
+            "video/mp4",
+            "mp4",
+        ),
+        *(
             (
-                F.startswith(data, _ascii("RIFF")) & (F.substring(data, 9, 4) == _ascii(form)),
+                f"startswith({data}, {_ascii('RIFF')}) AND substring({data}, 9, 4) = {_ascii(form)}",
                 mime,
                 ext,
             )
             for form, mime, ext in RIFF_FORMS
-        ]
-        + [(F.startswith(data, _bytes(prefix)), mime, ext) for prefix, mime, ext in PREFIXES]
-        + [
-            (latin.rlike(r"(?i)^[\t-\r ]*<\?xml"), "application/xml", "xml"),
-            (latin.rlike(r"(?i)^[\t-\r ]*<(html|!doct)"), "text/html", "html"),
-            (F.is_valid_utf8(head), "text/plain", "txt"),
-        ]
-    )
-    condition, mime, ext = rules[0]
-    case = F.when(condition, _kind(mime, ext))
-    for condition, mime, ext in rules[1:]:
-        case = case.when(condition, _kind(mime, ext))
-    return case.otherwise(_kind(None, None))
-
-
-def _container_rules(data: Column) -> list[tuple[Column, str, str]]:
-    is_zip = F.substring(data, 1, 4).isin([_bytes(h) for h in ZIP_HEADS])
-    window = F.substring(data, 1, CONTAINER_BYTES)
-    marked = [
-        (is_zip & F.contains(window, _ascii(marker)), mime, ext)
-        for marker, mime, ext in ZIP_MARKERS
+        ),
+        *((f"startswith({data}, {_hex(prefix)})", mime, ext) for prefix, mime, ext in PREFIXES),
+        (rf"{latin} RLIKE r'(?i)^[\t-\r ]*<\?xml'", "application/xml", "xml"),
+        (rf"{latin} RLIKE r'(?i)^[\t-\r ]*<(html|!doct)'", "text/html", "html"),
+        (f"is_valid_utf8({head})", "text/plain", "txt"),
     ]
-    return marked + [(is_zip, "application/zip", "zip")]
+    whens = " ".join(f"WHEN {test} THEN {_kind(repr(m), repr(e))}" for test, m, e in rules)
+    return f"CASE {whens} ELSE {_kind('CAST(NULL AS STRING)', 'CAST(NULL AS STRING)')} END"
 
 
-def _kind(mime: str | None, ext: str | None) -> Column:
-    return F.struct(
-        F.lit(mime).cast("string").alias("sniffed_type"),
-        F.lit(ext).cast("string").alias("sniffed_ext"),
-    )
+def _kind(mime: str, ext: str) -> str:
+    return f"named_struct('sniffed_type', {mime}, 'sniffed_ext', {ext})"
 
 
-def _bytes(hexa: str) -> Column:
-    return F.lit(bytes.fromhex(hexa))
+def _hex(hexa: str) -> str:
+    return f"X'{hexa}'"
 
 
-def _ascii(text: str) -> Column:
-    return F.lit(text.encode("ascii"))
+def _ascii(text: str) -> str:
+    return _hex(text.encode("ascii").hex())

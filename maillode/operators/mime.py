@@ -372,7 +372,7 @@ def attachment_rows(parsed: DataFrame, min_size: int = 1) -> DataFrame:
         & (part["size"] >= min_size)
     )
     return (
-        kept.withColumn("kind", sniff(part["head"]))
+        kept.withColumn("kind", sniff("part.head"))
         .withColumn("content_id", text.clean(part["content_id"]))
         .withColumn("named_as", text.clean(part["filename"]))
         .select(

@@ -85,19 +85,20 @@ def occurrences(spark: SparkSession, sf_dir: str, lead: Column | None = None) ->
         F.format_string("doc_%d.txt", i % 13)
     )
     return (
-        placed.withColumn("kind", sniff(content))
+        placed.withColumn("content", content)
+        .withColumn("kind", sniff("content"))
         .withColumn("date_parsed", F.when(i % 10 != 0, date))
         .select(
             "maildir_path",
             F.lit("2").alias("part_path"),
-            F.sha2(content, 256).alias("sha256"),
+            F.sha2("content", 256).alias("sha256"),
             F.when(i % 7 != 0, name).alias("filename"),
             F.when(i % 4 == 0, "application/octet-stream")
             .when(i % 4 == 1, "text/plain")
             .when(i % 4 == 2, "image/png")
             .alias("mime_declared"),
             F.lit(False).alias("decode_failed"),
-            F.octet_length(content).cast("long").alias("size"),
+            F.octet_length("content").cast("long").alias("size"),
             "kind.sniffed_type",
             "kind.sniffed_ext",
             "folder",

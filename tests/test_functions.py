@@ -60,13 +60,13 @@ SNIFFED = [
 
 
 def test_sniff_literals(spark):
-    got = apply(spark, [d for d, _ in SNIFFED], sniff.sniff, "binary")
+    got = apply(spark, [d for d, _ in SNIFFED], lambda c: sniff.sniff("v"), "binary")
     assert [r.sniffed_ext for r in got] == [ext for _, ext in SNIFFED]
 
 
 def test_every_prefix_names_its_type(spark):
     data = [bytes.fromhex(p) + b"\xff\x00" for p, _, _ in sniff.PREFIXES]
-    got = apply(spark, data, sniff.sniff, "binary")
+    got = apply(spark, data, lambda c: sniff.sniff("v"), "binary")
     assert [(r.sniffed_type, r.sniffed_ext) for r in got] == [(m, e) for _, m, e in sniff.PREFIXES]
 
 
