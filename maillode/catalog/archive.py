@@ -39,7 +39,7 @@ def occurrence_view(spark, sf_dir):
 def message_detail(spark, sf_dir):
     attachments, blobs, messages = corpus.occurrence_tables(spark, sf_dir)
     opened = join_unique(attachments, blobs, "sha256")
-    return join_unique(opened, messages, "maildir_path").select(
+    return opened.join(messages, "maildir_path").select(
         "maildir_path", "part_path", "folder", "subject", "date_parsed", "filename", "size"
     )
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.names import DIGEST, effective_type
+from ..functions.names import effective_type
 from ..functions.text import ascii_fold, like_ascii
+from ..sources.scratch import scratch
 from .dedup import OCCURRENCE_KEY, collapse, digest_counts, only_duplicated, with_copies
 
 PAGE_SIZE = 120
@@ -169,6 +170,9 @@ def deep_page(rows: DataFrame, order: list[Column], skip: int, size: int) -> Dat
     The sorted rows are checkpointed so that both passes see the same
     partitions; only one count per partition is brought together.
     """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
     serial = F.monotonically_increasing_id()
     per_partition = F.lit(1 << 33)
     ordered = (

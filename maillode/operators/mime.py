@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import headers, names, text
 from ..functions.headers import rfc2047, rfc5322_iso
-from ..functions.sniff import CONTAINER_BYTES, sniff
+from ..functions.sniff import CONTAINER_BYTES, sniff, sniff_sql
 from ..sources.maildir import read_file
 
 PART = T.StructType(
@@ -362,17 +362,33 @@ def explode_parts(parsed: DataFrame) -> DataFrame:
     return parsed.select("maildir_path", F.explode("parts").alias("part"))
 
 
+def with_kinds(parsed: DataFrame) -> DataFrame:
+    """Put the detected type of each part in place of its bytes, for storing."""
+    kept = [f for f in PART.names if f not in ("head", "content")]
+    fields = ", ".join(f"'{f}', p.{f}" for f in kept)
+    described = f"named_struct({fields}, 'kind', {sniff_sql('p.head')})"
+    return parsed.withColumn("parts", F.expr(f"transform(parts, p -> {described})"))
+
+
+def _kind_of_part(parsed: DataFrame) -> Column:
+    fields = parsed.schema["parts"].dataType.elementType.names
+    return F.col("part.kind") if "kind" in fields else sniff("part.head")
+
+
 def attachment_rows(parsed: DataFrame, min_size: int = 1) -> DataFrame:
-    """One row per attachment occurrence, with its detected type and final name."""
+    """One row per attachment occurrence, with its detected type and final name.
+
+    A message that could not be indexed gets none, as it is tried again next time.
+    """
     part = F.col("part")
-    kept = explode_parts(parsed).filter(
+    kept = explode_parts(parsed.filter(F.col("index_error").isNull())).filter(
         part["part_error"].isNull()
         & is_attachment(part)
         & part["size"].isNotNull()
         & (part["size"] >= min_size)
     )
     return (
-        kept.withColumn("kind", sniff("part.head"))
+        kept.withColumn("kind", _kind_of_part(parsed))
         .withColumn("content_id", text.clean(part["content_id"]))
         .withColumn("named_as", text.clean(part["filename"]))
         .select(

@@ -4,11 +4,11 @@
 2. parse what is left once, writing headers, part descriptions and body text,
    but no attachment bytes, to a staging table;
 3. derive messages, attachments, bodies and new blobs from the staging table;
-4. for each new digest, read again the one message chosen to supply its bytes.
+4. read again the messages chosen to supply the bytes of new digests, each once.
 
-Attachment bytes are never shuffled: step 4 orders the (digest, path) pairs by
-digest and reads files where their content is to be written. Every step reads
-files or written tables, so a lost executor costs its tasks and nothing more.
+Attachment bytes are never shuffled and never staged: step 4 spreads (message,
+part) pairs and reads each file in the task that writes its content. Every step
+reads files or written tables, so a lost executor costs its tasks and no more.
 """
 
 from __future__ import annotations
@@ -33,16 +33,19 @@ from ..operators.mime import (
     message_rows,
     modern_policy,
     parse_files,
+    parse_messages,
     part_bytes,
     read_message,
+    with_kinds,
 )
 from ..sources.maildir import read_file, scan_maildir, with_file_stats
 from .store import IndexStore
 
-# Aims for tasks that fit an executor: mail read per task, content per written file.
+# Aims for tasks that fit an executor. The cap keeps the shuffle of paths to a
+# sensible number of blocks; a task streams its files, so more bytes cost only time.
 BYTES_PER_TASK = 128 << 20
 FILES_PER_TASK = 20_000
-MAX_TASKS = 200_000
+MAX_TASKS = 20_000
 CONTENT_PER_BATCH = 32 << 20
 
 
@@ -62,99 +65,129 @@ def ingest(
 
 
 def ingest_files(
-    files: DataFrame, out: str, options: IngestOptions = IngestOptions(), run: str | None = None
+    files: DataFrame, out: str, options: IngestOptions = IngestOptions(), raws: DataFrame | None = None
 ) -> DataFrame:
-    """Index the files of (maildir_path, folder)."""
-    spark = files.sparkSession
-    store = IndexStore(spark, out)
-    run = run or f"run-{uuid.uuid4().hex}"
+    """Index the files of (maildir_path, folder).
+
+    Where mail is not on a path the executors can open, ``raws`` gives the bytes
+    as (maildir_path, raw), and ``files`` brings mtime and size.
+    """
+    store = IndexStore(files.sparkSession, out)
+    run = f"run-{uuid.uuid4().hex}"
     version, current = store.manifest()
     stage = f"{store.root}/staging/{run}"
 
-    scanned = _written(with_file_stats(files), f"{stage}/scanned")
+    scanned = files.withColumn("read_error", F.lit(None).cast("string"))
+    if raws is None:
+        scanned = with_file_stats(files)
+    scanned = _written(scanned, f"{stage}/scanned")
     known = store.read_from(current, "messages")
-    readable = scanned.filter(F.col("read_error").isNull()).drop("read_error")
-    todo = readable if options.reparse else incremental.skip_known(readable, known)
+    todo = scanned.filter(F.col("read_error").isNull()).drop("read_error")
+    if not options.reparse:
+        todo = incremental.skip_known(todo, known)
     todo = _written(incremental.first_files(todo, options.limit), f"{stage}/todo")
 
-    parsed = parse_files(_sized_for_reading(todo), parts="meta", bodies=True)
-    parsed = _written(parsed, f"{stage}/parsed")
-
-    messages = message_rows(parsed, options.me)
-    # A message that could not be indexed gets no rows and is tried again next time.
-    attachments = attachment_rows(parsed.filter(F.col("index_error").isNull()), options.min_size)
-    found = blob_rows(attachments)
-    blobs = _written(
-        incremental.unseen(found, store.read_from(current, "blobs")), f"{stage}/blobs"
-    )
+    parsed = _written(_parsed(todo, raws), f"{stage}/parsed")
+    attachments = attachment_rows(parsed, options.min_size)
+    fresh = incremental.unseen(blob_rows(attachments), store.read_from(current, "blobs"))
+    fresh = _written(fresh, f"{stage}/blobs")
 
-    replaced = known.join(messages.select("maildir_path"), "maildir_path", "left_semi")
-    rewrites = version > 0 and not replaced.isEmpty()
     following = {name: list(found) for name, found in current.items()}
-
-    def add(name: str, frame: DataFrame) -> None:
-        if rewrites and name in ("messages", "attachments", "bodies"):
-            old = store.read_from(current, name)
-            frame = incremental.replace_children(old, frame.select(*old.columns), messages)
-            following[name] = [store.write(frame, name, run)]
-        else:
-            following.setdefault(name, []).append(store.write(frame, name, run))
-
-    add("messages", messages)
-    add("attachments", attachments)
-    add("bodies", body_rows(parsed))
-    add("blobs", blobs)
-    add("blob_content", blob_contents(blobs))
-    statistics = incremental.run_statistics(scanned, todo, parsed, attachments, blobs)
-    add("runs", statistics.withColumn("run", F.lit(run)))
+    if not todo.isEmpty():
+        tables = {
+            "messages": message_rows(parsed, options.me),
+            "attachments": attachments,
+            "bodies": body_rows(parsed),
+        }
+        _add_replacing(store, run, current, following, tables)
+        _add(store, run, following, "blobs", fresh)
+        _add(store, run, following, "blob_content", blob_contents(fresh, raws))
+    statistics = incremental.run_statistics(scanned, todo, parsed, attachments, fresh)
+    _add(store, run, following, "runs", statistics.withColumn("run", F.lit(run)))
     store.commit(following, version + 1)
     return store.read("runs").filter(F.col("run") == run)
 
 
+def _parsed(todo: DataFrame, raws: DataFrame | None) -> DataFrame:
+    """Messages opened, with the type of each part in place of its leading bytes."""
+    if raws is not None:
+        found = todo.join(raws.select("maildir_path", "raw"), "maildir_path", "left")
+        return with_kinds(parse_messages(found, bodies=True))
+    total, count = todo.agg(F.sum("size"), F.count("*")).first()
+    spread = todo.repartition(_tasks(total or 0, count), "maildir_path")
+    return with_kinds(parse_files(spread, bodies=True))
+
+
+def _add(store: IndexStore, run: str, following: dict, name: str, frame: DataFrame) -> None:
+    following.setdefault(name, []).append(store.write(frame, name, run))
+
+
+def _add_replacing(store: IndexStore, run: str, current: dict, following: dict, tables: dict):
+    """Append the rows of new messages; rewrite the tables if stored messages came again."""
+    messages = tables["messages"].select("maildir_path")
+    known = store.read_from(current, "messages")
+    if known.join(messages, "maildir_path", "left_semi").isEmpty():
+        for name, frame in tables.items():
+            _add(store, run, following, name, frame)
+        return
+    for name, frame in tables.items():
+        old = store.read_from(current, name)
+        frame = incremental.replace_children(old, frame.select(*old.columns), messages)
+        following[name] = [store.write(frame, name, run)]
+
+
 def _written(frame: DataFrame, path: str) -> DataFrame:
     frame.write.mode("overwrite").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _sized_for_reading(files: DataFrame) -> DataFrame:
-    """Spread files by path into tasks of a bounded number of bytes and files."""
-    total, count = files.agg(F.sum("size"), F.count("*")).first()
-    return files.repartition(_tasks(total or 0, count), "maildir_path")
-
-
 def _tasks(total: int, count: int) -> int:
     wanted = max(math.ceil(total / BYTES_PER_TASK), math.ceil(count / FILES_PER_TASK), 8)
     return min(wanted, MAX_TASKS)
 
 
-def blob_contents(blobs: DataFrame) -> DataFrame:
+def blob_contents(blobs: DataFrame, raws: DataFrame | None = None) -> DataFrame:
     """Bytes of each digest of (sha256, size, maildir_path, part_path).
 
-    Digests are uniform, so ranges of them make even tasks, and files sorted by
-    digest let a lookup skip all row groups but one. A file that has changed
-    since it was parsed leaves its digest without content and says so.
+    Rows of one message stand together, so it is opened once for all of them. A
+    file that has changed since it was parsed leaves its digest without content
+    and says so.
     """
-    total, count = blobs.agg(F.sum("size"), F.count("*")).first()
     wanted = blobs.select("sha256", "maildir_path", "part_path")
-    ordered = wanted.repartitionByRange(_tasks(total or 0, count), "sha256").sortWithinPartitions(
-        "sha256"
-    )
-    schema = "sha_prefix string, sha256 string, content binary, content_error string"
-    return ordered.mapInArrow(_content_stage, schema)
+    if raws is not None:
+        found = wanted.join(raws.select("maildir_path", "raw"), "maildir_path", "left")
+        return found.mapInArrow(content_stage(lambda want: (want["raw"], None)), CONTENT)
+    total, count = blobs.agg(F.sum("size"), F.count("*")).first()
+    spread = wanted.repartition(_tasks(total or 0, count), "maildir_path")
+    ordered = spread.sortWithinPartitions("maildir_path")
+    return ordered.mapInArrow(content_stage(lambda want: read_file(want["maildir_path"])), CONTENT)
+
+
+CONTENT = "sha_prefix string, sha256 string, content binary, content_error string"
+
+
+def content_stage(load):
+    """Arrow stage from (sha256, maildir_path, part_path) to the content of each."""
 
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        modern = modern_policy()
+        opened, parts, problem = None, {}, None
+        for batch in batches:
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                want = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                if want["maildir_path"] != opened:
+                    opened = want["maildir_path"]
+                    parts, problem = open_parts(*load(want), modern)
+                content, error = checked_content(parts, problem, want)
+                rows.append((want["sha256"][:2], want["sha256"], content, error))
+                held += len(content or b"")
+                if held >= CONTENT_PER_BATCH:
+                    yield _content_batch(rows)
+                    rows, held = [], 0
+            yield _content_batch(rows)
 
-def _content_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    modern = modern_policy()
-    for batch in batches:
-        rows, held = [], 0
-        for want in batch.to_pylist():
-            content, error = part_content(**want, modern=modern)
-            rows.append((want["sha256"][:2], want["sha256"], content, error))
-            held += len(content or b"")
-            if held >= CONTENT_PER_BATCH:
-                yield _content_batch(rows)
-                rows, held = [], 0
-        yield _content_batch(rows)
+    return stage
 
 
 def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -170,19 +203,22 @@ def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def part_content(
-    maildir_path: str, part_path: str, sha256: str, modern: EmailPolicy
-) -> tuple[bytes | None, str | None]:
-    """Bytes of one part of one message file, checked against its digest."""
-    raw, error = read_file(maildir_path)
+def open_parts(raw: bytes | None, problem: str | None, modern: EmailPolicy):
+    """Parts of a message by address, or why there are none."""
     if raw is None:
-        return None, error
-    message, error = read_message(raw, modern)
+        return {}, problem or "no bytes"
+    message, problem = read_message(raw, modern)
     if message is None:
-        return None, error
-    for address, part in addressed_parts(message):
-        if address == part_path:
-            content, _ = part_bytes(part)
-            if content is not None and hashlib.sha256(content).hexdigest() == sha256:
-                return content, None
-    return None, "message changed since it was indexed"
+        return {}, problem
+    try:
+        return dict(addressed_parts(message)), None
+    except Exception as exc:
+        return {}, repr(exc)
+
+
+def checked_content(parts: dict, problem: str | None, want: dict) -> tuple[bytes | None, str | None]:
+    part = parts.get(want["part_path"])
+    content = part_bytes(part)[0] if part is not None else None
+    if content is None or hashlib.sha256(content).hexdigest() != want["sha256"]:
+        return None, problem or "message changed since it was indexed"
+    return content, None

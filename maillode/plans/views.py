@@ -35,9 +35,13 @@ GONE = "(the message file is no longer at the path recorded here)"
 
 
 def occurrence_view(attachments: DataFrame, blobs: DataFrame, messages: DataFrame) -> DataFrame:
-    """Every occurrence with its file and its message, and the year of the date."""
+    """Every occurrence with its file and its message, and the year of the date.
+
+    One file may occur anywhere, so that join is split by hot digest. The parts
+    of one message are few, so the other is left to Spark.
+    """
     with_file = join_unique(attachments, blobs, "sha256")
-    joined = join_unique(with_file, messages, "maildir_path")
+    joined = with_file.join(messages, "maildir_path")
     return joined.withColumn("year", year_of(F.col("date_parsed")))
 
 
@@ -53,13 +57,13 @@ def message_heads(opened: DataFrame, messages: DataFrame, bodies: DataFrame) ->
     with_body = head.join(bodies, "maildir_path", "left").withColumn(
         "body", F.coalesce("body", F.lit(GONE))
     )
-    return join_unique(opened.select("maildir_path", "part_path"), with_body, "maildir_path")
+    return opened.select("maildir_path", "part_path").join(with_body, "maildir_path")
 
 
 def message_parts(opened: DataFrame, attachments: DataFrame, blobs: DataFrame) -> DataFrame:
     """All parts of the messages opened, each part once, in text order of its address."""
     messages = opened.select("maildir_path").distinct()
-    siblings = join_unique(attachments, messages, "maildir_path", "left_semi")
+    siblings = attachments.join(messages, "maildir_path", "left_semi")
     return join_unique(siblings, blobs, "sha256").orderBy("maildir_path", "part_path")
 
 

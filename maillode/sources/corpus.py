@@ -8,8 +8,6 @@ follow closed forms over ``doc_id`` and ``source`` that SQL can restate.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import year_of
 from ..functions.sniff import sniff
+from .scratch import scratch  # noqa: F401
 
 FOLDERS = (
     "INBOX",
@@ -37,14 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder the cluster shares, or in a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="maillode-")
-    return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
-
-
 def spread(frame: DataFrame, key: str) -> DataFrame:
     """Spread a table of fewer files than cores before a stage that is slow per row.
 
@@ -290,11 +281,15 @@ def write_files(files: DataFrame, root: str) -> int:
     """
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             written = 0
             for path, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 target = root + path.removeprefix(MAIL_ROOT)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                directory = os.path.dirname(target)
+                if directory not in made:
+                    os.makedirs(directory, exist_ok=True)
+                    made.add(directory)
                 with open(target, "wb") as handle:
                     handle.write(raw)
                 os.utime(target, (1362000000, 1362000000))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.headers import folder_of
 from ..operators.incremental import unseen
 from ..plans.ingest import IngestOptions, ingest_files
-from ..sources.maildir import resolve_root
+from ..sources.maildir import SKIPPED_DIR, resolve_root
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -22,8 +22,9 @@ def new_mail(spark: SparkSession, maildir: str, files_per_batch: int = 100_000)
     """Stream of (maildir_path, folder) of message files as they arrive.
 
     The directories are named by a pattern because Spark's own recursion skips
-    dot folders and would enter tmp. A file changed under an old path is not
-    seen again; the batch ingest finds those.
+    dot folders and would enter tmp; it covers the root and one level of
+    folders. A file changed under an old path is not seen again. The batch
+    ingest finds those, and deeper folders.
     """
     root = resolve_root(maildir)
     path = F.regexp_replace("path", "^file:/+", "/")
@@ -34,7 +35,9 @@ def new_mail(spark: SparkSession, maildir: str, files_per_batch: int = 100_000)
         .load(f"{root}/{{cur,new,*/cur,*/new}}")
     )
     # Content is not selected, so Spark does not read it here.
-    named = files.select(path.alias("maildir_path"))
+    named = files.select(path.alias("maildir_path")).filter(
+        ~F.startswith("maildir_path", F.lit(f"{root}/{SKIPPED_DIR}/"))
+    )
     return named.select("maildir_path", folder_of(F.col("maildir_path"), root).alias("folder"))
 
 
@@ -73,8 +76,8 @@ def stream_first_seen(occurrences: DataFrame, out: str, checkpoint: str) -> Stre
         spark = rows.sparkSession
         first = rows.groupBy("sha256").agg(F.max("size").alias("size"))
         if batch > 0:
-            earlier = [f"{out}/batch={n}" for n in range(batch)]
-            first = unseen(first, spark.read.schema("sha256 string").parquet(*earlier))
+            stored = spark.read.schema("sha256 string, batch long").parquet(out)
+            first = unseen(first, stored.filter(F.col("batch") < batch))
         first.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     return (

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from maillode.errors import MaillodeError
 from maillode.operators import browse
 from maillode.plans import views
-from maillode.plans.ingest import IngestOptions, ingest
+from maillode.plans.ingest import IngestOptions, blob_contents, ingest, ingest_files
 from maillode.plans.store import open_index
 from maillode.sources import maildir as source
 from maillode.streaming.ingest import stream_ingest
 
-from .conftest import OWNER, PDF, PIXEL, PNG, letter, put
+from .conftest import OWNER, PDF, PIXEL, PNG, build_maildir, letter, put
 
 MINE = IngestOptions(me=OWNER)
 
@@ -64,11 +64,12 @@ def test_unreadable_files_are_rows(spark, maildir):
     assert contents.filter("raw is null").count() == 1
 
 
-@pytest.fixture
-def index(spark, maildir, tmp_path):
-    out = tmp_path / "index"
-    stats = run(spark, maildir, out)
-    return maildir, out, stats
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    """An index to read; tests that change one make their own."""
+    base = tmp_path_factory.mktemp("indexed")
+    maildir = build_maildir(base / "Maildir")
+    return maildir, base / "index", run(spark, maildir, base / "index")
 
 
 def test_first_run(spark, index):
@@ -88,8 +89,9 @@ def test_first_run(spark, index):
     assert blobs == {"image/png", "image/gif", "application/pdf"}
 
 
-def test_rerun_and_reparse_change_nothing(spark, index):
-    maildir, out, _ = index
+def test_rerun_reparse_and_changes(spark, maildir, tmp_path):
+    out = tmp_path / "index"
+    run(spark, maildir, out)
     again = run(spark, maildir, out)
     assert (again.scanned, again.skipped, again.indexed, again.attachments) == (4, 4, 0, 0)
     reparsed = run(spark, maildir, out, reparse=True)
@@ -100,9 +102,6 @@ def test_rerun_and_reparse_change_nothing(spark, index):
     assert store.read("blob_content").count() == 3
     assert store.read("runs").count() == 3
 
-
-def test_changed_and_new_and_removed_files(spark, index):
-    maildir, out, _ = index
     changed = letter(subject="Changed")
     changed.add_attachment(b"new bytes", maintype="application", subtype="x", filename="n.bin")
     put(maildir, "1362000000.a,S=1:2,S", changed)
@@ -110,7 +109,7 @@ def test_changed_and_new_and_removed_files(spark, index):
     os.remove(maildir / ".Gesendet" / "cur" / "1362000001.b,S=1:2,S")
     stats = run(spark, maildir, out)
     assert (stats.scanned, stats.indexed, stats.skipped, stats.new_blobs) == (4, 2, 2, 1)
-    store = open_index(spark, str(out))
+    # A file gone from disk stays in the index.
     subjects = sorted(r.subject for r in store.read("messages").collect())
     assert subjects == ["Another", "Changed", "Hello", "Late", "Nasty name"]
     names = sorted(r.filename for r in store.read("attachments").collect())
@@ -174,8 +173,6 @@ def test_message_view(spark, index):
 
 
 def test_content_of_a_file_that_vanished_meanwhile(spark, index):
-    from maillode.plans.ingest import blob_contents
-
     maildir, out, _ = index
     gone = spark.createDataFrame(
         [("a" * 64, 1, str(maildir / "nope"), "2")],
@@ -200,3 +197,20 @@ def test_streamed_ingest_picks_up_new_mail_only(spark, maildir, tmp_path):
     # Losing the stream's own checkpoint repeats the files but not the rows.
     shutil.rmtree(checkpoint)
     assert stream()[:2] == (5, 3)
+
+
+def test_mail_given_as_bytes_is_indexed_alike(spark, index, tmp_path):
+    maildir, out, _ = index
+    scanned = source.scan_maildir(spark, str(maildir))
+    files = source.with_file_stats(scanned).drop("read_error")
+    raws = source.with_file_bytes(scanned).select("maildir_path", "raw")
+    by_bytes = str(tmp_path / "by-bytes")
+    stats = ingest_files(files, by_bytes, MINE, raws=raws).first()
+    assert (stats.indexed, stats.new_blobs, stats.errors) == (4, 3, 0)
+    ours, theirs = open_index(spark, by_bytes), open_index(spark, str(out))
+    for table in ("messages", "attachments", "blobs", "blob_content", "bodies"):
+        assert sorted(map(str, ours.read(table).collect())) == sorted(
+            map(str, theirs.read(table).collect())
+        )
+    again = ingest_files(files, by_bytes, MINE, raws=raws).first()
+    assert (again.skipped, again.indexed) == (4, 0)
