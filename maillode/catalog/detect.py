@@ -32,7 +32,13 @@ DOCS = """docs AS (SELECT doc_id AS i, text, encode(text) AS b FROM documents)""
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), "text", "lang")
+    documents = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus.spread(documents, "doc_id").withColumnRenamed("doc_id", "i")
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    pages = corpus.table(spark, sf_dir, "pages").select("page_id", "html")
+    return corpus.spread(pages, "page_id")
 
 
 def _sniffed(contents: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ SELECT origin, i, {sql.sniff_case("c", 1)} AS sniffed_type,
   {sql.sniff_case("c", 2)} AS sniffed_ext FROM t""",
 )
 def sniff_text(spark, sf_dir):
-    pages = corpus.table(spark, sf_dir, "pages")
+    pages = _pages(spark, sf_dir)
     contents = _documents(spark, sf_dir).select(
         F.lit("doc").alias("origin"), "i", F.encode("text", "UTF-8").alias("c")
     ).unionByName(
@@ -211,7 +217,7 @@ def text_of_html(column: str) -> str:
 
 @query("html_to_text", f"SELECT page_id, {text_of_html('html')} AS text FROM pages")
 def html_to_text(spark, sf_dir):
-    pages = corpus.table(spark, sf_dir, "pages")
+    pages = _pages(spark, sf_dir)
     return pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
@@ -234,7 +240,7 @@ def text_view(spark, sf_dir):
     long_page = (page % 25 == 3) & html.rlike(r"^[\x00-\x7f]*\z")
     stored = F.when(long_page, F.repeat(html, REPEATS)).otherwise(html)
     kind = F.when(page % 2 == 1, "text/html").otherwise("text/plain")
-    pages = corpus.table(spark, sf_dir, "pages").select(
+    pages = _pages(spark, sf_dir).select(
         "page_id", F.encode(stored, "UTF-8").alias("content"), kind.alias("kind")
     )
     shown = text.text_view(F.col("content"), F.col("kind"))
@@ -256,9 +262,9 @@ def clean_text(spark, sf_dir):
         F.lit("\r\n\x00\u3000"),
     )
     blank = F.lit(" \x00\t\u2009 ")
-    kept = F.when(F.col("doc_id") % 50 == 7, blank).otherwise(dirty)
-    documents = corpus.table(spark, sf_dir, "documents")
-    return documents.select("doc_id", text.clean(kept).alias("cleaned"))
+    i = F.col("i")
+    kept = F.when(i % 50 == 7, blank).otherwise(dirty)
+    return _documents(spark, sf_dir).select(i.alias("doc_id"), text.clean(kept).alias("cleaned"))
 
 
 @query(
@@ -271,7 +277,7 @@ SELECT doc_id, CASE doc_id % 4
   ELSE 'Grüße ' || doc_id END AS decoded FROM w""",
 )
 def header_decode(spark, sf_dir):
-    i = F.col("doc_id")
+    i = F.col("i")
     word = F.concat(
         F.lit("=?utf-8?b?"), F.base64(F.encode(F.substring("text", 1, 12), "UTF-8")), F.lit("?=")
     )
@@ -281,8 +287,8 @@ def header_decode(spark, sf_dir):
         .when(i % 4 == 2, F.format_string(" =?bogus-charset?q?abc%d?= ", i))
         .otherwise(F.format_string("=?utf-8?q?Gr=C3=BC=C3=9Fe?= %d", i))
     )
-    documents = corpus.table(spark, sf_dir, "documents")
-    return documents.select("doc_id", headers.decode_words(raw).alias("decoded"))
+    documents = _documents(spark, sf_dir)
+    return documents.select(i.alias("doc_id"), headers.decode_words(raw).alias("decoded"))
 
 
 @query(

@@ -45,8 +45,9 @@ def blank_to_null(col: Column) -> Column:
 
 def clean(col: Column) -> Column:
     """Drop NULs, trim, squeeze each run of whitespace to one space, '' to NULL."""
-    no_nul = F.replace(col, F.lit("\x00"), F.lit(""))
-    return blank_to_null(F.regexp_replace(strip(no_nul), SPACE_CLASS + "+", " "))
+    # Characters past the end of the replacement string are dropped, here NUL.
+    spaced = F.translate(col, PY_SPACE + "\x00", " " * len(PY_SPACE))
+    return blank_to_null(F.trim(F.regexp_replace(spaced, " {2,}", " ")))
 
 
 def ascii_fold(col: Column) -> Column:
