@@ -57,6 +57,10 @@ def stream_ingest(
     def run_batch(files: DataFrame, batch: int) -> None:
         ingest_files(files, out, options)
 
+    # The source looks up the files of each batch in a job of up to one task per
+    # file. It reads this setting whenever it plans a batch, so it stays set.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", tasks)
     return (
         new_mail(spark, maildir, files_per_batch)
         .writeStream.foreachBatch(run_batch)
