@@ -252,7 +252,7 @@ def text_view(spark, sf_dir):
 
 @query(
     "clean_text",
-    rf"""WITH dirty AS (SELECT doc_id, text AS t FROM documents)
+    rf"""WITH dirty AS (SELECT doc_id, replace(text, chr(0), '') AS t FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE nullif(trim(regexp_replace(
   replace(t, '. ', '. '), '[{SPACES}]+', ' ', 'g'), ' '), '') END AS cleaned FROM dirty""",
 )

@@ -121,12 +121,7 @@ def ingest_stats(spark, sf_dir):
 )
 def maildir_scan(spark, sf_dir):
     root = corpus.scratch(spark, "maildir")
-    documents = corpus.table(spark, sf_dir, "documents").select(
-        "doc_id", F.encode("text", "UTF-8").alias("content")
-    )
-    placed = corpus.mail(spark, sf_dir).select("doc_id", "maildir_path").join(documents, "doc_id")
-    files = placed.select("maildir_path", F.col("content").alias("raw"))
-    corpus.write_files(files, root)
+    corpus.write_files(corpus.document_files(spark, sf_dir), root)
     found = maildir.with_file_stats(maildir.scan_maildir(spark, root)).drop("read_error")
     contents = maildir.with_file_bytes(found)
     return contents.select(

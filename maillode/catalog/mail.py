@@ -49,7 +49,8 @@ parts AS (
 ),
 attached AS (SELECT *, CAST(octet_length(c) AS BIGINT) AS size, sha256(c) AS sha256,
     {sql.sniff_case("c", 2)} AS ext FROM parts
-  WHERE part_path IN ('2', '3.2', '3.') OR part_path = '1' AND i % 9 = 3)"""
+  WHERE (part_path IN ('2', '3.2', '3.') OR part_path = '1' AND i % 9 = 3)
+    AND octet_length(c) >= 1)"""
 
 PART_SQL = (
     "SELECT maildir_path, part_path, content_type, disposition, declared_name AS filename_raw,"

@@ -139,21 +139,34 @@ def occurrence_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 CRLF = "\r\n"
 
 
-def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw message per document: (doc_id, maildir_path, folder, mtime, size, raw)."""
+def _mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    documents = spread(documents, "doc_id")
     epoch = F.format_string("%d.d%d", i + 1362000000, i)
-    placed = _placed(documents, F.when(i % 4 == 2, F.format_string("d%d.x", i)).otherwise(epoch))
+    name = F.when(i % 4 == 2, F.format_string("d%d.x", i)).otherwise(epoch)
+    return _placed(spread(documents, "doc_id"), name)
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(maildir_path, raw) with each document itself as the file of its message."""
+    return _mail_files(spark, sf_dir).select("maildir_path", F.encode("text", "UTF-8").alias("raw"))
+
+
+def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw message per document: (doc_id, maildir_path, folder, mtime, size, raw)."""
+    i = F.col("doc_id")
     raw = F.encode(_message_text(i), "UTF-8")
-    return placed.select(
-        "doc_id",
-        "maildir_path",
-        "folder",
-        (i % 1000 + F.lit(0.5)).cast("double").alias("mtime"),
-        raw.alias("raw"),
-    ).withColumn("size", F.octet_length("raw").cast("long"))
+    return (
+        _mail_files(spark, sf_dir)
+        .select(
+            "doc_id",
+            "maildir_path",
+            "folder",
+            (i % 1000 + F.lit(0.5)).cast("double").alias("mtime"),
+            raw.alias("raw"),
+        )
+        .withColumn("size", F.octet_length("raw").cast("long"))
+    )
 
 
 def broken_mail(spark: SparkSession, sf_dir: str) -> DataFrame:

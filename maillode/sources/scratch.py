@@ -14,4 +14,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = tempfile.mkdtemp(prefix="maillode-")
+    if shared.startswith("file:"):
+        shared = "/" + shared.removeprefix("file:").lstrip("/")
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
