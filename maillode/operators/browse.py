@@ -205,7 +205,12 @@ def listing(view: DataFrame, attachments: DataFrame, params: BrowseParams) -> Da
         rows = collapse(rows)
     order = sort_order(params.sort)
     if params.sort == "dupes":
-        return page_of(with_copies(rows, attachments), order, params.page)
+        if params.collapse:
+            # Both sides hold a digest once and are already spread by it.
+            counted = rows.join(digest_counts(attachments), "sha256")
+        else:
+            counted = with_copies(rows, attachments)
+        return page_of(counted, order, params.page)
     page = page_of(rows, order, params.page)
     count = count_collapsed if params.collapse else count_listed
     return count(page, attachments).orderBy("pos").limit(PAGE_SIZE)

@@ -200,7 +200,7 @@ def header_record(message: Message) -> dict:
         value = message.get(name)
         return _storable(rfc2047(str(value))) if value else None
 
-    date = _date_header(message)
+    date = _storable(_date_header(message))
     return {
         "message_id": decoded("Message-ID"),
         "from_raw": decoded("From"),

@@ -63,13 +63,18 @@ class MaildirReader(DataSourceReader):
         batch: list[str] = []
         for directory in partition.directories:
             for path in message_files(directory):
-                batch.append(path)
+                batch.append(storable_path(path))
                 if len(batch) == LISTING_BATCH:
                     yield _path_batch(batch)
                     batch = []
         yield _path_batch(batch)
 
 
+def storable_path(path: str) -> str:
+    """A path as text. One that is not UTF-8 is spelled out, and then fails to open."""
+    return os.fsencode(path).decode("utf-8", "backslashreplace")
+
+
 def _path_batch(paths: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["maildir_path"])
 
@@ -140,7 +145,11 @@ def with_file_stats(files: DataFrame) -> DataFrame:
     """Add (mtime, size, read_error); a file that cannot be examined keeps its row."""
     added = "mtime double, size long, read_error string"
     # A stated number, so that the tasks are not merged for holding few bytes.
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = files.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        4 * spark.sparkContext.defaultParallelism,
+    )
     spread = files.repartition(tasks, "maildir_path")
     return _map_arrow(spread, added, _stat_batch)
 

@@ -58,10 +58,12 @@ def test_missing_directory_and_missing_index(spark, tmp_path):
 
 def test_unreadable_files_are_rows(spark, maildir):
     os.symlink(maildir / "gone", maildir / "cur" / "dangling")
+    with open(os.fsencode(maildir) + b"/cur/not-utf8-\xff", "wb") as handle:
+        handle.write(b"x")
     files = source.with_file_stats(source.scan_maildir(spark, str(maildir)))
-    assert files.filter("read_error is not null").count() == 1
+    assert files.filter("read_error is not null").count() == 2
     contents = source.with_file_bytes(source.scan_maildir(spark, str(maildir)))
-    assert contents.filter("raw is null").count() == 1
+    assert contents.filter("raw is null").count() == 2
 
 
 @pytest.fixture(scope="module")
