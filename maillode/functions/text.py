@@ -26,6 +26,14 @@ _CP1252_BYTES = [b for b in range(0x80, 0xA0) if b not in CP1252_HOLES]
 _CP1252_FROM = "".join(map(chr, _CP1252_BYTES))
 _CP1252_TO = bytes(_CP1252_BYTES).decode("cp1252")
 
+# What markup becomes, in order. (?U) gives \b Python's meaning, and
+# (?-u) the back-reference, which tells a long s from an s where the words do not.
+MARKUP = (
+    (r"(?isU)<(script|style)\b.*?</(?-u)\1>", " "),
+    (rf"(?iU)<{SPACE_CLASS}*(br|/p|/div|/tr|/h[1-6])\b[^>]*>", "\n"),
+    (r"<[^>]+>", ""),
+)
+
 # How much of a text file is shown, and how much of a body.
 TEXT_VIEW_BYTES = 262_144
 BODY_CHARS = 200_000
@@ -103,13 +111,9 @@ def unescape_entities(col: Column) -> Column:
 
 def strip_markup(col: Column) -> Column:
     """Remove script, style and tags; closing blocks become line breaks."""
-    # (?U) gives \b Python's Unicode meaning.
-    space = SPACE_CLASS + "*"
-    no_code = F.regexp_replace(col, r"(?isU)<(script|style)\b.*?</\1>", " ")
-    broken = F.regexp_replace(
-        no_code, rf"(?iU)<{space}(br|/p|/div|/tr|/h[1-6])\b[^>]*>", "\n"
-    )
-    return F.regexp_replace(broken, r"<[^>]+>", "")
+    for pattern, replacement in MARKUP:
+        col = F.regexp_replace(col, pattern, replacement)
+    return col
 
 
 def html_to_text(col: Column) -> Column:
