@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import blob_path
+
 # A key is hot from this many rows on. At most rows / HOT_ROWS keys can be, which
 # bounds what is broadcast: 2,000 keys for two billion occurrences.
 HOT_ROWS = 1_000_000
@@ -90,7 +92,7 @@ def blob_rows(attachments: DataFrame) -> DataFrame:
         .select(
             "sha256",
             "first.size",
-            F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256")).alias("blob_path"),
+            blob_path(F.col("sha256")).alias("blob_path"),
             "first.sniffed_type",
             "first.sniffed_ext",
             "first.maildir_path",

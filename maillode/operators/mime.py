@@ -360,9 +360,9 @@ def is_attachment(part: Column) -> Column:
     )
 
 
-def explode_parts(parsed: DataFrame) -> DataFrame:
+def explode_parts(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per leaf of each MIME tree, as the struct column ``part``."""
-    return parsed.select("maildir_path", F.explode("parts").alias("part"))
+    return parsed.select("maildir_path", *keep, F.explode("parts").alias("part"))
 
 
 def with_kinds(parsed: DataFrame) -> DataFrame:
@@ -378,13 +378,17 @@ def _kind_of_part(parsed: DataFrame) -> Column:
     return F.col("part.kind") if "kind" in fields else sniff("part.head")
 
 
-def attachment_rows(parsed: DataFrame, min_size: int = 1) -> DataFrame:
+def attachment_rows(
+    parsed: DataFrame, min_size: int = 1, keep: Sequence[str] = ()
+) -> DataFrame:
     """One row per attachment occurrence, with its detected type and final name.
 
     A message that could not be indexed gets none, as it is tried again next time.
+    ``keep`` names further columns to carry along.
     """
     part = F.col("part")
-    kept = explode_parts(parsed.filter(F.col("index_error").isNull())).filter(
+    indexed = parsed.filter(F.col("index_error").isNull())
+    kept = explode_parts(indexed, keep).filter(
         part["part_error"].isNull()
         & is_attachment(part)
         & part["size"].isNotNull()
@@ -410,6 +414,7 @@ def attachment_rows(parsed: DataFrame, min_size: int = 1) -> DataFrame:
             part["size"].alias("size"),
             "kind.sniffed_type",
             "kind.sniffed_ext",
+            *keep,
         )
     )
 
@@ -422,7 +427,9 @@ def all_addresses(addrs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(addrs, F.lower)))
 
 
-def message_rows(parsed: DataFrame, me: Sequence[str]) -> DataFrame:
+def message_rows(
+    parsed: DataFrame, me: Sequence[str], keep: Sequence[str] = ()
+) -> DataFrame:
     """One row per message that could be indexed; needs folder, mtime and size."""
     recipients = all_addresses(F.coalesce("to_addrs", F.array().cast("array<string>")))
     opened = F.col("from_addrs").isNotNull()
@@ -457,10 +464,32 @@ def message_rows(parsed: DataFrame, me: Sequence[str]) -> DataFrame:
             .otherwise("unknown")
             .alias("direction"),
             "parse_error",
+            *keep,
         )
     )
 
 
+# What an occurrence takes from its message.
+MESSAGE_COLUMNS = (
+    "folder",
+    "direction",
+    "subject",
+    "from_addr",
+    "from_raw",
+    "to_raw",
+    "date_parsed",
+)
+
+
+def occurrence_rows(parsed: DataFrame, me: Sequence[str], min_size: int = 1) -> DataFrame:
+    """The occurrence view straight from parsed mail: a part knows its message, so no join."""
+    messages = message_rows(parsed, me, keep=("parts", "index_error"))
+    rows = attachment_rows(messages, min_size, keep=MESSAGE_COLUMNS)
+    return rows.withColumn("blob_path", names.blob_path(F.col("sha256"))).withColumn(
+        "year", headers.year_of(F.col("date_parsed"))
+    )
+
+
 def body_rows(parsed: DataFrame) -> DataFrame:
     """(maildir_path, body, truncated) for every message that was opened."""
     body = F.coalesce("body_error", text.body_text(F.col("texts")))

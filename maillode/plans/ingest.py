@@ -32,6 +32,7 @@ from ..operators.mime import (
     body_rows,
     message_rows,
     modern_policy,
+    occurrence_rows,
     parse_files,
     parse_messages,
     part_bytes,
@@ -39,7 +40,8 @@ from ..operators.mime import (
     with_kinds,
 )
 from ..sources.maildir import read_file, scan_maildir, with_file_stats
-from .store import IndexStore
+from .store import IndexStore, open_index
+from .views import rederive_direction
 
 # Aims for tasks that fit an executor. The cap keeps the shuffle of paths to a
 # sensible number of blocks; a task streams its files, so more bytes cost only time.
@@ -98,6 +100,7 @@ def ingest_files(
             "messages": message_rows(parsed, options.me),
             "attachments": attachments,
             "bodies": body_rows(parsed),
+            "occurrences": browsable(occurrence_rows(parsed, options.me, options.min_size)),
         }
         _add_replacing(store, run, current, following, tables)
         _add(store, run, following, "blobs", fresh)
@@ -118,6 +121,25 @@ def _parsed(todo: DataFrame, raws: DataFrame | None) -> DataFrame:
     return with_kinds(parse_files(spread, bodies=True))
 
 
+def browsable(occurrences: DataFrame) -> DataFrame:
+    """Rows in an order that lets filters on folder and year pass over row groups."""
+    return occurrences.sortWithinPartitions("folder", "date_parsed")
+
+
+def rederive(spark: SparkSession, out: str, me: Sequence[str]) -> None:
+    """Decide every direction anew from stored columns, as a new version of the index."""
+    store = open_index(spark, out)
+    version, current = store.manifest()
+    run = f"run-{uuid.uuid4().hex}"
+    messages = rederive_direction(store.read_from(current, "messages"), me)
+    following = current | {"messages": [store.write(messages, "messages", run)]}
+    directions = store.read_from(following, "messages").select("maildir_path", "direction")
+    occurrences = store.read_from(current, "occurrences").drop("direction")
+    occurrences = browsable(occurrences.join(directions, "maildir_path"))
+    following["occurrences"] = [store.write(occurrences, "occurrences", run)]
+    store.commit(following, version + 1)
+
+
 def _add(store: IndexStore, run: str, following: dict, name: str, frame: DataFrame) -> None:
     following.setdefault(name, []).append(store.write(frame, name, run))
 

@@ -25,6 +25,12 @@ SCHEMAS = {
     " sniffed_ext string",
     "blob_content": "sha_prefix string, sha256 string, content binary, content_error string",
     "bodies": "maildir_path string, body string, truncated boolean",
+    # Attachments with their file and their message: what browsing reads.
+    "occurrences": "maildir_path string, part_path string, sha256 string, filename string,"
+    " mime_declared string, disposition string, decode_failed boolean, size long,"
+    " blob_path string, sniffed_type string, sniffed_ext string, folder string,"
+    " direction string, subject string, from_addr string, from_raw string, to_raw string,"
+    " date_parsed string, year string",
     "runs": "run string, scanned long, indexed long, skipped long, attachments long,"
     " new_blobs long, dup_blobs long, errors long",
 }

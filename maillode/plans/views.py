@@ -9,18 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import direction, year_of
 from ..operators.dedup import join_unique
+from ..operators.mime import MESSAGE_COLUMNS
 from .store import IndexStore
 
-MESSAGE_COLUMNS = (
-    "maildir_path",
-    "folder",
-    "direction",
-    "subject",
-    "from_addr",
-    "from_raw",
-    "to_raw",
-    "date_parsed",
-)
 HEAD_COLUMNS = (
     "folder",
     "subject",
@@ -45,12 +36,18 @@ def occurrence_view(attachments: DataFrame, blobs: DataFrame, messages: DataFram
     return joined.withColumn("year", year_of(F.col("date_parsed")))
 
 
-def stored_occurrences(store: IndexStore) -> DataFrame:
-    attachments = store.read("attachments")
-    messages = store.read("messages").select(*MESSAGE_COLUMNS)
+def joined_occurrences(store: IndexStore) -> DataFrame:
+    """The occurrence view from the three stored tables."""
+    attachments = store.read("attachments").drop("filename_raw", "content_id", "transfer_defects")
+    messages = store.read("messages").select("maildir_path", *MESSAGE_COLUMNS)
     return occurrence_view(attachments, store.read("blobs"), messages)
 
 
+def stored_occurrences(store: IndexStore) -> DataFrame:
+    """The same rows as ingest wrote them, so that browsing needs no join."""
+    return store.read("occurrences")
+
+
 def message_heads(opened: DataFrame, messages: DataFrame, bodies: DataFrame) -> DataFrame:
     """The message of each attachment opened: head fields, body, and whether it was cut."""
     head = messages.select("maildir_path", *HEAD_COLUMNS)

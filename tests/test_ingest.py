@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from maillode.errors import MaillodeError
 from maillode.operators import browse
 from maillode.plans import views
-from maillode.plans.ingest import IngestOptions, blob_contents, ingest, ingest_files
+from maillode.plans.ingest import IngestOptions, blob_contents, ingest, ingest_files, rederive
 from maillode.plans.store import open_index
 from maillode.sources import maildir as source
 from maillode.streaming.ingest import stream_ingest
@@ -91,6 +91,12 @@ def test_first_run(spark, index):
     assert blobs == {"image/png", "image/gif", "application/pdf"}
 
 
+def assert_views_agree(store):
+    joined = views.joined_occurrences(store)
+    stored = views.stored_occurrences(store).select(*joined.columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, joined.collect()))
+
+
 def test_rerun_reparse_and_changes(spark, maildir, tmp_path):
     out = tmp_path / "index"
     run(spark, maildir, out)
@@ -118,6 +124,7 @@ def test_rerun_reparse_and_changes(spark, maildir, tmp_path):
     assert names == ["../../etc/passwd.pdf", "n.bin", "spacer.gif", "tracker.gif"]
     # A digest no longer referred to stays stored.
     assert store.read("blobs").count() == 4
+    assert_views_agree(store)
 
 
 def test_limit_and_minimum_size(spark, maildir, tmp_path):
@@ -143,13 +150,18 @@ def test_direction_without_owner_and_rederived(spark, maildir, tmp_path):
     messages = open_index(spark, str(tmp_path / "o")).read("messages")
     found = {r.folder: r.direction for r in messages.collect()}
     assert found["INBOX"] == "in" and found[".Gesendet"] == "out"
-    anew = views.rederive_direction(messages, ["them@example.org"])
-    assert {r.folder: r.direction for r in anew.collect()}["INBOX"] == "out"
+    rederive(spark, str(tmp_path / "o"), ["them@example.org"])
+    store = open_index(spark, str(tmp_path / "o"))
+    for table in ("messages", "occurrences"):
+        anew = {r.folder: r.direction for r in store.read(table).collect()}
+        assert anew["INBOX"] == "out"
+    assert store.read("occurrences").count() == 4
 
 
 def test_browsing_a_stored_index(spark, index):
     maildir, out, _ = index
     store = open_index(spark, str(out))
+    assert_views_agree(store)
     view = views.stored_occurrences(store)
     attachments = store.read("attachments")
     collapsed = browse.listing(view, attachments, browse.BrowseParams()).collect()
