@@ -17,10 +17,12 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from email.policy import EmailPolicy
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +69,10 @@ def ingest(
 
 
 def ingest_files(
-    files: DataFrame, out: str, options: IngestOptions = IngestOptions(), raws: DataFrame | None = None
+    files: DataFrame,
+    out: str,
+    options: IngestOptions = IngestOptions(),
+    raws: DataFrame | None = None,
 ) -> DataFrame:
     """Index the files of (maildir_path, folder).
 
@@ -95,22 +100,48 @@ def ingest_files(
     fresh = _written(fresh, f"{stage}/blobs")
 
     following = {name: list(found) for name, found in current.items()}
+    statistics = incremental.run_statistics(scanned, todo, parsed, attachments, fresh)
+    tables = {"runs": statistics.withColumn("run", F.lit(run))}
     if not todo.isEmpty():
-        tables = {
+        messages = {
             "messages": message_rows(parsed, options.me),
             "attachments": attachments,
             "bodies": body_rows(parsed),
             "occurrences": browsable(occurrence_rows(parsed, options.me, options.min_size)),
         }
-        _add_replacing(store, run, current, following, tables)
-        _add(store, run, following, "blobs", fresh)
-        _add(store, run, following, "blob_content", blob_contents(fresh, raws))
-    statistics = incremental.run_statistics(scanned, todo, parsed, attachments, fresh)
-    _add(store, run, following, "runs", statistics.withColumn("run", F.lit(run)))
+        if known.join(messages["messages"], "maildir_path", "left_semi").isEmpty():
+            tables |= messages
+        else:
+            tables |= _replacing(store, current, messages)
+            for name in messages:
+                following[name] = []
+        tables |= {"blobs": fresh, "blob_content": blob_contents(fresh, raws)}
+    for name, directory in _write_all(store, run, tables).items():
+        following.setdefault(name, []).append(directory)
     store.commit(following, version + 1)
     return store.read("runs").filter(F.col("run") == run)
 
 
+def _replacing(
+    store: IndexStore, current: dict[str, list[str]], tables: dict[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Whole tables in which messages read again take the place of their old rows."""
+    again = tables["messages"].select("maildir_path")
+    whole = {}
+    for name, frame in tables.items():
+        old = store.read_from(current, name)
+        whole[name] = incremental.replace_children(old, frame.select(*old.columns), again)
+    return whole
+
+
+def _write_all(store: IndexStore, run: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Write tables side by side: each is a job of its own over the same stage."""
+    write = inheritable_thread_target(store.spark)(store.write)
+    with ThreadPoolExecutor(len(tables)) as pool:
+        writes = {name: pool.submit(write, frame, name, run) for name, frame in tables.items()}
+        return {name: done.result() for name, done in writes.items()}
+
+
 def _parsed(todo: DataFrame, raws: DataFrame | None) -> DataFrame:
     """Messages opened, with the type of each part in place of its leading bytes."""
     if raws is not None:
@@ -140,24 +171,6 @@ def rederive(spark: SparkSession, out: str, me: Sequence[str]) -> None:
     store.commit(following, version + 1)
 
 
-def _add(store: IndexStore, run: str, following: dict, name: str, frame: DataFrame) -> None:
-    following.setdefault(name, []).append(store.write(frame, name, run))
-
-
-def _add_replacing(store: IndexStore, run: str, current: dict, following: dict, tables: dict):
-    """Append the rows of new messages; rewrite the tables if stored messages came again."""
-    messages = tables["messages"].select("maildir_path")
-    known = store.read_from(current, "messages")
-    if known.join(messages, "maildir_path", "left_semi").isEmpty():
-        for name, frame in tables.items():
-            _add(store, run, following, name, frame)
-        return
-    for name, frame in tables.items():
-        old = store.read_from(current, name)
-        frame = incremental.replace_children(old, frame.select(*old.columns), messages)
-        following[name] = [store.write(frame, name, run)]
-
-
 def _written(frame: DataFrame, path: str) -> DataFrame:
     frame.write.mode("overwrite").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
