@@ -13,9 +13,38 @@ def skip_known(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select(*FILE_STATE), FILE_STATE, "left_anti")
 
 
-def first_files(files: DataFrame, limit: int | None) -> DataFrame:
-    """At most ``limit`` files of a run, lowest paths first; all for None or 0."""
-    return files.orderBy("maildir_path").limit(limit) if limit else files
+def first_files(
+    files: DataFrame, limit: int | None, failed: DataFrame | None = None
+) -> DataFrame:
+    """At most ``limit`` files of a run, lowest paths first; all for None or 0.
+
+    Files that failed in an earlier run come last, so they cannot hold up the rest.
+    """
+    if not limit:
+        return files
+    if failed is None:
+        return files.orderBy("maildir_path").limit(limit)
+    before = failed.select("maildir_path", F.lit(True).alias("failed_before")).distinct()
+    marked = files.join(before, "maildir_path", "left")
+    return marked.orderBy("failed_before", "maildir_path").limit(limit).drop("failed_before")
+
+
+def failure_rows(scanned: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(maildir_path, part_path, problem) of whatever a run could not take in."""
+    whole = F.lit(None).cast("string").alias("part_path")
+    unseen_files = scanned.filter(F.col("read_error").isNotNull()).select(
+        "maildir_path", whole, F.col("read_error").alias("problem")
+    )
+    problem = F.coalesce("read_error", "index_error")
+    messages = parsed.filter(problem.isNotNull()).select(
+        "maildir_path", whole, problem.alias("problem")
+    )
+    parts = (
+        parsed.select("maildir_path", F.explode("parts").alias("part"))
+        .filter(F.col("part.part_error").isNotNull())
+        .select("maildir_path", "part.part_path", F.col("part.part_error").alias("problem"))
+    )
+    return unseen_files.unionByName(messages).unionByName(parts)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:

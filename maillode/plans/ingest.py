@@ -92,7 +92,8 @@ def ingest_files(
     todo = scanned.filter(F.col("read_error").isNull()).drop("read_error")
     if not options.reparse:
         todo = incremental.skip_known(todo, known)
-    todo = _written(incremental.first_files(todo, options.limit), f"{stage}/todo")
+    failed = store.read_from(current, "failures")
+    todo = _written(incremental.first_files(todo, options.limit, failed), f"{stage}/todo")
 
     parsed = _written(_parsed(todo, raws), f"{stage}/parsed")
     attachments = attachment_rows(parsed, options.min_size)
@@ -101,7 +102,11 @@ def ingest_files(
 
     following = {name: list(found) for name, found in current.items()}
     statistics = incremental.run_statistics(scanned, todo, parsed, attachments, fresh)
-    tables = {"runs": statistics.withColumn("run", F.lit(run))}
+    failures = incremental.failure_rows(scanned, parsed)
+    tables = {
+        "runs": statistics.withColumn("run", F.lit(run)),
+        "failures": failures.withColumn("run", F.lit(run)),
+    }
     if not todo.isEmpty():
         messages = {
             "messages": message_rows(parsed, options.me),

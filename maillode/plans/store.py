@@ -31,6 +31,7 @@ SCHEMAS = {
     " blob_path string, sniffed_type string, sniffed_ext string, folder string,"
     " direction string, subject string, from_addr string, from_raw string, to_raw string,"
     " date_parsed string, year string",
+    "failures": "run string, maildir_path string, part_path string, problem string",
     "runs": "run string, scanned long, indexed long, skipped long, attachments long,"
     " new_blobs long, dup_blobs long, errors long",
 }

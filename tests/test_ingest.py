@@ -143,6 +143,19 @@ def test_unindexable_message_is_tried_again(spark, maildir, tmp_path):
     assert (first.indexed, first.errors) == (4, 1)
     second = run(spark, maildir, tmp_path / "o")
     assert (second.skipped, second.errors) == (4, 1)
+    failures = open_index(spark, str(tmp_path / "o")).read("failures").collect()
+    assert [os.path.basename(f.maildir_path) for f in failures] == ["bad", "bad"]
+    assert all(f.problem.startswith("IndexError") for f in failures)
+
+
+def test_failing_messages_do_not_hold_up_a_limited_run(spark, tmp_path):
+    root = tmp_path / "box"
+    put(root, "0-bad", b'From: "\n\nx')
+    put(root, "1-good", letter())
+    first = run(spark, root, tmp_path / "o", limit=1)
+    assert (first.indexed, first.errors) == (0, 1)
+    second = run(spark, root, tmp_path / "o", limit=1)
+    assert (second.indexed, second.errors) == (1, 0)
 
 
 def test_direction_without_owner_and_rederived(spark, maildir, tmp_path):
