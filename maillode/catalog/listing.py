@@ -136,7 +136,8 @@ def copies(spark, sf_dir):
 
 @query(
     "duplicate_digests",
-    f"WITH {sql.OCC} SELECT sha256, count(*) AS copies FROM occ GROUP BY sha256 HAVING count(*) > 1",
+    f"WITH {sql.OCC} SELECT sha256, count(*) AS copies FROM occ GROUP BY sha256"
+    " HAVING count(*) > 1",
 )
 def duplicate_digests(spark, sf_dir):
     return dedup.duplicate_digests(corpus.occurrences(spark, sf_dir))

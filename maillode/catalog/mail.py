@@ -110,7 +110,8 @@ def filename_fallback(spark, sf_dir):
 
 @query(
     "message_body",
-    f"""WITH {MAIL}, plain AS (SELECT *, CASE WHEN i % 9 NOT IN (1, 3) THEN 'Grüße ' || i END AS own,
+    f"""WITH {MAIL}, plain AS (SELECT *,
+  CASE WHEN i % 9 NOT IN (1, 3) THEN 'Grüße ' || i END AS own,
   CASE WHEN i % 6 = 0 THEN 'inner text' END AS inner_text FROM m)
 SELECT maildir_path, coalesce(own || chr(10) || chr(10) || inner_text, own, inner_text,
   CASE WHEN i % 9 = 1 THEN 'Hallo & ' || i END, '{text.NO_BODY}') AS body,

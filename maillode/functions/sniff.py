@@ -105,7 +105,8 @@ def sniff_sql(data: str) -> str:
         ),
         *(
             (
-                f"startswith({data}, {_ascii('RIFF')}) AND substring({data}, 9, 4) = {_ascii(form)}",
+                f"startswith({data}, {_ascii('RIFF')})"
+                f" AND substring({data}, 9, 4) = {_ascii(form)}",
                 mime,
                 ext,
             )

@@ -161,7 +161,7 @@ def page_of(rows: DataFrame, order: list[Column], page: int, size: int = PAGE_SI
         return deep_page(rows, order, skip, size)
     top = rows.orderBy(*order).offset(skip).limit(size)
     # The window sees one page at most.
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)) + F.lit(skip))
+    return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long") + skip)
 
 
 def deep_page(rows: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:

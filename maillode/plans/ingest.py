@@ -256,7 +256,10 @@ def open_parts(raw: bytes | None, problem: str | None, modern: EmailPolicy):
         return {}, repr(exc)
 
 
-def checked_content(parts: dict, problem: str | None, want: dict) -> tuple[bytes | None, str | None]:
+def checked_content(
+    parts: dict, problem: str | None, want: dict
+) -> tuple[bytes | None, str | None]:
+    """Content of a wanted part if its digest is still the one asked for."""
     part = parts.get(want["part_path"])
     content = part_bytes(part)[0] if part is not None else None
     if content is None or hashlib.sha256(content).hexdigest() != want["sha256"]:

@@ -68,7 +68,9 @@ def occurrences(spark: SparkSession, sf_dir: str, lead: Column | None = None) ->
     ``lead`` puts bytes before each text, to make files of other types.
     """
     i = F.col("doc_id")
-    content = F.encode("text", "UTF-8") if lead is None else F.concat(lead, F.encode("text", "UTF-8"))
+    content = F.encode("text", "UTF-8")
+    if lead is not None:
+        content = F.concat(lead, content)
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     placed = _placed(documents, F.concat(F.lit("d"), i))
     date = F.format_string("%d-0%d-1%dT09:15:00+01:00", i % 12 + 2002, i % 9 + 1, i % 10)
@@ -172,11 +174,11 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def broken_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages with every fifth one damaged in one of three ways."""
     i = F.col("doc_id")
-    bad_type = F.encode(F.format_string("From: a@b.example%nContent-Type: x;filename*%n%nx%d", i), "UTF-8")
-    bad_address = F.encode(F.format_string('From: "%n%nx%d', i), "UTF-8")
+    bad_type = F.format_string("From: a@b.example%nContent-Type: x;filename*%n%nx%d", i)
+    bad_address = F.format_string('From: "%n%nx%d', i)
     raw = (
-        F.when(i % 15 == 1, bad_type)
-        .when(i % 15 == 6, bad_address)
+        F.when(i % 15 == 1, F.encode(bad_type, "UTF-8"))
+        .when(i % 15 == 6, F.encode(bad_address, "UTF-8"))
         .when(i % 15 == 11, F.lit(None).cast("binary"))
         .otherwise(F.col("raw"))
     )
