@@ -21,6 +21,8 @@ from .shared import WORD, stored
 
 BLOCK_ROWS = 4096
 FAN_IN = 64
+#: A block is rounded so many times; the draw that comes nearest to its words is taken.
+DRAWS = 16
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -137,8 +139,10 @@ def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
         part = part.sort_values(
             ["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True
         )
+        fractions, words = part["mass"].to_numpy(), part["size"].to_numpy()
         draw = np.random.default_rng([seed, zlib.crc32(key[0].encode()), int(key[1])])
-        return part.assign(mass=round_pairs(part["mass"].to_numpy(), draw))
+        drawn = [round_pairs(fractions, draw) for _ in range(DRAWS)]
+        return part.assign(mass=min(drawn, key=lambda one: abs((one - fractions) @ words)))
 
     settled, level, nodes = [], rows, -(-most_rows // BLOCK_ROWS)
     while True:

@@ -147,7 +147,9 @@ class _Reader(DataSourceReader):
             for first in range(0, one["documents"], READ_DOCUMENTS)
         ]
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no files
+            return
         docs = _array(self.path, f"{part.name}.docs", "<i8", part.first, part.documents)
         offsets = _array(self.path, f"{part.name}.offsets", "<u8", part.first, part.documents + 1)
         offsets = offsets.astype(np.int64)
