@@ -8,20 +8,21 @@ with equal sets are one class from there on.
 
 No pairs of a whole bucket are made. First every class is compared with the smallest id of
 each of its buckets, and the links found are joined to components. Then only classes that
-share a bucket but not a component are compared, by their sketches, in blocks, inside tasks;
-the few that look alike are confirmed. So a large group of copies costs about its size, and no
-link that a band shows is left out.
+share a bucket but not a component are compared, in blocks, inside tasks: by their sketches,
+and where these look alike, on full sets. So a large group of copies costs about its size, and
+no link that a band shows is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import only_wanted, stored
@@ -162,9 +163,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(sketch, SKETCHES)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the candidate pairs (``a``, ``b``), those whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id`` and ``shingles``, its packed sorted set, of the documents in ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,15 +176,27 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 )
 
     texts = only_wanted(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id")
-    full = stored(texts.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    return stored(texts.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the candidate pairs (``a``, ``b``), those whose full sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(
+        pairs.select(F.col("b").alias("doc_id"))
+    )
+    full = full_sets(docs, ids)
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        out = [
+            linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+            for x, y in zip(left, right, strict=True)
+        ]
         return pd.Series(out, dtype=bool)
 
     left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -208,8 +220,13 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.filter(sizes & (_differing("_x", "_y") <= MOST_BITS)).select("a", "b").distinct()
 
 
-def _across(classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, not a component, and look alike; none with a bucket's first."""
+def _across(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between components of classes that share a bucket; none with a bucket's first.
+
+    Buckets are compared in blocks, inside tasks. A first pass over the sketches tells which
+    members have a partner that looks alike; only these get their full sets, and the second
+    pass confirms. Of a block's links, as many are given as join its components.
+    """
     known = found.select(F.col("node").alias("doc_id"), "component")
     placed = classes.join(known, "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
@@ -224,20 +241,25 @@ def _across(classes: DataFrame, found: DataFrame) -> DataFrame:
     )
     inside = members.join(open_ones, "key").filter("doc_id <> pivot").drop("pivot")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         inside.withColumn("own", block)
-        .withColumn("other", other)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "key", "band", "doc_id", "component", "own",
+            "doc_id", "component", "band", "key", "own",
             F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         )
-        .join(classes.select("doc_id", "n_shingles", "bands", "odd"), "doc_id")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
     )
+    facts = classes.select("doc_id", "n_shingles", "bands", "odd")
+    alike = stored(_by_block(dealt.join(facts, "doc_id"), _alike_members, dealt.schema), "alike")
+    full = full_sets(docs, alike)
+    rows = alike.join(facts, "doc_id").join(full, "doc_id")
+    return _by_block(rows, _block_links, T.StructType.fromDDL("a long, b long")).distinct()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _by_block(rows: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
+    """``work`` on all rows of each block pair (``key``, ``i``, ``j``), of bounded number."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             frame = batch.to_pandas()
@@ -248,37 +270,61 @@ def _across(classes: DataFrame, found: DataFrame) -> DataFrame:
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
             edges = [0, *cuts.tolist()]
             for start, end in zip(edges, edges[1:], strict=False):
-                yield from _block_pairs(frame.iloc[start:end])
+                yield from work(frame.iloc[start:end])
             held = frame.iloc[edges[-1] :]
         if held is not None:
-            yield from _block_pairs(held)
+            yield from work(held)
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(stage, schema)
 
 
-def _block_pairs(part: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-    if len(part) < 2:
-        return
+def _block_pairs(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """A row, and the rows of other components that look like it and have to be compared with
+    it here: of the bands that two share, the first one stands for the pair."""
     i, j, band = (int(part[c].iloc[0]) for c in ("i", "j", "band"))
     ids, component = part["doc_id"].to_numpy(), part["component"].to_numpy()
+    if component.min() == component.max():
+        return
     sizes, own = part["n_shingles"].to_numpy(), part["own"].to_numpy()
     odd = np.stack(part["odd"].to_list()).view(np.uint64)
     bands = np.stack(part["bands"].to_list())
-    left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-    a, b = [], []
-    for x in left.tolist():
+    right = np.flatnonzero(own == j)
+    for x in np.flatnonzero(own == i).tolist():
         near = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (i != j))]
         if not len(near):
             continue
         low, high = np.minimum(sizes[near], sizes[x]), np.maximum(sizes[near], sizes[x])
         near = near[100 * low >= PERCENT * high]
         near = near[np.bitwise_count(odd[near] ^ odd[x]).sum(axis=1) <= MOST_BITS]
-        # Of the bands that two share, the first one names the pair.
         near = near[~(bands[near, :band] == bands[x, :band]).any(axis=1)]
-        a += np.minimum(ids[near], ids[x]).tolist()
-        b += np.maximum(ids[near], ids[x]).tolist()
+        if len(near):
+            yield x, near
+
+
+def _alike_members(part: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+    some = np.zeros(len(part), bool)
+    for x, near in _block_pairs(part):
+        some[x] = some[near] = True
+    if some.any():
+        names = ["doc_id", "component", "band", "key", "own", "i", "j"]
+        yield pa.RecordBatch.from_pandas(part.loc[some, names], preserve_index=False)
+
+
+def _block_links(part: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+    ids, label = part["doc_id"].to_numpy(), part["component"].to_numpy().copy()
+    sets = [np.frombuffer(one, np.uint64) for one in part["shingles"]]
+    a, b = [], []
+    for x, near in _block_pairs(part):
+        for y in near.tolist():
+            if label[x] != label[y] and linked(sets[x], sets[y]):
+                label[label == label[y]] = label[x]
+                a.append(min(ids[x], ids[y]))
+                b.append(max(ids[x], ids[y]))
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
+        )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -291,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sketches = stored(sketched(docs), "sketches")
     same = ["set_a", "set_b", "n_shingles"]
-    first = sketches.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
+    first = stored(sketches.groupBy(*same).agg(F.min("doc_id").alias("class_id")), "first")
     members = sketches.select("doc_id", *same).join(first, same).select(
         "doc_id", "n_shingles", "class_id"
     )
@@ -306,19 +352,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stars.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     links = stored(confirmed(docs, stored(_alike(stars, classes), "stars")), "confirmed")
     found = components(links, "a", "b")
-    across = stored(_across(classes, found), "across")
-    if not across.isEmpty():
-        more = stored(confirmed(docs, across), "confirmed")
-        if not more.isEmpty():
-            found = components(links.unionByName(more), "a", "b")
+    more = stored(_across(docs, classes, found), "across")
+    if not more.isEmpty():
+        found = components(links.unionByName(more), "a", "b")
 
     known = found.select(F.col("node").alias("class_id"), F.col("component"))
-    linked = members.join(known, "class_id", "left").select(
+    joined = members.join(known, "class_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")
     )
     ids = docs.select(F.col("doc_id").cast("long"))
     # Rows that repeat an id agree, so any of them will do.
-    repeated = linked.groupBy("doc_id").agg(
+    repeated = joined.groupBy("doc_id").agg(
         F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")
     )
     return ids.join(repeated, "doc_id", "left").select(
