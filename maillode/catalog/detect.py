@@ -33,12 +33,11 @@ DOCS = """docs AS (SELECT doc_id AS i, text, encode(text) AS b FROM documents)""
 
 def _documents(spark, sf_dir) -> DataFrame:
     documents = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return corpus.spread(documents, "doc_id").withColumnRenamed("doc_id", "i")
+    return documents.withColumnRenamed("doc_id", "i")
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    pages = corpus.table(spark, sf_dir, "pages").select("page_id", "html")
-    return corpus.spread(pages, "page_id")
+    return corpus.table(spark, sf_dir, "pages").select("page_id", "html")
 
 
 def _sniffed(contents: DataFrame) -> DataFrame:
@@ -269,7 +268,7 @@ def clean_text(spark, sf_dir):
 
 @query(
     "header_decode",
-    rf"""WITH w AS (SELECT doc_id, left(text, 12) AS t FROM documents)
+    rf"""WITH w AS (SELECT doc_id, text AS t FROM documents)
 SELECT doc_id, CASE doc_id % 4
   WHEN 0 THEN nullif(regexp_replace(t, '^[{SPACES}]+|[{SPACES}]+$', '', 'g'), '')
   WHEN 1 THEN regexp_replace('Re: ' || t, '[{SPACES}]+$', '')
@@ -278,9 +277,8 @@ SELECT doc_id, CASE doc_id % 4
 )
 def header_decode(spark, sf_dir):
     i = F.col("i")
-    word = F.concat(
-        F.lit("=?utf-8?b?"), F.base64(F.encode(F.substring("text", 1, 12), "UTF-8")), F.lit("?=")
-    )
+    whole = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))
+    word = F.concat(F.lit("=?utf-8?b?"), whole, F.lit("?="))
     raw = (
         F.when(i % 4 == 0, word)
         .when(i % 4 == 1, F.concat(F.lit("Re: "), word))
@@ -295,16 +293,16 @@ def header_decode(spark, sf_dir):
     "folder_of",
     f"""WITH {sql.OCC}, pathed AS (
   SELECT maildir_path AS path FROM occ
-  UNION ALL SELECT '/mail' || substr(url, strpos(substr(url, 9), '/') + 8) FROM pages
-    WHERE strpos(substr(url, 9), '/') > 0),
+  UNION ALL SELECT '/mail' || CASE WHEN strpos(substr(url, 9), '/') > 0
+    THEN substr(url, strpos(substr(url, 9), '/') + 8) ELSE '/cur' END FROM pages),
 split AS (SELECT path, string_split(substr(path, 7), '/') AS p FROM pathed)
 SELECT path, CASE WHEN len(p) >= 3 THEN p[1] ELSE 'INBOX' END AS folder FROM split""",
 )
 def folder_of(spark, sf_dir):
     slash = F.locate("/", F.col("url"), 9)
-    pages = corpus.table(spark, sf_dir, "pages").filter(slash > 0)
-    by_url = pages.select(
-        F.concat(F.lit("/mail"), F.substr("url", slash)).alias("maildir_path")
+    path_of = F.when(slash > 0, F.substr("url", slash)).otherwise("/cur")
+    by_url = corpus.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("/mail"), path_of).alias("maildir_path")
     )
     paths = corpus.occurrences(spark, sf_dir).select("maildir_path").unionByName(by_url)
     path = F.col("maildir_path")

@@ -181,16 +181,19 @@ _sort_query("dupes", True)
 
 @query(
     "file_provenance",
-    sql.page(
-        f"{EVERY} WHERE sha256 = (SELECT sha256 FROM occ GROUP BY sha256"
-        " ORDER BY count(*) DESC, sha256 LIMIT 1)",
-        "oldest",
-    ),
+    f"""WITH {sql.OCC}, top AS (SELECT sha256, count(*) AS copies FROM occ GROUP BY sha256
+  ORDER BY count(*) DESC, sha256 LIMIT 1)
+SELECT maildir_path, part_path, folder, filename, date_parsed, copies
+FROM occ JOIN top USING (sha256)""",
 )
 def file_provenance(spark, sf_dir):
-    counts = dedup.digest_counts(corpus.occurrences(spark, sf_dir))
-    top = counts.orderBy(F.desc("copies"), "sha256").first()
-    return _listed(spark, sf_dir, BrowseParams.copies_of(top.sha256))
+    """Every copy of the most repeated file, oldest first."""
+    view = corpus.occurrences(spark, sf_dir)
+    top = dedup.digest_counts(view).orderBy(F.desc("copies"), "sha256").limit(1)
+    rows = view.join(F.broadcast(top), "sha256").orderBy(*b.sort_order("oldest"))
+    return rows.select(
+        "maildir_path", "part_path", "folder", "filename", "date_parsed", "copies"
+    )
 
 
 @query(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import headers, text
+from ..functions import text
 from ..operators import mime
 from ..sources import corpus
 from . import sql
@@ -13,6 +13,9 @@ from .registry import query
 
 MIN_SIZE = 12
 
+LONG_TAIL = """CASE WHEN i % 250 = 10
+  THEN repeat(chr(13) || chr(10) || 'noch eine Zeile', 14000) ELSE '' END"""
+
 # Closed forms of what corpus.mail composes around each document.
 MAIL = f"""
 docs AS (SELECT doc_id AS i, CAST(substr(source, 4) AS BIGINT) AS n, encode(text) AS b
@@ -28,7 +31,7 @@ parts AS (
     NULL AS declared_name, NULL AS content_id,
     CASE i % 9 WHEN 1 THEN encode('<style>p{{}}</style><p>Hallo &amp; ' || i || '</p>')
       WHEN 2 THEN '\\x47\\x72\\xFC\\xDF\\x65\\x20'::BLOB || encode(CAST(i AS VARCHAR))
-      WHEN 3 THEN encode('note') ELSE encode('Grüße ' || i) END AS c
+      WHEN 3 THEN encode('note') ELSE encode('Grüße ' || i || {LONG_TAIL}) END AS c
   FROM m
   UNION ALL
   SELECT i, maildir_path, '2', 'application/octet-stream',
@@ -60,7 +63,12 @@ PART_SQL = (
 
 
 def _parsed(spark, sf_dir, parts=None, bodies=False) -> DataFrame:
-    return mime.parse_messages(corpus.mail(spark, sf_dir), parts=parts, bodies=bodies)
+    return mime.parse_messages(
+        corpus.mail(spark, sf_dir),
+        parts=parts,
+        bodies=bodies,
+        headers_only=not (parts or bodies),
+    )
 
 
 def _part_columns(spark, sf_dir) -> DataFrame:
@@ -111,14 +119,24 @@ def filename_fallback(spark, sf_dir):
 @query(
     "message_body",
     f"""WITH {MAIL}, plain AS (SELECT *,
-  CASE WHEN i % 9 NOT IN (1, 3) THEN 'Grüße ' || i END AS own,
-  CASE WHEN i % 6 = 0 THEN 'inner text' END AS inner_text FROM m)
-SELECT maildir_path, coalesce(own || chr(10) || chr(10) || inner_text, own, inner_text,
-  CASE WHEN i % 9 = 1 THEN 'Hallo & ' || i END, '{text.NO_BODY}') AS body,
-  false AS truncated FROM plain""",
+  CASE WHEN i % 9 NOT IN (1, 3) THEN 'Grüße ' || i || {LONG_TAIL} END AS own,
+  CASE WHEN i % 6 = 0 THEN 'inner text' END AS inner_text FROM m),
+whole AS (SELECT maildir_path, coalesce(own || chr(10) || chr(10) || inner_text, own, inner_text,
+  CASE WHEN i % 9 = 1 THEN 'Hallo & ' || i END, '[nothing to read in this message]') AS body
+  FROM plain)
+SELECT maildir_path, sha256(body) AS body_sha256, length(body) AS chars,
+  left(body, 200000) AS shown, length(body) > 200000 AS truncated FROM whole""",
 )
 def message_body(spark, sf_dir):
-    return mime.body_rows(_parsed(spark, sf_dir, bodies=True))
+    bodies = mime.body_rows(_parsed(spark, sf_dir, bodies=True))
+    shown, cut = text.cut_body(F.col("body"))
+    return bodies.select(
+        "maildir_path",
+        F.sha2("body", 256).alias("body_sha256"),
+        F.length("body").cast("long").alias("chars"),
+        shown.alias("shown"),
+        cut.alias("truncated"),
+    )
 
 
 FROM_ADDR = """CASE WHEN i % 13 = 5 THEN NULL WHEN i % 5 = 0 THEN 'owner@mine.example'
@@ -157,13 +175,16 @@ def direction(spark, sf_dir):
     return messages.select("maildir_path", "direction")
 
 
-DATED = """SELECT maildir_path,
+DAY = "(1 + i % 28)::INT"
+DATED = f"""SELECT maildir_path,
   CASE i % 8
-    WHEN 0 THEN strftime(make_date(2013, 3, (1 + i % 28)::INT), '%a, %d %b %Y 09:15:00 +0100')
-    WHEN 4 THEN strftime(make_date(2013, 3, (1 + i % 28)::INT), '%a, %d %b %Y 09:15:00 -0000')
+    WHEN 0 THEN strftime(make_date(2013, 3, {DAY}), '%a, %d %b %Y 09:15:00 +0100')
+    WHEN 4 THEN strftime(make_date(2013, 3, {DAY}), '%a, %d %b %Y 09:15:00 -0000')
+    WHEN 1 THEN strftime(make_date(1970, 1, {DAY}), '%a, %d %b %Y 00:00:00 +0000')
+    WHEN 6 THEN strftime(make_date(2100, 12, {DAY}), '%a, %d %b %Y 23:59:59 +0000')
     WHEN 3 THEN NULL WHEN 7 THEN NULL ELSE 'not a date at all' END AS date_raw,
-  CASE i % 8 WHEN 0 THEN strftime(make_date(2013, 3, (1 + i % 28)::INT), '%Y-%m-%dT09:15:00+01:00')
-    WHEN 4 THEN strftime(make_date(2013, 3, (1 + i % 28)::INT), '%Y-%m-%dT09:15:00')
+  CASE i % 8 WHEN 0 THEN strftime(make_date(2013, 3, {DAY}), '%Y-%m-%dT09:15:00+01:00')
+    WHEN 4 THEN strftime(make_date(2013, 3, {DAY}), '%Y-%m-%dT09:15:00')
     ELSE CASE WHEN i % 4 <> 2 THEN strftime(make_timestamp((1362000000 + i) * 1000000),
            '%Y-%m-%dT%H:%M:%S+00:00')
          WHEN folder = '.Archives.2007' THEN '2007-01-01T00:00:00+00:00'
@@ -174,6 +195,22 @@ DATED = """SELECT maildir_path,
        ELSE 'none' END AS date_source FROM m"""
 
 
+@query(
+    "direction_rederived",
+    f"""WITH {MAIL} SELECT maildir_path, CASE WHEN i % 13 <> 5 AND i % 5 <> 0 AND i % 11 = 3
+    THEN 'out' WHEN i % 4 = 1 AND i % 3 = 2 THEN 'in'
+    WHEN folder IN ('.Gesendet', '.Sent Messages') THEN 'out'
+    WHEN i % 13 <> 5 THEN 'in' ELSE 'unknown' END AS direction FROM m""",
+)
+def direction_rederived(spark, sf_dir):
+    """Stored messages, decided anew for another owner."""
+    from ..plans.views import rederive_direction
+
+    messages = mime.message_rows(_parsed(spark, sf_dir), corpus.OWNER)
+    anew = rederive_direction(messages, ("p3@mail.example.com", "c2@cc.example"))
+    return anew.select("maildir_path", "direction")
+
+
 @query("date_ladder", f"WITH {MAIL} {DATED}")
 def date_ladder(spark, sf_dir):
     messages = mime.message_rows(_parsed(spark, sf_dir), corpus.OWNER)
@@ -195,20 +232,7 @@ FROM m""",
 def parse_errors(spark, sf_dir):
     parsed = mime.parse_messages(corpus.broken_mail(spark, sf_dir), parts=None)
     # What a row that could be indexed says, and why the others could not.
-    stored = F.col("read_error").isNull() & F.col("index_error").isNull()
-    return parsed.select(
-        "maildir_path",
-        "read_error",
-        "parse_error",
-        "index_error",
-        F.when(stored, _direction()).alias("direction"),
-    )
-
-
-def _direction() -> Column:
-    return headers.direction(
-        mime.first_address(F.col("from_addrs")),
-        mime.all_addresses(F.col("to_addrs")),
-        F.col("folder"),
-        corpus.OWNER,
-    )
+    kept = ("read_error", "index_error")
+    stored = mime.message_rows(parsed, corpus.OWNER).select("maildir_path", "direction")
+    notes = parsed.select("maildir_path", "parse_error", *kept)
+    return notes.join(stored, "maildir_path", "left")

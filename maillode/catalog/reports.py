@@ -84,17 +84,23 @@ def type_mismatch(spark, sf_dir):
 
 @query(
     "adhoc_sql",
-    f"""WITH {sql.OCC} SELECT sniffed_type, year, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes
+    f"""WITH {sql.OCC} SELECT sniffed_type, year, folder, count(*) AS n,
+  CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(length(subject)) AS BIGINT) AS chars
 FROM occ WHERE direction = 'in' GROUP BY ALL""",
 )
 def adhoc_sql(spark, sf_dir):
     view = corpus.occurrences(spark, sf_dir)
-    messages = view.select("maildir_path", "folder", "direction", "subject", "date_parsed")
-    blobs = dedup.blob_rows(view)
-    views.register_views(messages, view, blobs, view)
+    messages = view.select(
+        "maildir_path", "folder", "direction", "subject", "date_parsed"
+    ).distinct()
+    attachments = view.select("maildir_path", "part_path", "sha256", "filename")
+    views.register_views(messages, attachments, dedup.blob_rows(view), view)
     return spark.sql(
-        "SELECT sniffed_type, year, count(*) AS n, sum(size) AS bytes FROM v_attachments"
-        " WHERE direction = 'in' GROUP BY sniffed_type, year"
+        "SELECT b.sniffed_type, v.year, m.folder, count(*) AS n, sum(b.size) AS bytes,"
+        " sum(length(m.subject)) AS chars FROM v_attachments v"
+        " JOIN attachments a ON a.maildir_path = v.maildir_path AND a.part_path = v.part_path"
+        " JOIN blobs b ON b.sha256 = a.sha256 JOIN messages m ON m.maildir_path = a.maildir_path"
+        " WHERE m.direction = 'in' GROUP BY b.sniffed_type, v.year, m.folder"
     )
 
 

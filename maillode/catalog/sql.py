@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import sniff
-
 FOLDER_LIST = (
     "['INBOX', '.Gesendet', '.Archives.2007', '.Junk', '.reports.dmarc',"
     " '.Sent Messages', '.Projects.2013.Inbox', '.Spam']"
@@ -17,26 +15,69 @@ def fold(column: str) -> str:
     return f"translate({column}, {FOLD})"
 
 
+# Fixed values, stated here a second time so that the reference SQL depends on nothing that it
+# is to check: hexadecimal leading bytes, type, extension.
+LEADING_BYTES = """
+255044462D application/pdf pdf
+89504E470D0A1A0A image/png png
+FFD8FF image/jpeg jpg
+474946383761 image/gif gif
+474946383961 image/gif gif
+49492A00 image/tiff tif
+4D4D002A image/tiff tif
+424D image/bmp bmp
+00000100 image/vnd.microsoft.icon ico
+25215053 application/postscript ps
+1F8B application/gzip gz
+425A68 application/x-bzip2 bz2
+377ABCAF271C application/x-7z-compressed 7z
+526172211A07 application/vnd.rar rar
+D0CF11E0 application/x-ole-storage doc
+7B5C727466 application/rtf rtf
+4F676753 audio/ogg ogg
+494433 audio/mpeg mp3
+664C6143 audio/flac flac
+0001000000 font/ttf ttf
+4F54544F font/otf otf
+774F4646 font/woff woff
+7F454C46 application/x-executable elf
+CAFEBABE application/java-vm class
+53514C69746520666F726D6174203300 application/vnd.sqlite3 sqlite
+"""
+OFFICE = "application/vnd.openxmlformats-officedocument"
+
+
 def sniff_case(blob: str, result: int) -> str:
     """Type (1) or extension (2) of a blob, by hexadecimal comparison."""
     head = f"hex({blob}[1:16])"
-    window = f"hex({blob}[1:{sniff.CONTAINER_BYTES}])"
-    text = f"hex({blob}[1:{sniff.HEAD_BYTES}])"
-    is_zip = f"substr({head}, 1, 8) IN ({', '.join(repr(h) for h in sniff.ZIP_HEADS)})"
+    window = f"hex({blob}[1:4096])"
+    text = f"hex({blob}[1:512])"
+    is_zip = f"substr({head}, 1, 8) IN ('504B0304', '504B0506', '504B0708')"
+    odf = "application/vnd.oasis.opendocument"
+    inside = [
+        ("mimetype" + odf, odf, "odf"),
+        ("word/", OFFICE + ".wordprocessingml.document", "docx"),
+        ("xl/", OFFICE + ".spreadsheetml.sheet", "xlsx"),
+        ("ppt/", OFFICE + ".presentationml.presentation", "pptx"),
+    ]
     rules = [
         (f"{is_zip} AND contains({window}, '{_hex(marker)}')", mime, ext)
-        for marker, mime, ext in sniff.ZIP_MARKERS
+        for marker, mime, ext in inside
     ]
     rules.append((is_zip, "application/zip", "zip"))
+    brands = ", ".join(f"'{_hex('ftyp' + b)}'" for b in ("isom", "mp42", "M4A ", "qt  "))
+    rules.append((f"substr({head}, 9, 16) IN ({brands})", "video/mp4", "mp4"))
     rules += [
-        (f"substr({head}, 9, 16) = '{_hex(brand)}'", "video/mp4", "mp4")
-        for brand in sniff.MP4_BRANDS
-    ]
-    rules += [
-        (f"{head} LIKE '{_hex('RIFF')}________{_hex(form)}%'", mime, ext)
-        for form, mime, ext in sniff.RIFF_FORMS
+        (f"{head} LIKE '52494646________{_hex(form)}%'", mime, ext)
+        for form, mime, ext in (
+            ("WAVE", "audio/wav", "wav"),
+            ("WEBP", "image/webp", "webp"),
+            ("AVI ", "video/x-msvideo", "avi"),
+        )
     ]
-    rules += [(f"starts_with({head}, '{p}')", mime, ext) for p, mime, ext in sniff.PREFIXES]
+    for line in LEADING_BYTES.split("\n")[1:-1]:
+        prefix, mime, ext = line.split()
+        rules.append((f"starts_with({head}, '{prefix}')", mime, ext))
     blank = "^(09|0A|0B|0C|0D|20)*"
     rules += [
         (f"regexp_matches({text}, '{blank}3C3F[57]8[46]D[46]C')", "application/xml", "xml"),
@@ -45,7 +86,7 @@ def sniff_case(blob: str, result: int) -> str:
             "text/html",
             "html",
         ),
-        (f"TRY(decode({blob}[1:{sniff.HEAD_BYTES}])) IS NOT NULL", "text/plain", "txt"),
+        (f"TRY(decode({blob}[1:512])) IS NOT NULL", "text/plain", "txt"),
     ]
     whens = " ".join(f"WHEN {rule[0]} THEN '{rule[result]}'" for rule in rules)
     return f"CASE {whens} END"
@@ -77,7 +118,7 @@ occ AS (
     {sniff_case("b", 2)} AS sniffed_ext,
     {FOLDER_LIST}[n % 8 + 1] AS folder,
     ['out', 'in', 'unknown'][i % 3 + 1] AS direction,
-    left(text, 40) AS subject,
+    text AS subject,
     'Person ' || (i % 11) || ' <p' || (i % 11) || '@mail' || (i % 5) || '.example.com>' AS from_raw,
     CASE WHEN i % 3 = 0 THEN 'someone@elsewhere.example' ELSE 'me@example.com' END AS to_raw,
     CASE WHEN i % 10 <> 0 THEN (2002 + i % 12) || '-0' || (1 + i % 9) || '-1' || (i % 10)

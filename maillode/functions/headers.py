@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import blank_to_null, strip
+
 # Words that mark a folder of sent mail, matched whole in any case.
 SENT_WORDS = ("sent", "gesendet", "ausgang", "outbox", "postausgang")
 
@@ -42,15 +44,15 @@ def rfc5322_iso(raw: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def decode_words(raw: pd.Series) -> pd.Series:
-    """Column form of :func:`rfc2047`."""
+def _decoded(raw: pd.Series) -> pd.Series:
     return raw.map(rfc2047, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def parse_date(raw: pd.Series) -> pd.Series:
-    """Column form of :func:`rfc5322_iso`."""
-    return raw.map(rfc5322_iso, na_action="ignore")
+def decode_words(raw: Column) -> Column:
+    """Column form of :func:`rfc2047`; only text with encoded words goes to Python."""
+    encoded = F.contains(raw, F.lit("=?"))
+    plain = blank_to_null(strip(raw))
+    return F.when(encoded, _decoded(F.when(encoded, raw))).otherwise(plain)
 
 
 def folder_of(path: Column, root: str) -> Column:

@@ -37,7 +37,7 @@ MARKUP = (
 # How much of a text file is shown, and how much of a body.
 TEXT_VIEW_BYTES = 262_144
 BODY_CHARS = 200_000
-NO_BODY = "(no text body -- this message was attachments only)"
+NO_BODY = "[nothing to read in this message]"
 
 _LIKE_ESCAPE = "\x01"
 
@@ -122,20 +122,22 @@ def html_to_text(col: Column) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def text_view(content: Column, sniffed_type: Column) -> Column:
+def text_view(
+    content: Column, sniffed_type: Column, view_bytes: int = TEXT_VIEW_BYTES
+) -> Column:
     """Struct (text, charset, truncated) for showing a stored text file.
 
     The cut comes before the decoding, so a character split at the limit moves
     the file down the ladder.
     """
-    head = F.substring(content, 1, TEXT_VIEW_BYTES)
+    head = F.substring(content, 1, view_bytes)
     text = decode_ladder(head)
     is_html = sniffed_type.eqNullSafe("text/html")
     shown = F.when(is_html, html_to_text(F.when(is_html, text))).otherwise(text)
     return F.struct(
         shown.alias("text"),
         charset_of(head).alias("charset"),
-        (F.octet_length(content) > TEXT_VIEW_BYTES).alias("truncated"),
+        (F.octet_length(content) > view_bytes).alias("truncated"),
     )
 
 
@@ -154,6 +156,6 @@ def body_text(texts: Column) -> Column:
     return F.coalesce(strip(plain), html_to_text(rich), F.lit(NO_BODY))
 
 
-def cut_body(body: Column) -> tuple[Column, Column]:
+def cut_body(body: Column, chars: int = BODY_CHARS) -> tuple[Column, Column]:
     """The body as shown and whether it was cut."""
-    return F.substring(body, 1, BODY_CHARS), F.length(body) > BODY_CHARS
+    return F.substring(body, 1, chars), F.length(body) > chars

@@ -14,7 +14,13 @@ from pyspark.sql.window import Window
 from ..functions.names import effective_type
 from ..functions.text import ascii_fold, like_ascii
 from ..sources.scratch import scratch
-from .dedup import OCCURRENCE_KEY, collapse, digest_counts, only_duplicated, with_copies
+from .dedup import (
+    OCCURRENCE_KEY,
+    digest_counts,
+    only_duplicated,
+    representatives,
+    with_copies,
+)
 
 PAGE_SIZE = 120
 
@@ -47,7 +53,7 @@ LISTED = (
 
 # A page this far down is found by counting sorted partitions, because keeping
 # every row above it in each task would not be a top-k any more.
-DEEP_ROWS = 1_000_000
+DEEP_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -193,7 +199,9 @@ def deep_page(rows: DataFrame, order: list[Column], skip: int, size: int) -> Dat
     )
 
 
-def listing(view: DataFrame, attachments: DataFrame, params: BrowseParams) -> DataFrame:
+def listing(
+    view: DataFrame, attachments: DataFrame, params: BrowseParams, size: int = PAGE_SIZE
+) -> DataFrame:
     """One page of a listing: filter, collapse, sort, cut, then count copies.
 
     The representative of a file is chosen among the rows that match, its
@@ -201,33 +209,37 @@ def listing(view: DataFrame, attachments: DataFrame, params: BrowseParams) -> Da
     taken for the files of the page alone.
     """
     rows = browse(view, attachments, params).select(*LISTED)
-    if params.collapse:
-        rows = collapse(rows)
     order = sort_order(params.sort)
+    keys = rows.select(*OCCURRENCE_KEY, "sha256", "date_parsed", "size", "filename")
+    if params.collapse:
+        keys = representatives(keys, "size", "filename")
     if params.sort == "dupes":
         if params.collapse:
             # Both sides hold a digest once and are already spread by it.
-            counted = rows.join(digest_counts(attachments), "sha256")
+            keys = keys.join(digest_counts(attachments), "sha256")
         else:
-            counted = with_copies(rows, attachments)
-        return page_of(counted, order, params.page)
-    page = page_of(rows, order, params.page)
-    count = count_collapsed if params.collapse else count_listed
-    return count(page, attachments).orderBy("pos").limit(PAGE_SIZE)
+            keys = with_copies(keys, attachments)
+    # The page is cut on narrow rows; the others of its columns are fetched for it alone.
+    page = page_of(keys, order, params.page, size)
+    known = [c for c in ("pos", "copies") if c in page.columns]
+    fetched = rows.join(F.broadcast(page.select(*OCCURRENCE_KEY, *known)), list(OCCURRENCE_KEY))
+    if "copies" not in known:
+        fetched = count_on_page(fetched, attachments)
+    return fetched.select(*LISTED, "pos", "copies").orderBy("pos").limit(size)
 
 
-def count_collapsed(page: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Add ``copies`` to a page where each file is listed once."""
-    occurrences = attachments.select("sha256")
-    counted = occurrences.join(F.broadcast(page), "sha256").groupBy(*page.columns)
-    return counted.agg(F.count("*").alias("copies"))
+def count_on_page(page: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Add ``copies`` to the rows of a page, which stands once in the plan.
 
-
-def count_listed(page: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Add ``copies`` to a page that may list a file several times."""
-    on_page = F.broadcast(page.select("sha256").distinct())
-    counts = digest_counts(attachments.join(on_page, "sha256", "left_semi"))
-    return page.join(F.broadcast(counts), "sha256")
+    The page's rows are gathered by digest, at most a page of them, and met by all
+    occurrences once; what is left after counting is unfolded again.
+    """
+    files = page.groupBy("sha256").agg(F.collect_list(F.struct(*page.columns)).alias("rows"))
+    occurrences = attachments.select("sha256").join(F.broadcast(files), "sha256")
+    counted = occurrences.groupBy("sha256").agg(
+        F.count("*").alias("copies"), F.any_value("rows").alias("rows")
+    )
+    return counted.select("copies", F.inline("rows"))
 
 
 def listing_totals(view: DataFrame, attachments: DataFrame, params: BrowseParams) -> DataFrame:

@@ -2,7 +2,7 @@
 
 One file may account for a large share of all occurrences, so nothing here
 brings the rows of one digest together: counts and minima are taken before the
-shuffle, and rows of hot keys are joined without being shuffled at all.
+shuffle, and rows of hot keys are dealt over many tasks before they are joined.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from ..functions.names import blob_path
 # A key is hot from this many rows on. At most rows / HOT_ROWS keys can be, which
 # bounds what is broadcast: 2,000 keys for two billion occurrences.
 HOT_ROWS = 1_000_000
+# Into how many parts the rows of a hot key are dealt.
+SALTS = 64
 
 OCCURRENCE_KEY = ("maildir_path", "part_path")
 
@@ -32,6 +34,16 @@ def collapse(view: DataFrame) -> DataFrame:
     return view.groupBy("sha256").agg(row.alias("first")).select("first.*")
 
 
+def representatives(rows: DataFrame, *facts: str) -> DataFrame:
+    """Of each digest, the key of its earliest occurrence and some facts of it.
+
+    The narrow form of :func:`collapse`, for choosing before other columns are fetched.
+    """
+    narrow = F.struct(*dict.fromkeys((*OCCURRENCE_KEY, "date_parsed", *facts)))
+    chosen = rows.groupBy("sha256").agg(F.min_by(narrow, earliest_first()).alias("first"))
+    return chosen.select("sha256", "first.*")
+
+
 def digest_counts(attachments: DataFrame) -> DataFrame:
     """(sha256, copies) over all occurrences."""
     return attachments.groupBy("sha256").agg(F.count("*").alias("copies"))
@@ -44,29 +56,30 @@ def duplicate_digests(attachments: DataFrame) -> DataFrame:
 def join_unique(
     rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Join rows to a lookup with one row per key, whatever share one key holds.
-
-    Rows of hot keys meet a broadcast of just those lookup rows; all others are
-    joined by Spark's own choice of strategy.
-    """
+    """Join rows to a lookup with one row per key, whatever share one key holds."""
     weights = rows.groupBy(key).agg(F.count("*").alias("__rows"))
-    return _split_join(rows, lookup, weights.filter(F.col("__rows") >= hot_rows), key, how)
-
-
-def _split_join(rows, lookup, hot_keys, key, how) -> DataFrame:
-    hot_keys = hot_keys.select(key)
-    hot_lookup = hot_keys.join(lookup, key, "left" if how == "left" else "inner")
-    hot = rows.join(F.broadcast(hot_lookup), key, "left_semi" if how == "left_semi" else "inner")
-    rest = rows.join(F.broadcast(hot_keys), key, "left_anti").join(lookup, key, how)
-    both = hot.unionByName(rest)
-    return both.select(rows.columns) if how == "left_semi" else both
+    return _salted_join(rows, lookup, weights.filter(F.col("__rows") >= hot_rows), key, how)
+
+
+def _salted_join(rows, lookup, hot_keys, key, how) -> DataFrame:
+    """One join on (key, salt): rows of hot keys are dealt over all salts, and only their
+    lookup rows are repeated for each. Cold keys have salt 0 on both sides."""
+    hot = F.broadcast(hot_keys.select(key, F.lit(True).alias("__hot")))
+    dealt = F.pmod(F.xxhash64(*[c for c in OCCURRENCE_KEY if c in rows.columns] or [key]), SALTS)
+    salt = F.when(F.col("__hot"), dealt).otherwise(0).cast("int").alias("__salt")
+    every = F.sequence(F.lit(0), F.when(F.col("__hot"), SALTS - 1).otherwise(0))
+    left = rows.join(hot, key, "left").select(*rows.columns, salt)
+    right = lookup.join(hot, key, "left").select(
+        *lookup.columns, F.explode(every).alias("__salt")
+    )
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 def with_copies(rows: DataFrame, attachments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``copies``: how often each row's digest occurs among all attachments."""
     counts = digest_counts(attachments)
     hot_keys = counts.filter(F.col("copies") >= hot_rows)
-    return _split_join(rows, counts, hot_keys, "sha256", "inner")
+    return _salted_join(rows, counts, hot_keys, "sha256", "inner")
 
 
 def only_duplicated(
@@ -75,7 +88,7 @@ def only_duplicated(
     """Keep rows whose digest occurs more than once among all attachments."""
     doubled = duplicate_digests(attachments)
     hot_keys = doubled.filter(F.col("copies") >= hot_rows)
-    return _split_join(rows, doubled.select("sha256"), hot_keys, "sha256", "left_semi")
+    return _salted_join(rows, doubled.select("sha256"), hot_keys, "sha256", "left_semi")
 
 
 def blob_rows(attachments: DataFrame) -> DataFrame:
@@ -83,18 +96,18 @@ def blob_rows(attachments: DataFrame) -> DataFrame:
 
     The first occurrence by path stands for all, so a re-run picks the same one.
     """
-    first = F.min(
-        F.struct(*map(F.col, OCCURRENCE_KEY), "size", "sniffed_type", "sniffed_ext")
-    )
+    # Size and type follow from the content, so they are grouped by along with its digest.
+    same = ["sha256", "size", "sniffed_type", "sniffed_ext"]
+    first = F.min(F.struct(*map(F.col, OCCURRENCE_KEY)))
     return (
-        attachments.groupBy("sha256")
+        attachments.groupBy(*same)
         .agg(first.alias("first"))
         .select(
             "sha256",
-            "first.size",
+            "size",
             blob_path(F.col("sha256")).alias("blob_path"),
-            "first.sniffed_type",
-            "first.sniffed_ext",
+            "sniffed_type",
+            "sniffed_ext",
             "first.maildir_path",
             "first.part_path",
         )

@@ -29,7 +29,9 @@ def first_files(
     return marked.orderBy("failed_before", "maildir_path").limit(limit).drop("failed_before")
 
 
-def failure_rows(scanned: DataFrame, parsed: DataFrame) -> DataFrame:
+def failure_rows(
+    scanned: DataFrame, parsed: DataFrame, lost: DataFrame | None = None
+) -> DataFrame:
     """(maildir_path, part_path, problem) of whatever a run could not take in."""
     whole = F.lit(None).cast("string").alias("part_path")
     unseen_files = scanned.filter(F.col("read_error").isNotNull()).select(
@@ -44,7 +46,8 @@ def failure_rows(scanned: DataFrame, parsed: DataFrame) -> DataFrame:
         .filter(F.col("part.part_error").isNotNull())
         .select("maildir_path", "part.part_path", F.col("part.part_error").alias("problem"))
     )
-    return unseen_files.unionByName(messages).unionByName(parts)
+    rows = unseen_files.unionByName(messages).unionByName(parts)
+    return rows if lost is None else rows.unionByName(lost.select(*rows.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
@@ -70,10 +73,11 @@ def run_statistics(
     parsed: DataFrame,
     attachments: DataFrame,
     new_blobs: DataFrame,
+    lost: DataFrame | None = None,
 ) -> DataFrame:
     """One row counting what a run scanned, skipped, indexed, stored and failed on.
 
-    Each input is reduced to one row before they are added up.
+    Messages of which a part was lost count as errors, by parts, and not as indexed. Each input is reduced to one row before they are added up.
     """
     failed_parts = F.size(F.filter("parts", lambda p: p["part_error"].isNotNull()))
     broken = F.col("read_error").isNotNull() | F.col("index_error").isNotNull()
@@ -94,6 +98,13 @@ def run_statistics(
         attachments.select(F.count("*").alias("attachments")),
         new_blobs.select(F.count("*").alias("new_blobs")),
     ]
+    if lost is not None:
+        opened = parsed.filter(F.col("from_addrs").isNotNull() & ~broken).select("maildir_path")
+        gone = lost.select("maildir_path").distinct().join(opened, "maildir_path", "left_semi")
+        counts += [
+            gone.select((-F.count("*")).alias("indexed")),
+            lost.select(F.count("*").alias("errors")),
+        ]
     names = ["scanned", "unseen", "read", "indexed", "attachments", "new_blobs", "errors"]
     padded = [
         one.select(*[F.col(n) if n in one.columns else F.lit(0).alias(n) for n in names])

@@ -8,11 +8,11 @@ the stage, so whole attachments leave Python only when a caller asks for them.
 
 from __future__ import annotations
 
-import email
 import email.policy
 import hashlib
 from collections.abc import Iterator, Sequence
 from email.message import Message
+from email.parser import BytesHeaderParser, BytesParser
 from email.policy import EmailPolicy
 from email.utils import getaddresses
 from functools import lru_cache
@@ -96,16 +96,27 @@ def modern_policy() -> EmailPolicy:
     return email.policy.default.clone(header_factory=parse_header)
 
 
-def read_message(raw: bytes, modern: EmailPolicy) -> tuple[Message | None, str | None]:
-    """Parse under the modern policy, then the lenient one, else report why not."""
-    problem = None
-    policies = ((modern, "compat32 fallback"), (email.policy.compat32, "unparseable"))
-    for policy, note in policies:
-        try:
-            return email.message_from_bytes(raw, policy=policy), problem
-        except Exception as exc:
-            problem = f"{note}: {exc!r}"
-    return None, problem
+# What the stored note on a parse says before the error.
+FALLBACK_NOTE, UNPARSEABLE_NOTE = "compat32 fallback", "unparseable"
+
+
+def read_message(
+    raw: bytes, modern: EmailPolicy, headers_only: bool = False
+) -> tuple[Message | None, str | None]:
+    """The message, and what stood in the way of the modern policy.
+
+    With ``headers_only`` the body isn't taken apart, so faults of its structure don't show.
+    """
+    parser = BytesHeaderParser if headers_only else BytesParser
+    try:
+        return parser(policy=modern).parsebytes(raw), None
+    except Exception as exc:
+        modern_fault = exc
+    try:
+        lenient = parser(policy=email.policy.compat32).parsebytes(raw)
+    except Exception as exc:
+        return None, f"{UNPARSEABLE_NOTE}: {exc!r}"
+    return lenient, f"{FALLBACK_NOTE}: {modern_fault!r}"
 
 
 def addressed_parts(message: Message) -> Iterator[tuple[str, Message]]:
@@ -143,59 +154,82 @@ def addressed_parts(message: Message) -> Iterator[tuple[str, Message]]:
         to_open.extend(reversed(found))
 
 
-def part_bytes(part: Message) -> tuple[bytes | None, bool]:
-    """Decoded content, or the payload as it stands with True when it cannot be decoded."""
-    decoded = _attempt(part, decode=True)
-    if decoded is not None:
-        return decoded, False
-    match _attempt(part, decode=False):
-        case str(payload):
-            return payload.encode("utf-8", "replace"), True
-        case bytes(payload):
-            return payload, True
-    return None, True
-
+def leaf_content(leaf: Message) -> tuple[bytes | None, bool]:
+    """The decoded bytes of a leaf, and whether there was no decoding it.
 
-def _attempt(part: Message, decode: bool):
+    An attached message is a leaf without bytes of its own. Broken encodings are repaired by
+    the library and leave a defect; only an unreadable encoding header stops it, and that
+    stops every other look at the payload as well.
+    """
+    if leaf.is_multipart():
+        return None, True
     try:
-        return part.get_payload(decode=decode)
+        return leaf.get_payload(decode=True), False
     except Exception:
-        return None
+        return None, True
+
+
+def _described(leaf: Message, content: bytes | None) -> dict:
+    """What the part's headers say, and the digest and leading bytes of its content."""
+    declared = leaf.get_filename()
+    raw_name = leaf.get_param("name", header="content-type") if declared is None else declared
+    raw_name = _storable(str(raw_name)) if raw_name else None
+    content_id = leaf.get("Content-ID")
+    record = {
+        "content_type": _storable((leaf.get_content_type() or "").lower() or None),
+        "disposition": _storable(leaf.get_content_disposition()),
+        "named": bool(declared),
+        "filename_raw": raw_name,
+        "filename": _storable(rfc2047(raw_name)),
+        "content_id": _storable(str(content_id)) if content_id else None,
+        "transfer_defects": [type(d).__name__ for d in leaf.defects],
+    }
+    if content is not None:
+        record["size"] = len(content)
+        record["sha256"] = hashlib.sha256(content).hexdigest()
+        record["head"] = content[:CONTAINER_BYTES]
+    return record
 
 
-def part_record(address: str, part: Message, with_content: bool) -> dict:
-    record = {"part_path": _storable(address)}
+def _readable(leaf: Message, content: bytes | None) -> dict | None:
+    """The text that a leaf adds to the body of its message."""
+    kind = leaf.get_content_type()
+    if content is None or kind not in BODY_TYPES or leaf.get_content_disposition() == "attachment":
+        return None
     try:
-        record["content_type"] = _storable((part.get_content_type() or "").lower() or None)
-        record["disposition"] = _storable(part.get_content_disposition())
-        declared = part.get_filename()
-        record["named"] = bool(declared)
-        if declared is None:
-            declared = part.get_param("name", header="content-type")
-        record["filename_raw"] = _storable(str(declared)) if declared else None
-        record["filename"] = _storable(rfc2047(record["filename_raw"]))
-        content_id = part.get("Content-ID")
-        record["content_id"] = _storable(str(content_id)) if content_id else None
-        content, record["decode_failed"] = part_bytes(part)
-        if content is not None:
-            record["size"] = len(content)
-            record["sha256"] = hashlib.sha256(content).hexdigest()
-            record["head"] = content[:CONTAINER_BYTES]
-            record["content"] = content if with_content else None
-        record["transfer_defects"] = [type(d).__name__ for d in part.defects]
-    except Exception as exc:
-        record["part_error"] = repr(exc)
-    return record
+        shown = content.decode(leaf.get_content_charset() or "utf-8", "replace")
+    except (LookupError, ValueError):  # no such character set
+        return None
+    return {"content_type": kind, "text": shown.encode("utf-8", "replace").decode("utf-8")}
 
 
-def part_records(message: Message, with_content: bool) -> list[dict]:
-    records = []
-    try:
-        for address, part in addressed_parts(message):
-            records.append(part_record(address, part, with_content))
-    except Exception as exc:
-        records.append({"part_path": "?", "part_error": repr(exc)})
-    return records
+def tree_record(message: Message, parts: str | None, bodies: bool) -> dict:
+    """Parts and body texts from one walk, in which every leaf is decoded once."""
+    described, texts, unreadable = [], [], None
+    walk = addressed_parts(message)
+    while True:
+        record: dict = {"part_path": "?"}
+        try:
+            address, leaf = next(walk)
+            record["part_path"] = _storable(address)
+            content, record["decode_failed"] = leaf_content(leaf)
+            if parts:
+                record |= _described(leaf, content)
+                record["content"] = content if parts == "content" else None
+            if bodies and (text := _readable(leaf, content)):
+                texts.append(text)
+        except StopIteration:
+            break
+        except Exception as exc:
+            record["part_error"] = repr(exc)
+            unreadable = unreadable or exc
+        described.append(record)
+    out: dict = {"parts": described} if parts else {}
+    if bodies and unreadable is None:
+        out["texts"] = texts
+    elif bodies:
+        out["body_error"] = f"[this message's text can't be read: {unreadable}]"
+    return out
 
 
 def header_record(message: Message) -> dict:
@@ -241,30 +275,6 @@ def addresses(message: Message, header_names: Sequence[str]) -> list[str]:
     return found
 
 
-def body_record(message: Message) -> dict:
-    """Texts of the body in reading order, attached messages included."""
-    texts = []
-    try:
-        for part in message.walk():
-            kind = part.get_content_type()
-            if kind in BODY_TYPES and part.get_content_disposition() != "attachment":
-                content = _body_piece(part)
-                if content is not None:
-                    texts.append({"content_type": kind, "text": content})
-    except Exception as exc:
-        return {"body_error": f"(could not read the message: {exc})"}
-    return {"texts": texts}
-
-
-def _body_piece(part: Message) -> str | None:
-    try:
-        content = part.get_payload(decode=True)
-        decoded = content.decode(part.get_content_charset() or "utf-8", "replace")
-        return decoded.encode("utf-8", "replace").decode("utf-8")
-    except Exception:
-        return None
-
-
 def _storable(value: str | None) -> str | None:
     """Refuse text that no UTF-8 column can hold, as the row could not be stored."""
     if value is not None:
@@ -278,10 +288,11 @@ def message_record(
     parts: str | None,
     bodies: bool,
     modern: EmailPolicy,
+    headers_only: bool = False,
 ) -> dict:
     if raw is None:
         return {"read_error": read_error or "no bytes"}
-    message, parse_error = read_message(raw, modern)
+    message, parse_error = read_message(raw, modern, headers_only)
     record = {"parse_error": parse_error}
     if message is None:
         return record
@@ -289,10 +300,8 @@ def message_record(
         record |= header_record(message)
     except Exception as exc:
         return record | {"index_error": repr(exc)}
-    if parts:
-        record["parts"] = part_records(message, parts == "content")
-    if bodies:
-        record |= body_record(message)
+    if parts or bodies:
+        record |= tree_record(message, parts, bodies)
     return record
 
 
@@ -300,16 +309,21 @@ def message_record(
 
 
 def parse_messages(
-    messages: DataFrame, *, parts: str | None = "meta", bodies: bool = False
+    messages: DataFrame,
+    *,
+    parts: str | None = "meta",
+    bodies: bool = False,
+    headers_only: bool = False,
 ) -> DataFrame:
     """Open each message of (raw BINARY, ...) and add the PARSED columns for it.
 
     ``parts``: None skips the MIME tree, "meta" describes each part, "content"
-    carries its bytes too. ``bodies`` adds the texts of the body. Other columns
+    carries its bytes too. ``bodies`` adds the texts of the body. ``headers_only``, for
+    callers that want neither, leaves the rest of the mail alone. Other columns
     are kept. Nothing outside the stage can prune what it computes, so ask for
     no more than is used.
     """
-    return _message_stage(messages, "raw", lambda raw: (raw, None), parts, bodies)
+    return _message_stage(messages, "raw", lambda raw: (raw, None), parts, bodies, headers_only)
 
 
 def parse_files(files: DataFrame, *, parts: str | None = "meta", bodies: bool = False) -> DataFrame:
@@ -317,7 +331,9 @@ def parse_files(files: DataFrame, *, parts: str | None = "meta", bodies: bool =
     return _message_stage(files, "maildir_path", read_file, parts, bodies)
 
 
-def _message_stage(source: DataFrame, column: str, load, parts, bodies) -> DataFrame:
+def _message_stage(
+    source: DataFrame, column: str, load, parts, bodies, headers_only=False
+) -> DataFrame:
     kept = [f for f in source.schema.fields if f.name != "raw"]
     schema = T.StructType(kept + PARSED.fields)
     kept_names = [f.name for f in kept]
@@ -337,7 +353,7 @@ def _message_stage(source: DataFrame, column: str, load, parts, bodies) -> DataF
             start, held, records = 0, 0, []
             for i in range(len(inputs)):
                 raw, problem = load(inputs[i].as_py())
-                records.append(message_record(raw, problem, parts, bodies, modern))
+                records.append(message_record(raw, problem, parts, bodies, modern, headers_only))
                 held += len(raw or b"")
                 if held >= BYTES_PER_BATCH or len(records) == ROWS_PER_BATCH:
                     yield emit(batch, start, i + 1, records)
@@ -349,7 +365,7 @@ def _message_stage(source: DataFrame, column: str, load, parts, bodies) -> DataF
 
 
 def is_attachment(part: Column) -> Column:
-    """Worth extracting: declared so, named, or simply not body text."""
+    """Whether a part is kept as a file: every leaf that isn't text of the message itself."""
     kind = F.coalesce(part["content_type"], F.lit(""))
     body_like = F.startswith(kind, F.lit("text/")) | (kind == "message/rfc822")
     return ~F.startswith(kind, F.lit("multipart/")) & (
@@ -491,9 +507,7 @@ def occurrence_rows(parsed: DataFrame, me: Sequence[str], min_size: int = 1) ->
 
 
 def body_rows(parsed: DataFrame) -> DataFrame:
-    """(maildir_path, body, truncated) for every message that was opened."""
+    """(maildir_path, body) for every message that was opened, whole."""
     body = F.coalesce("body_error", text.body_text(F.col("texts")))
     opened = parsed.filter(F.col("texts").isNotNull() | F.col("body_error").isNotNull())
-    whole = opened.select("maildir_path", body.alias("body"))
-    shown, cut = text.cut_body(F.col("body"))
-    return whole.select("maildir_path", shown.alias("body"), cut.alias("truncated"))
+    return opened.select("maildir_path", body.alias("body"))

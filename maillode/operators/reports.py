@@ -26,14 +26,20 @@ def storage_by_type(view: DataFrame, top: int = STORAGE_TYPES) -> DataFrame:
 
 def wasted_space(view: DataFrame, top: int = WASTE_FILES) -> DataFrame:
     """What duplication costs: size times the copies beyond the first, per file."""
-    key = F.struct(*map(F.col, OCCURRENCE_KEY))
     files = view.groupBy("sha256").agg(
-        F.min_by("filename", key).alias("filename"),
-        F.max("size").alias("size"),
-        F.count("*").alias("copies"),
+        F.max("size").alias("size"), F.count("*").alias("copies")
     )
     wasted = files.withColumn("wasted", F.col("size") * (F.col("copies") - 1))
-    return wasted.orderBy(F.desc("wasted"), F.asc("sha256")).limit(top)
+    worst = wasted.orderBy(F.desc("wasted"), F.asc("sha256")).limit(top)
+    # Names are looked up for the few files of the report only.
+    names = view.select("sha256", "filename", *OCCURRENCE_KEY)
+    names = names.join(F.broadcast(worst), "sha256").groupBy(*worst.columns)
+    named = names.agg(
+        F.min_by("filename", F.struct(*map(F.col, OCCURRENCE_KEY))).alias("filename")
+    )
+    return named.select("sha256", "filename", "size", "copies", "wasted").orderBy(
+        F.desc("wasted"), F.asc("sha256")
+    )
 
 
 def type_share(blobs: DataFrame) -> DataFrame:

@@ -3,10 +3,15 @@
 1. list paths, read sizes and times, drop the files already stored;
 2. parse what is left once, writing headers, part descriptions and body text,
    but no attachment bytes, to a staging table;
-3. derive messages, attachments, bodies and new blobs from the staging table;
-4. read again the messages chosen to supply the bytes of new digests, each once.
-
-Attachment bytes are never shuffled and never staged: step 4 spreads (message,
+3. read again the messages chosen to supply the bytes of new digests, and write
+   these; a digest whose message has moved or changed since is looked for in the
+   other messages that hold it;
+4. derive messages, attachments, bodies and blobs from the staging table. A digest
+   becomes a blob only with its bytes stored. Messages with a digest that could not
+   be read are listed as failures, and as they aren't stored, the next run tries
+   them again.
+
+Attachment bytes are never shuffled and never staged: step 3 spreads (message,
 part) pairs and reads each file in the task that writes its content. Every step
 reads files or written tables, so a lost executor costs its tasks and no more.
 """
@@ -23,7 +28,7 @@ from email.policy import EmailPolicy
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import incremental
@@ -32,12 +37,12 @@ from ..operators.mime import (
     addressed_parts,
     attachment_rows,
     body_rows,
+    leaf_content,
     message_rows,
     modern_policy,
     occurrence_rows,
     parse_files,
     parse_messages,
-    part_bytes,
     read_message,
     with_kinds,
 )
@@ -45,11 +50,9 @@ from ..sources.maildir import read_file, scan_maildir, with_file_stats
 from .store import IndexStore, open_index
 from .views import rederive_direction
 
-# Aims for tasks that fit an executor. The cap keeps the shuffle of paths to a
-# sensible number of blocks; a task streams its files, so more bytes cost only time.
+# Aims for tasks that fit an executor.
 BYTES_PER_TASK = 128 << 20
 FILES_PER_TASK = 20_000
-MAX_TASKS = 20_000
 CONTENT_PER_BATCH = 32 << 20
 
 
@@ -74,7 +77,7 @@ def ingest_files(
     options: IngestOptions = IngestOptions(),
     raws: DataFrame | None = None,
 ) -> DataFrame:
-    """Index the files of (maildir_path, folder).
+    """Index the files of (maildir_path, folder), and of scan_error where a scan gives it.
 
     Where mail is not on a path the executors can open, ``raws`` gives the bytes
     as (maildir_path, raw), and ``files`` brings mtime and size.
@@ -99,20 +102,29 @@ def ingest_files(
     attachments = attachment_rows(parsed, options.min_size)
     fresh = incremental.unseen(blob_rows(attachments), store.read_from(current, "blobs"))
     fresh = _written(fresh, f"{stage}/blobs")
+    contents, lost = _store_contents(store, run, fresh, attachments, raws)
+    if lost is not None:
+        incomplete = lost.select("maildir_path").distinct()
+        whole = parsed.join(incomplete, "maildir_path", "left_anti")
+        fresh = fresh.join(lost.select("sha256").distinct(), "sha256", "left_anti")
+    else:
+        whole = parsed
+    kept = attachment_rows(whole, options.min_size)
 
     following = {name: list(found) for name, found in current.items()}
-    statistics = incremental.run_statistics(scanned, todo, parsed, attachments, fresh)
-    failures = incremental.failure_rows(scanned, parsed)
+    following.setdefault("blob_content", []).extend(contents)
+    statistics = incremental.run_statistics(scanned, todo, parsed, kept, fresh, lost)
+    failures = incremental.failure_rows(scanned, parsed, lost)
     tables = {
         "runs": statistics.withColumn("run", F.lit(run)),
         "failures": failures.withColumn("run", F.lit(run)),
     }
     if not todo.isEmpty():
         messages = {
-            "messages": message_rows(parsed, options.me),
-            "attachments": attachments,
-            "bodies": body_rows(parsed),
-            "occurrences": browsable(occurrence_rows(parsed, options.me, options.min_size)),
+            "messages": message_rows(whole, options.me),
+            "attachments": kept,
+            "bodies": body_rows(whole),
+            "occurrences": browsable(occurrence_rows(whole, options.me, options.min_size)),
         }
         if known.join(messages["messages"], "maildir_path", "left_semi").isEmpty():
             tables |= messages
@@ -120,13 +132,60 @@ def ingest_files(
             tables |= _replacing(store, current, messages)
             for name in messages:
                 following[name] = []
-        tables |= {"blobs": fresh, "blob_content": blob_contents(fresh, raws)}
+        tables["blobs"] = fresh
     for name, directory in _write_all(store, run, tables).items():
         following.setdefault(name, []).append(directory)
     store.commit(following, version + 1)
     return store.read("runs").filter(F.col("run") == run)
 
 
+#: How many more occurrences of a lost digest are tried in each further round.
+MORE_TRIES = 8
+
+
+def _store_contents(
+    store: IndexStore,
+    run: str,
+    fresh: DataFrame,
+    attachments: DataFrame,
+    raws: DataFrame | None,
+) -> tuple[list[str], DataFrame | None]:
+    """Write the bytes of new digests; returns the directories, and what was lost.
+
+    Lost are the occurrences (sha256, maildir_path, part_path, problem) of digests of
+    which none could be read. Every round tries the next occurrences of what is missing,
+    and each one multiplies their number, so that rounds stay few.
+    """
+    directories, tried, wanted, number = [], 0, fresh, 0
+    tries = 1
+    while True:
+        number += 1
+        read = blob_contents(wanted, raws)
+        if number > 1:  # several occurrences of a digest may have been tried
+            read = read.dropDuplicates(["sha256", "content_error"])
+        directory = store.write(read, "blob_content", f"{run}-{number}")
+        written = store.read_from({"blob_content": [directory]}, "blob_content")
+        found = written.filter(F.col("content").isNotNull()).select("sha256")
+        directories.append(directory)
+        missing = (fresh if number == 1 else missing).join(found, "sha256", "left_anti")
+        missing = _written(missing, f"{store.root}/staging/{run}/missing-{number}")
+        if missing.isEmpty():
+            return directories, None
+        tried, tries = tried + tries, tries * MORE_TRIES
+        holders = attachments.join(missing.select("sha256"), "sha256", "left_semi")
+        nth = F.row_number().over(
+            Window.partitionBy("sha256").orderBy("maildir_path", "part_path")
+        )
+        ranked = holders.select("sha256", "maildir_path", "part_path", "size", nth.alias("nth"))
+        wanted = ranked.filter(F.col("nth").between(tried + 1, tried + tries)).drop("nth")
+        wanted = _written(wanted, f"{store.root}/staging/{run}/wanted-{number + 1}")
+        if wanted.isEmpty():
+            break
+    problem = F.lit("the bytes of this part could not be read again").alias("problem")
+    lost = holders.select("sha256", "maildir_path", "part_path", problem)
+    return directories, _written(lost, f"{store.root}/staging/{run}/lost")
+
+
 def _replacing(
     store: IndexStore, current: dict[str, list[str]], tables: dict[str, DataFrame]
 ) -> dict[str, DataFrame]:
@@ -182,8 +241,7 @@ def _written(frame: DataFrame, path: str) -> DataFrame:
 
 
 def _tasks(total: int, count: int) -> int:
-    wanted = max(math.ceil(total / BYTES_PER_TASK), math.ceil(count / FILES_PER_TASK), 8)
-    return min(wanted, MAX_TASKS)
+    return max(math.ceil(total / BYTES_PER_TASK), math.ceil(count / FILES_PER_TASK), 8)
 
 
 def blob_contents(blobs: DataFrame, raws: DataFrame | None = None) -> DataFrame:
@@ -261,7 +319,7 @@ def checked_content(
 ) -> tuple[bytes | None, str | None]:
     """Content of a wanted part if its digest is still the one asked for."""
     part = parts.get(want["part_path"])
-    content = part_bytes(part)[0] if part is not None else None
+    content = leaf_content(part)[0] if part is not None else None
     if content is None or hashlib.sha256(content).hexdigest() != want["sha256"]:
         return None, problem or "message changed since it was indexed"
     return content, None

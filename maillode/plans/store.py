@@ -24,7 +24,7 @@ SCHEMAS = {
     "blobs": "sha256 string, size long, blob_path string, sniffed_type string,"
     " sniffed_ext string",
     "blob_content": "sha_prefix string, sha256 string, content binary, content_error string",
-    "bodies": "maildir_path string, body string, truncated boolean",
+    "bodies": "maildir_path string, body string",
     # Attachments with their file and their message: what browsing reads.
     "occurrences": "maildir_path string, part_path string, sha256 string, filename string,"
     " mime_declared string, disposition string, decode_failed boolean, size long,"

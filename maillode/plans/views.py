@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import direction, year_of
+from ..functions.text import BODY_CHARS, cut_body
 from ..operators.dedup import join_unique
 from ..operators.mime import MESSAGE_COLUMNS
 from .store import IndexStore
@@ -22,14 +23,15 @@ HEAD_COLUMNS = (
     "date_raw",
     "message_id",
 )
-GONE = "(the message file is no longer at the path recorded here)"
+GONE = "[no body is stored for this message]"
 
 
 def occurrence_view(attachments: DataFrame, blobs: DataFrame, messages: DataFrame) -> DataFrame:
     """Every occurrence with its file and its message, and the year of the date.
 
-    One file may occur anywhere, so that join is split by hot digest. The parts
-    of one message are few, so the other is left to Spark.
+    One file may occur anywhere, so that join is split by hot digest. The parts of one
+    message are few, as mail servers limit the size of a message, so the join on its path
+    is left to Spark; AQE splits it where a mailbox breaks that rule.
     """
     with_file = join_unique(attachments, blobs, "sha256")
     joined = with_file.join(messages, "maildir_path")
@@ -48,11 +50,19 @@ def stored_occurrences(store: IndexStore) -> DataFrame:
     return store.read("occurrences")
 
 
-def message_heads(opened: DataFrame, messages: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The message of each attachment opened: head fields, body, and whether it was cut."""
+def message_heads(
+    opened: DataFrame, messages: DataFrame, bodies: DataFrame, body_chars: int = BODY_CHARS
+) -> DataFrame:
+    """The message of each attachment opened: head fields, body, and whether it was cut.
+
+    Bodies are stored whole; ``body_chars`` of them are shown.
+    """
     head = messages.select("maildir_path", *HEAD_COLUMNS)
-    with_body = head.join(bodies, "maildir_path", "left").withColumn(
-        "body", F.coalesce("body", F.lit(GONE))
+    shown, cut = cut_body(F.coalesce("body", F.lit(GONE)), body_chars)
+    with_body = (
+        head.join(bodies.select("maildir_path", "body"), "maildir_path", "left")
+        .withColumn("truncated", cut)
+        .withColumn("body", shown)
     )
     return opened.select("maildir_path", "part_path").join(with_body, "maildir_path")
 
@@ -70,6 +80,13 @@ def rederive_direction(messages: DataFrame, me: Sequence[str]) -> DataFrame:
     return messages.withColumn("direction", direction(*columns, me))
 
 
+def register_index(store: IndexStore) -> None:
+    """Make every table of a stored index available to ``spark.sql``."""
+    for name in ("messages", "attachments", "blobs", "bodies"):
+        store.read(name).createOrReplaceTempView(name)
+    stored_occurrences(store).createOrReplaceTempView("v_attachments")
+
+
 def register_views(
     messages: DataFrame, attachments: DataFrame, blobs: DataFrame, view: DataFrame
 ) -> None:

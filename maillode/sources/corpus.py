@@ -36,15 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer files than cores before a stage that is slow per row.
-
-    A large table already comes in enough splits and is not shuffled.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if len(frame.inputFiles()) >= cores else frame.repartition(cores, key)
-
-
 def _n() -> Column:
     return F.substring(F.col("source"), 4, 10).cast("int")
 
@@ -97,7 +88,7 @@ def occurrences(spark: SparkSession, sf_dir: str, lead: Column | None = None) ->
             "folder",
             F.element_at(F.array(*map(F.lit, ("out", "in", "unknown"))), (i % 3 + 1).cast("int"))
             .alias("direction"),
-            F.substring("text", 1, 40).alias("subject"),
+            F.col("text").alias("subject"),
             F.format_string("Person %d <p%d@mail%d.example.com>", i % 11, i % 11, i % 5).alias(
                 "from_raw"
             ),
@@ -146,7 +137,7 @@ def _mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     epoch = F.format_string("%d.d%d", i + 1362000000, i)
     name = F.when(i % 4 == 2, F.format_string("d%d.x", i)).otherwise(epoch)
-    return _placed(spread(documents, "doc_id"), name)
+    return _placed(documents, name)
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +176,14 @@ def broken_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail(spark, sf_dir).withColumn("raw", raw)
 
 
+# Some bodies are longer than what is shown of a body, on many lines.
+LONG_TAIL = (CRLF + "noch eine Zeile") * 14_000
+
+
+def is_long(i: Column) -> Column:
+    return i % 250 == 10
+
+
 def _message_text(i: Column) -> Column:
     def line(text) -> Column:
         return F.concat(F.lit(text) if isinstance(text, str) else text, F.lit(CRLF))
@@ -203,6 +202,9 @@ def _message_text(i: Column) -> Column:
     date = (
         F.when(i % 8 == 0, F.format_string("%d Mar 2013 09:15:00 +0100", day))
         .when(i % 8 == 4, F.format_string("%d Mar 2013 09:15:00 -0000", day))
+        # Years that no mail can be from.
+        .when(i % 8 == 1, F.format_string("%d Jan 1970 00:00:00 +0000", day))
+        .when(i % 8 == 6, F.format_string("%d Dec 2100 23:59:59 +0000", day))
         .otherwise("not a date at all")
     )
     greeting = F.base64(F.encode(F.format_string("Grüße %d", i), "UTF-8"))
@@ -240,7 +242,11 @@ def _message_text(i: Column) -> Column:
             lines("Content-Type: text/plain", "Content-Disposition: attachment", "", "note"),
         )
         .otherwise(
-            lines("Content-Type: text/plain; charset=utf-8", "", F.format_string("Grüße %d", i))
+            lines(
+                "Content-Type: text/plain; charset=utf-8",
+                "",
+                F.concat(F.format_string("Grüße %d", i), only(is_long(i), F.lit(LONG_TAIL))),
+            )
         )
     )
     named = F.format_string('Content-Disposition: attachment; filename="d%d.bin"', i)

@@ -29,8 +29,9 @@ LISTING_BATCH = 10_000
 class DirectoryGroup(InputPartition):
     """Some of the cur and new directories, listed by one task."""
 
-    def __init__(self, directories: list[str]):
+    def __init__(self, directories: list[str], errors: list[tuple[str, str]]):
         self.directories = directories
+        self.errors = errors
 
 
 class MaildirSource(DataSource):
@@ -41,7 +42,7 @@ class MaildirSource(DataSource):
         return "maildir"
 
     def schema(self) -> str:
-        return "maildir_path string"
+        return "maildir_path string, scan_error string"
 
     def reader(self, schema) -> DataSourceReader:
         return MaildirReader(self.options["path"], int(self.options.get("maxtasks", 4096)))
@@ -53,17 +54,19 @@ class MaildirReader(DataSourceReader):
         self.max_tasks = max_tasks
 
     def partitions(self) -> list[InputPartition]:
-        directories = sorted(message_directories(self.root))
-        groups = min(len(directories), self.max_tasks)
-        return [DirectoryGroup(directories[i::groups]) for i in range(groups)] or [
-            DirectoryGroup([])
+        errors: list[tuple[str, str]] = []
+        directories = sorted(message_directories(self.root, errors))
+        groups = max(1, min(len(directories), self.max_tasks))
+        return [
+            DirectoryGroup(directories[i::groups], errors if i == 0 else [])
+            for i in range(groups)
         ]
 
     def read(self, partition: DirectoryGroup) -> Iterator[pa.RecordBatch]:
-        batch: list[str] = []
+        batch: list[tuple[str, str | None]] = list(partition.errors)
         for directory in partition.directories:
-            for path in message_files(directory):
-                batch.append(storable_path(path))
+            for path, error in message_files(directory):
+                batch.append((storable_path(path), error))
                 if len(batch) == LISTING_BATCH:
                     yield _path_batch(batch)
                     batch = []
@@ -75,12 +78,19 @@ def storable_path(path: str) -> str:
     return os.fsencode(path).decode("utf-8", "backslashreplace")
 
 
-def _path_batch(paths: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["maildir_path"])
+def _path_batch(batch: list[tuple[str, str | None]]) -> pa.RecordBatch:
+    paths, errors = zip(*batch, strict=True) if batch else ((), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(paths, pa.string()), pa.array(errors, pa.string())],
+        ["maildir_path", "scan_error"],
+    )
+
 
+def message_directories(root: str, errors: list[tuple[str, str]]) -> Iterator[str]:
+    """The outermost cur and new directories; their contents are left to the tasks.
 
-def message_directories(root: str) -> Iterator[str]:
-    """The outermost cur and new directories; their contents are left to the tasks."""
+    A directory that can't be listed goes to ``errors`` with the reason.
+    """
     pending = [root]
     while pending:
         directory = pending.pop()
@@ -90,22 +100,18 @@ def message_directories(root: str) -> Iterator[str]:
         if name in MESSAGE_DIRS:
             yield directory
             continue
-        pending.extend(sub for sub in _subdirectories(directory))
-
+        try:
+            with os.scandir(directory) as entries:
+                pending += [e.path for e in entries if e.is_dir(follow_symlinks=False)]
+        except OSError as exc:
+            errors.append((storable_path(directory), f"listing failed: {exc}"))
 
-def _subdirectories(directory: str) -> Iterator[str]:
-    try:
-        entries = os.scandir(directory)
-    except OSError:
-        return
-    with entries:
-        for entry in entries:
-            if entry.is_dir(follow_symlinks=False):
-                yield entry.path
 
+def message_files(directory: str) -> Iterator[tuple[str, str | None]]:
+    """Message files of one cur or new directory and of any nested below it.
 
-def message_files(directory: str) -> Iterator[str]:
-    """Message files of one cur or new directory and of any nested below it."""
+    A directory that can't be listed comes as its own path and the reason.
+    """
     pending = [directory]
     while pending:
         current = pending.pop()
@@ -113,32 +119,35 @@ def message_files(directory: str) -> Iterator[str]:
             continue
         holds_messages = os.path.basename(current) in MESSAGE_DIRS
         try:
-            entries = os.scandir(current)
-        except OSError:
-            continue
-        with entries:
-            for entry in entries:
-                if entry.is_dir():
-                    if not entry.is_symlink():
-                        pending.append(entry.path)
-                elif holds_messages and not entry.name.startswith("."):
-                    yield entry.path
+            with os.scandir(current) as entries:
+                for entry in entries:
+                    if entry.is_dir():
+                        if not entry.is_symlink():
+                            pending.append(entry.path)
+                    elif holds_messages and not entry.name.startswith("."):
+                        yield entry.path, None
+        except OSError as exc:
+            yield current, f"listing failed: {exc}"
 
 
 def resolve_root(root: str) -> str:
     """Absolute path of an existing mail directory."""
     path = Path(root).expanduser().resolve()
     if not path.is_dir():
-        raise MaillodeError(f"not a maildir directory: {path}")
+        raise MaillodeError(f"no such mail directory: {path}")
     return str(path)
 
 
 def scan_maildir(spark: SparkSession, root: str) -> DataFrame:
-    """(maildir_path, folder) of every message file under the root."""
+    """(maildir_path, folder, scan_error) of every message file under the root.
+
+    A directory that can't be listed is a row with its ``scan_error``.
+    """
     root = resolve_root(root)
     spark.dataSource.register(MaildirSource)
     paths = spark.read.format("maildir").load(root)
-    return paths.select("maildir_path", folder_of(F.col("maildir_path"), root).alias("folder"))
+    folder = folder_of(F.col("maildir_path"), root).alias("folder")
+    return paths.select("maildir_path", folder, "scan_error")
 
 
 def with_file_stats(files: DataFrame) -> DataFrame:
@@ -150,8 +159,13 @@ def with_file_stats(files: DataFrame) -> DataFrame:
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         4 * spark.sparkContext.defaultParallelism,
     )
+    if "scan_error" not in files.columns:
+        files = files.withColumn("scan_error", F.lit(None).cast("string"))
     spread = files.repartition(tasks, "maildir_path")
-    return _map_arrow(spread, added, _stat_batch)
+    stated = _map_arrow(spread, added, _stat_batch)
+    return stated.withColumn("read_error", F.coalesce("scan_error", "read_error")).drop(
+        "scan_error"
+    )
 
 
 def with_file_bytes(files: DataFrame) -> DataFrame:

@@ -6,39 +6,64 @@ between batches lies in those tables and not in ever-growing stream state.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.headers import folder_of
 from ..operators.incremental import unseen
 from ..plans.ingest import IngestOptions, ingest_files
-from ..sources.maildir import SKIPPED_DIR, resolve_root
-
-BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+from ..sources.maildir import MaildirReader, resolve_root
 
 
-def new_mail(spark: SparkSession, maildir: str, files_per_batch: int = 100_000) -> DataFrame:
-    """Stream of (maildir_path, folder) of message files as they arrive.
+class MaildirStream(DataSource):
+    """``readStream.format("maildir_stream")``: a batch is all that a scan finds.
 
-    The directories are named by a pattern because Spark's own recursion skips
-    dot folders and would enter tmp; it covers the root and one level of
-    folders. A file changed under an old path is not seen again. The batch
-    ingest finds those, and deeper folders.
+    Offsets are the times of scans. What is new among the files is for the sink to
+    tell, by the stored index: so changed files are found as well, at any depth and
+    under any name, and nothing has to be remembered here.
     """
+
+    @classmethod
+    def name(cls) -> str:
+        return "maildir_stream"
+
+    def schema(self) -> str:
+        return "maildir_path string, scan_error string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _ScanReader(self.options["path"])
+
+
+class _ScanReader(DataSourceStreamReader):
+    def __init__(self, root: str, max_tasks: int = 4096):
+        self.scanner = MaildirReader(root, max_tasks)
+
+    def initialOffset(self) -> dict:
+        return {"scan": 0}
+
+    def latestOffset(self) -> dict:
+        return {"scan": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.scanner.partitions()
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        return self.scanner.read(partition)
+
+
+def scans(spark: SparkSession, maildir: str) -> DataFrame:
+    """Stream of (maildir_path, folder, scan_error), a whole scan of the tree at a time."""
     root = resolve_root(maildir)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(f"{root}/{{cur,new,*/cur,*/new}}")
-    )
-    # Content is not selected, so Spark does not read it here.
-    named = files.select(path.alias("maildir_path")).filter(
-        ~F.startswith("maildir_path", F.lit(f"{root}/{SKIPPED_DIR}/"))
-    )
-    return named.select("maildir_path", folder_of(F.col("maildir_path"), root).alias("folder"))
+    spark.dataSource.register(MaildirStream)
+    files = spark.readStream.format("maildir_stream").option("path", root).load()
+    folder = folder_of(F.col("maildir_path"), root).alias("folder")
+    return files.select("maildir_path", folder, "scan_error")
 
 
 def stream_ingest(
@@ -47,27 +72,24 @@ def stream_ingest(
     out: str,
     checkpoint: str,
     options: IngestOptions = IngestOptions(),
-    files_per_batch: int = 100_000,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Index new mail into the store, then stop; run again to pick up what came since.
+    """Index new and changed mail into the store, once, or again and again.
 
+    Without ``every``, such as ``"10 minutes"``, one scan is indexed and the stream stops.
     A batch repeated after a failure finds its files already stored and skips them.
     """
 
     def run_batch(files: DataFrame, batch: int) -> None:
         ingest_files(files, out, options)
 
-    # The source looks up the files of each batch in a job of up to one task per
-    # file. It reads this setting whenever it plans a batch, so it stays set.
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", tasks)
-    return (
-        new_mail(spark, maildir, files_per_batch)
+    writer = (
+        scans(spark, maildir)
         .writeStream.foreachBatch(run_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
 
 
 def stream_first_seen(occurrences: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
