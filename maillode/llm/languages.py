@@ -75,11 +75,10 @@ def train(labelled: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch["lang"].to_pylist()
-            texts = _prepared(batch["text"].to_pylist())
-            for start in range(0, len(texts), BLOCK):
-                counts = features(texts[start : start + BLOCK])
-                for lang, row in zip(langs[start : start + BLOCK], counts, strict=True):
+            for start in range(0, len(batch), BLOCK):
+                part = batch.slice(start, BLOCK)
+                counts = features(_prepared(part["text"].to_pylist()))
+                for lang, row in zip(part["lang"].to_pylist(), counts, strict=True):
                     total = totals.setdefault(lang, np.zeros(FEATURES, np.int64))
                     total += row.astype(np.int64)
         for lang, total in totals.items():
@@ -158,9 +157,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         names = np.array(sent.value.languages, dtype=object)
         for batch in batches:
             lang, score, size = [], [], []
-            texts = _prepared(batch.tolist())
-            for start in range(0, len(texts), BLOCK):
-                share, sizes = infer(features(texts[start : start + BLOCK]), sent.value.chances)
+            for start in range(0, len(batch), BLOCK):
+                texts = _prepared(batch.iloc[start : start + BLOCK].tolist())
+                share, sizes = infer(features(texts), sent.value.chances)
                 lang.append(names[share.argmax(axis=1)])
                 score.append(share.max(axis=1))
                 size.append(sizes)

@@ -40,7 +40,7 @@ MOST_BITS = 100
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
 #: Bytes of text that are hashed at once, if a document isn't longer.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 _draw = np.random.default_rng(20_240_601)
 _BYTE = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,8 +49,7 @@ def cut_pieces(
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch["text"].to_pylist()
-            for number, ids in zip(batch["doc_id"].to_pylist(), encode(texts), strict=True):
+            for number, ids in _encoded(batch, encode):
                 ids += end
                 total = len(ids) // 4
                 edge, start, piece = (total - 1) % capacity + 1, 0, 0
@@ -70,6 +69,13 @@ def cut_pieces(
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 
 
+def _encoded(batch: pa.RecordBatch, encode: Callable) -> Iterator[tuple[int | None, bytes]]:
+    for start in range(0, len(batch), 256):
+        part = batch.slice(start, 256)
+        ids = encode(part["text"].to_pylist())
+        yield from zip(part["doc_id"].to_pylist(), ids, strict=True)
+
+
 def best_fit_runs(classes: dict[int, int], capacity: int) -> np.ndarray:
     """Where the pieces go, as runs (length, first rank, pieces, first sequence, offset).
 

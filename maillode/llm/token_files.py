@@ -79,6 +79,7 @@ class _Writer(DataSourceArrowWriter):
         name = uuid.uuid4().hex
         files, folder = _place(self.path)
         first, documents, ids = NULL_ID, 0, 0
+        end = END_ID.to_bytes(4, "little")
         with (
             files.open_output_stream(f"{folder}/{name}.ids") as ids_file,
             files.open_output_stream(f"{folder}/{name}.offsets") as offsets_file,
@@ -89,16 +90,14 @@ class _Writer(DataSourceArrowWriter):
                 if len(numbers) and not documents:
                     first = int(numbers[0])
                 docs_file.write(numbers.astype("<i8").tobytes())
-                packed = encode(batch["text"].to_pylist())
-                end = END_ID.to_bytes(4, "little")
-                for start in range(0, len(packed), 256):
-                    some = packed[start : start + 256]
-                    joined = np.frombuffer(b"".join(x + end for x in some), "<u4")
+                for start in range(0, len(batch), 256):
+                    packed = encode(batch["text"].slice(start, 256).to_pylist())
+                    joined = np.frombuffer(b"".join(x + end for x in packed), "<u4")
                     ids_file.write(joined.astype(f"<u{self.width}").tobytes())
-                lengths = np.array([len(x) // 4 + 1 for x in packed], np.uint64)
-                ends = ids + np.cumsum(lengths)
-                offsets_file.write((ends - lengths).astype("<u8").tobytes())
-                documents, ids = documents + len(packed), int(ends[-1]) if len(packed) else ids
+                    lengths = np.array([len(x) // 4 + 1 for x in packed], np.uint64)
+                    ends = ids + np.cumsum(lengths)
+                    offsets_file.write((ends - lengths).astype("<u8").tobytes())
+                    documents, ids = documents + len(packed), int(ends[-1])
             offsets_file.write(np.array([ids], "<u8").tobytes())
         return Written(name, first, documents, ids)
 
