@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maillode.functions import headers, names, sniff, text
 
-from .conftest import PDF, PIXEL, PNG
+from .conftest import PLAN, SCORE, SOUND
 
 ZIP = b"PK\x03\x04" + b"\x00" * 26
 
@@ -21,9 +21,12 @@ def apply(spark, values, function, kind="string"):
 
 
 SNIFFED = [
-    (PIXEL, "gif"),
-    (PNG, "png"),
-    (PDF, "pdf"),
+    (SCORE, "zip"),
+    (SOUND, "wav"),
+    (PLAN, "sqlite"),
+    (b"GIF89a!", "gif"),
+    (b"\x89PNG\r\n\x1a\n.", "png"),
+    (b"%PDF-2.0", "pdf"),
     (ZIP + b"word/document.xml", "docx"),
     (ZIP + b"xl/workbook.xml", "xlsx"),
     (ZIP + b"ppt/slides", "pptx"),
@@ -155,19 +158,16 @@ def test_header_decoding(spark):
     ]
 
 
-def test_date_header_keeps_the_senders_offset(spark):
-    raws = [
-        "Tue, 12 Mar 2013 09:15:00 +0100",
-        "12 Mar 2013 09:15:00 -0000",
-        "rubbish",
-        None,
-    ]
-    assert apply(spark, raws, headers.parse_date) == [
-        "2013-03-12T09:15:00+01:00",
-        "2013-03-12T09:15:00",
-        None,
-        None,
-    ]
+def test_date_header_keeps_the_senders_offset():
+    dates = {
+        "Fri, 3 Oct 2008 19:30:05 -0400": "2008-10-03T19:30:05-04:00",
+        "29 Feb 2000 00:00 +0545": "2000-02-29T00:00:00+05:45",
+        "1 Jan 99 12:00:00 -0000": "1999-01-01T12:00:00",
+        "31 Feb 2008 10:00:00 +0000": None,
+        "soon": None,
+        None: None,
+    }
+    assert {raw: headers.rfc5322_iso(raw) for raw in dates} == dates
 
 
 @pytest.mark.parametrize(
@@ -243,7 +243,7 @@ def test_direction(spark):
 def test_names(spark):
     sha = "ab" * 32
     cases = [
-        ("../../etc/passwd.pdf", "pdf", "....etcpasswd.pdf", "PDF"),
+        ("..\\..\\autoexec/run.bat", "pdf", "....autoexecrun.bat", "PDF"),
         ('a"b\\c\r\nd​ e.x', None, "abcd e.x", "X"),
         (None, "png", "abababababab.png", "PNG"),
         (None, None, "abababababab.bin", "BIN"),
@@ -282,10 +282,10 @@ def test_preview_classes(spark):
 def test_attachment_names(spark):
     sha = "cd" * 32
     cases = [
-        ("a.txt", "<x@y>", "png", "a.txt"),
-        (None, "<logo@host>", "png", "logo.png"),
-        (None, "<logo@host>", None, "logo"),
-        (None, "<@host>", "gif", "cdcdcdcdcdcd.gif"),
+        ("part.mid", "<x@y>", "png", "part.mid"),
+        (None, "<stage@plan>", "png", "stage.png"),
+        (None, "<stage@plan>", None, "stage"),
+        (None, "<@plan>", "gif", "cdcdcdcdcdcd.gif"),
         (None, None, "gif", None),
     ]
     rows = spark.createDataFrame(
