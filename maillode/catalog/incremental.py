@@ -114,6 +114,48 @@ def ingest_stats(spark, sf_dir):
     return incremental.run_statistics(listed, todo, parsed, attachments, fresh)
 
 
+@query(
+    "blob_contents",
+    f"WITH {MAIL} SELECT DISTINCT sha256, sha256 AS content_sha256, size AS bytes FROM attached",
+)
+def blob_contents(spark, sf_dir):
+    from ..plans.ingest import blob_contents as contents_of
+
+    messages = corpus.mail(spark, sf_dir)
+    blobs = dedup.blob_rows(mime.attachment_rows(mime.parse_messages(messages)))
+    contents = contents_of(blobs, raws=messages.select("maildir_path", "raw"))
+    return contents.select(
+        "sha256",
+        F.sha2("content", 256).alias("content_sha256"),
+        F.octet_length("content").cast("long").alias("bytes"),
+    )
+
+
+@query(
+    "stored_files",
+    f"""WITH {sql.OCC}, f AS (SELECT sha256, min(maildir_path) AS path, any_value(text) AS text,
+    any_value(o.sniffed_type) AS sniffed_type, max(size) AS size, any_value(sniffed_ext) AS ext
+  FROM occ o JOIN docs USING (i) GROUP BY sha256),
+n AS (SELECT sha256, arg_min(filename, maildir_path) AS filename FROM occ
+  WHERE filename IS NOT NULL GROUP BY sha256)
+SELECT sha256, size, sniffed_type, coalesce(filename, left(sha256, 12) || '.' || coalesce(ext, 'bin'))
+    AS download_name, CASE WHEN sniffed_type LIKE 'text/%' THEN text END AS text,
+  CASE WHEN sniffed_type LIKE 'text/%' THEN 'utf-8' END AS charset,
+  CASE WHEN sniffed_type LIKE 'text/%' THEN size > 262144 END AS truncated
+FROM f LEFT JOIN n USING (sha256)""",
+)
+def stored_files(spark, sf_dir):
+    from ..plans.views import readable_files
+
+    view = corpus.occurrences(spark, sf_dir)
+    blobs = dedup.blob_rows(view)
+    texts = corpus.table(spark, sf_dir, "documents").select(
+        F.sha2("text", 256).alias("sha256"), F.encode("text", "UTF-8").alias("content")
+    )
+    contents = texts.groupBy("sha256").agg(F.any_value("content").alias("content"))
+    return readable_files(contents, blobs, view)
+
+
 @query(
     "maildir_scan",
     f"WITH {MAIL} SELECT substr(maildir_path, 7) AS file, folder, 1362000000.0::DOUBLE AS mtime,"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILE_STATE = ["maildir_path", "mtime", "size"]
@@ -29,6 +29,15 @@ def first_files(
     return marked.orderBy("failed_before", "maildir_path").limit(limit).drop("failed_before")
 
 
+def indexable() -> Column:
+    """Whether a parsed message was read and can be stored."""
+    return (
+        F.col("from_addrs").isNotNull()
+        & F.col("read_error").isNull()
+        & F.col("index_error").isNull()
+    )
+
+
 def failure_rows(
     scanned: DataFrame, parsed: DataFrame, lost: DataFrame | None = None
 ) -> DataFrame:

@@ -96,9 +96,7 @@ def ingest_files(
     if not options.reparse:
         todo = incremental.skip_known(todo, known)
     failed = store.read_from(current, "failures")
-    todo = _written(incremental.first_files(todo, options.limit, failed), f"{stage}/todo")
-
-    parsed = _written(_parsed(todo, raws), f"{stage}/parsed")
+    todo, parsed = _read_mail(todo, failed, options.limit, raws, stage)
     attachments = attachment_rows(parsed, options.min_size)
     fresh = incremental.unseen(blob_rows(attachments), store.read_from(current, "blobs"))
     fresh = _written(fresh, f"{stage}/blobs")
@@ -139,6 +137,32 @@ def ingest_files(
     return store.read("runs").filter(F.col("run") == run)
 
 
+def _read_mail(
+    files: DataFrame, failed: DataFrame, limit: int | None, raws: DataFrame | None, stage: str
+) -> tuple[DataFrame, DataFrame]:
+    """The files of a run and what was parsed from them.
+
+    ``limit`` counts messages that could be indexed: for those that could not, further files
+    are read, until there are enough or no more.
+    """
+    spark, number, left = files.sparkSession, 0, limit
+    while True:
+        chosen = _written(incremental.first_files(files, left, failed), f"{stage}/todo/part={number}")
+        parsed = _written(_parsed(chosen, raws), f"{stage}/parsed/part={number}")
+        if not limit:
+            return chosen, parsed
+        left -= parsed.filter(incremental.indexable()).count()
+        number += 1
+        if left <= 0 or chosen.isEmpty():
+            break
+        files = files.join(chosen.select("maildir_path"), "maildir_path", "left_anti")
+    whole = [
+        spark.read.schema(frame.schema).option("recursiveFileLookup", "true").parquet(path)
+        for frame, path in ((chosen, f"{stage}/todo"), (parsed, f"{stage}/parsed"))
+    ]
+    return whole[0], whole[1]
+
+
 #: How many more occurrences of a lost digest are tried in each further round.
 MORE_TRIES = 8
 
@@ -160,12 +184,12 @@ def _store_contents(
     tries = 1
     while True:
         number += 1
-        read = blob_contents(wanted, raws)
-        if number > 1:  # several occurrences of a digest may have been tried
-            read = read.dropDuplicates(["sha256", "content_error"])
+        read = blob_contents(wanted, raws).filter(F.col("content").isNotNull())
+        if number > 1:  # several occurrences of a digest may have been found
+            read = read.dropDuplicates(["sha256"])
         directory = store.write(read, "blob_content", f"{run}-{number}")
         written = store.read_from({"blob_content": [directory]}, "blob_content")
-        found = written.filter(F.col("content").isNotNull()).select("sha256")
+        found = written.select("sha256")
         directories.append(directory)
         missing = (fresh if number == 1 else missing).join(found, "sha256", "left_anti")
         missing = _written(missing, f"{store.root}/staging/{run}/missing-{number}")

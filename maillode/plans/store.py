@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import MaillodeError
 
@@ -48,19 +47,35 @@ class IndexStore:
     def manifest(self) -> tuple[int, dict[str, list[str]]]:
         """Current version number and the directories of each table; (0, {}) when new.
 
-        One row per table and run since its last rewrite, so it fits the driver.
+        Versions are numbered without gaps, so the newest is found by doubling and halving,
+        and it alone is read: one row per table and run since its last rewrite.
         """
+        low, high = 0, 1
+        while self._manifest(high) is not None:
+            low, high = high, high * 2
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._manifest(middle) is not None else (low, middle)
+        while low:
+            rows = self._manifest(low).orderBy("directory").collect()
+            if rows:
+                break
+            low -= 1  # a run died while it wrote this one
+        directories: dict[str, list[str]] = {}
+        for row in rows if low else ():
+            directories.setdefault(row.table_name, []).append(row.directory)
+        return low, directories
+
+    def _manifest(self, version: int) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/*")
+            return self.spark.read.schema(MANIFEST).parquet(self._version_path(version))
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return 0, {}
-        latest = rows.agg(F.max("version")).first()[0] or 0
-        directories: dict[str, list[str]] = {}
-        for row in rows.filter(F.col("version") == latest).orderBy("directory").collect():
-            directories.setdefault(row.table_name, []).append(row.directory)
-        return latest, directories
+            return None
+
+    def _version_path(self, version: int) -> str:
+        return f"{self.root}/manifest/v{version:09d}"
 
     def exists(self) -> bool:
         return self.manifest()[0] > 0
@@ -80,7 +95,7 @@ class IndexStore:
         columns = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
         directory = f"{name}/{run}"
         writer = frame.select(*columns).write.mode("overwrite")
-        if name == "blob_content":
+        if "sha256" in columns:
             # Lets the lookup of one digest pass over files and row groups without it.
             writer = writer.option("parquet.bloom.filter.enabled#sha256", "true")
         writer.parquet(f"{self.root}/{directory}")
@@ -90,7 +105,7 @@ class IndexStore:
         """Make these directories the given version."""
         rows = [(version, name, d) for name, found in directories.items() for d in found]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
-        manifest.write.mode("overwrite").parquet(f"{self.root}/manifest/v{version:09d}")
+        manifest.write.mode("overwrite").parquet(self._version_path(version))
 
 
 def open_index(spark: SparkSession, root: str) -> IndexStore:

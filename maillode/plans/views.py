@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import direction, year_of
-from ..functions.text import BODY_CHARS, cut_body
+from ..functions.names import download_name
+from ..functions.text import BODY_CHARS, TEXT_VIEW_BYTES, cut_body, text_view
 from ..operators.dedup import join_unique
 from ..operators.mime import MESSAGE_COLUMNS
+from ..operators.reports import names_by_digest
 from .store import IndexStore
 
 HEAD_COLUMNS = (
@@ -74,6 +76,47 @@ def message_parts(opened: DataFrame, attachments: DataFrame, blobs: DataFrame) -
     return join_unique(siblings, blobs, "sha256").orderBy("maildir_path", "part_path")
 
 
+def readable_files(
+    contents: DataFrame,
+    blobs: DataFrame,
+    attachments: DataFrame,
+    view_bytes: int = TEXT_VIEW_BYTES,
+) -> DataFrame:
+    """Every stored file by digest: a name to save it under, and its text if it is text.
+
+    ``contents`` are (sha256, content) with one row for each digest; ``view_bytes`` of a text
+    file are shown.
+    """
+    named = names_by_digest(attachments)
+    is_text = F.startswith("sniffed_type", F.lit("text/"))
+    shown = F.when(is_text, text_view(F.col("content"), F.col("sniffed_type"), view_bytes))
+    return (
+        contents.select("sha256", "content")
+        .join(blobs.select("sha256", "size", "sniffed_type", "sniffed_ext"), "sha256")
+        .join(named, "sha256", "left")
+        .withColumn("shown", shown)
+        .select(
+            "sha256",
+            "size",
+            "sniffed_type",
+            download_name(F.col("filename"), F.col("sha256"), F.col("sniffed_ext")).alias(
+                "download_name"
+            ),
+            "shown.text",
+            "shown.charset",
+            "shown.truncated",
+        )
+    )
+
+
+def stored_files(store: IndexStore, view_bytes: int = TEXT_VIEW_BYTES) -> DataFrame:
+    """:func:`readable_files` of a stored index; filter on ``sha256`` for one file."""
+    contents = store.read("blob_content").filter(F.col("content").isNotNull())
+    # A digest that several occurrences supplied in one run has equal contents.
+    once = contents.groupBy("sha256").agg(F.any_value("content").alias("content"))
+    return readable_files(once, store.read("blobs"), store.read("attachments"), view_bytes)
+
+
 def rederive_direction(messages: DataFrame, me: Sequence[str]) -> DataFrame:
     """Messages with their direction decided anew, without opening any mail."""
     columns = (F.col(c) for c in ("from_addr", "recipients", "folder"))

@@ -190,7 +190,7 @@ def test_limit_and_minimum_size(spark, mailbox, tmp_path):
 
 def test_messages_that_fail(spark, mailbox, tmp_path):
     """They are tried again, but after all others when a run is limited."""
-    deliver(mailbox, "0-broken", b'To: "\n\n.')
+    deliver(mailbox / ".A", "0-broken", b'To: "\n\n.')
     first = run(spark, mailbox, tmp_path / "o")
     again = run(spark, mailbox, tmp_path / "o")
     assert (first.indexed, first.errors) == (5, 1) and (again.skipped, again.errors) == (5, 1)
@@ -198,6 +198,9 @@ def test_messages_that_fail(spark, mailbox, tmp_path):
     deliver(mailbox, "9-later", mail("Later", BASS, DIRECTOR))
     limited = run(spark, mailbox, tmp_path / "o", limit=1)
     assert (limited.indexed, limited.errors) == (1, 0)
+    # The first run of an index doesn't know yet; it reads on until it has enough.
+    fresh = run(spark, mailbox, tmp_path / "p", limit=3)
+    assert (fresh.indexed, fresh.errors) == (3, 1)
 
 
 def test_directions_for_another_owner(spark, mailbox, tmp_path):
@@ -239,6 +242,15 @@ def test_one_message(spark, index):
     assert [(p.part_path, p.size) for p in parts] == [("2", len(SOUND)), ("3", len(PLAN))]
 
 
+def test_files_by_digest(spark, index):
+    _, out, _ = index
+    found = {r.download_name: r for r in views.stored_files(open_index(spark, str(out)), 9).collect()}
+    assert set(found) == {"b.zip", "echo.wav", "seats.db", "note.txt"} or "for you" in found
+    note = found["note.txt"]
+    assert (note.text, note.charset, note.truncated) == ("Rehearsal", "utf-8", True)
+    assert found["seats.db"].text is None
+
+
 def test_sql_over_a_stored_index(spark, index):
     _, out, _ = index
     views.register_index(open_index(spark, str(out)))
