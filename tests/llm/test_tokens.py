@@ -140,7 +140,9 @@ def test_trie_shares_and_restarts(monkeypatch):
     assert trie.count("abb") == 3 and trie.nodes == 5
     assert trie.count("é") == 3  # the mark and two bytes
     monkeypatch.setattr(token_counts, "MOST_NODES", 3)
+    monkeypatch.setattr(token_counts, "MOST_WORDS", 1)
     assert trie.count("ab") == 2 and trie.nodes == 4
+    assert trie.count_all(["ab", "abb", "ab"]) == 7 and not trie.counts
 
 
 def test_token_counts_of_nothing(none):
