@@ -72,7 +72,9 @@ def _salted_join(rows, lookup, hot_keys, key, how) -> DataFrame:
     right = lookup.join(hot, key, "left").select(
         *lookup.columns, F.explode(every).alias("__salt")
     )
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    joined = left.join(right, [key, "__salt"], how)
+    added = [c for c in lookup.columns if c != key] if how != "left_semi" else []
+    return joined.select(*rows.columns, *added)
 
 
 def with_copies(rows: DataFrame, attachments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
