@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +29,19 @@ def lasting(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+@contextmanager
+def no_collections() -> Iterator[None]:
+    """Python's search for reference cycles is off in this block and passes over what the block
+    has made later on, as it would go through all that a worker has learned again and again.
+    What has no cycles is freed without it."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,15 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting a local session gets a temporary folder, as in tests; any other
-    master is an error, since executors would not see each other's files.
+    Where it is unset, a local session gets a temporary folder, as in tests; any other master
+    is an error, since executors would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="maillode-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        own = ("folder", spark.sparkContext.applicationId)
+        folder = lasting(own, lambda: tempfile.mkdtemp(prefix="maillode-"))
     if "://" not in folder and not folder.startswith("file:"):
         folder = "file://" + folder
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -10,67 +10,96 @@ word's number of tokens. The trie of a worker process lasts from batch to batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import lasting
+from .shared import lasting, no_collections
 
 #: Stands before every word, as in the vocabulary's pieces.
 MARK = "▁"
-#: Nodes that a worker's trie keeps; beyond that it starts anew, with the same results.
-MOST_NODES = 600_000
+#: Nodes that a worker's trie keeps (some 500 bytes each); beyond that it starts anew, with
+#: the same results.
+MOST_NODES = 300_000
+#: Words whose counts a worker keeps; those that come later are counted whenever they come.
+MOST_WORDS = 400_000
 #: A character that no piece covers falls back on its bytes; a byte's score lies this much
 #: below the worst piece.
 FALLBACK = 10.0
+_END = ""  # in a node of the vocabulary: the score of the piece that ends here
 
 
-@dataclass(slots=True)
 class Node:
-    #: Best score of the prefix that ends here, and its number of tokens.
-    score: float
-    tokens: int
-    next: dict[str, Node] = field(default_factory=dict)
+    """A prefix: its best score and number of tokens, and the pieces that may go on from it.
+
+    A piece that has begun is its node in the vocabulary's trie, with the score and tokens of
+    the prefix before it.
+    """
+
+    __slots__ = ("score", "tokens", "begun", "next")
+
+    def __init__(self, score: float, tokens: int, begun: list[tuple[dict, float, int]]):
+        self.score, self.tokens, self.begun = score, tokens, begun
+        self.next: dict[str, Node] = {}
 
 
 class Trie:
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        self.vocabulary: dict = {}
+        for piece, score in pieces.items():
+            node = self.vocabulary
+            for letter in piece:
+                node = node.setdefault(letter, {})
+            node[_END] = score
         self.byte_score = min(pieces.values(), default=0.0) - FALLBACK
+        self.counts: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.root = Node(0.0, 0)
+        self.root = Node(0.0, 0, [(self.vocabulary, 0.0, 0)])
         self.nodes = 1
-        self.counts: dict[str, int] = {}
 
     def count(self, word: str) -> int:
         """Tokens of the best segmentation; of equal scores, of the one with fewest tokens."""
         if self.nodes > MOST_NODES:
             self._reset()
-        marked, path = MARK + word, [self.root]
-        for end, letter in enumerate(marked, 1):
-            node = path[-1].next.get(letter)
-            if node is None:
-                node = path[-1].next[letter] = self._scored(marked, end, path)
+        node = self.root
+        for letter in MARK + word:
+            found = node.next.get(letter)
+            if found is None:
+                found = node.next[letter] = self._scored(node, letter)
                 self.nodes += 1
-            path.append(node)
-        self.counts[word] = path[-1].tokens
-        return path[-1].tokens
-
-    def _scored(self, word: str, end: int, path: list[Node]) -> Node:
-        width = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        before = path[end - 1]
-        best = (before.score + width * self.byte_score, -(before.tokens + width))
-        for start in range(max(0, end - self.longest), end):
-            piece = self.pieces.get(word[start:end])
-            if piece is not None:
-                one = (path[start].score + piece, -(path[start].tokens + 1))
-                if one > best:
-                    best = one
-        return Node(best[0], -best[1])
+            node = found
+        return node.tokens
+
+    def _scored(self, before: Node, letter: str) -> Node:
+        width = 1 if letter < "\x80" else len(letter.encode("utf-8", "surrogatepass"))
+        best, fewest = before.score + width * self.byte_score, before.tokens + width
+        begun = []
+        for piece, score, tokens in before.begun:
+            longer = piece.get(letter)
+            if longer is None:
+                continue
+            own = longer.get(_END)
+            if own is not None:
+                whole = score + own
+                if whole > best or (whole == best and tokens + 1 < fewest):
+                    best, fewest = whole, tokens + 1
+                if len(longer) == 1:
+                    continue
+            begun.append((longer, score, tokens))
+        begun.append((self.vocabulary, best, fewest))
+        return Node(best, fewest, begun)
+
+    def count_all(self, words: list[str]) -> int:
+        new = set(words).difference(self.counts)
+        for word in new:
+            self.counts[word] = self.count(word)
+        total = sum(map(self.counts.__getitem__, words))
+        if len(self.counts) > MOST_WORDS:  # those that came last go again
+            for word in new:
+                del self.counts[word]
+        return total
 
 
 def read_pieces(path: str) -> dict[str, float]:
@@ -100,16 +129,12 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
         shared = trie(vocabulary)
         for batch in batches:
             words, tokens = [], []
-            for text in batch["text"].to_pylist():
-                seen = text.split() if text else []
-                for word in set(seen).difference(shared.counts):
-                    shared.count(word)
-                try:
-                    total = sum(map(shared.counts.__getitem__, seen))
-                except KeyError:  # the trie began anew within this text
-                    total = sum(shared.counts[w] if w in shared.counts else shared.count(w) for w in seen)
-                words.append(len(seen))
-                tokens.append(total)
+            for start in range(0, len(batch), 256):
+                with no_collections():
+                    for text in batch["text"].slice(start, 256).to_pylist():
+                        seen = text.split() if text else []
+                        words.append(len(seen))
+                        tokens.append(shared.count_all(seen))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
                 ["doc_id", "n_words", "n_tokens"],
