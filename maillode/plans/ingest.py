@@ -47,7 +47,7 @@ from ..operators.mime import (
     with_kinds,
 )
 from ..sources.maildir import read_file, scan_maildir, with_file_stats
-from .store import IndexStore, open_index
+from .store import Directory, IndexStore, bucket_of, open_index
 from .views import rederive_direction
 
 # Aims for tasks that fit an executor.
@@ -127,9 +127,7 @@ def ingest_files(
         if known.join(messages["messages"], "maildir_path", "left_semi").isEmpty():
             tables |= messages
         else:
-            tables |= _replacing(store, current, messages)
-            for name in messages:
-                following[name] = []
+            tables |= _replacing(store, following, known, messages)
         tables["blobs"] = fresh
     for name, directory in _write_all(store, run, tables).items():
         following.setdefault(name, []).append(directory)
@@ -173,7 +171,7 @@ def _store_contents(
     fresh: DataFrame,
     attachments: DataFrame,
     raws: DataFrame | None,
-) -> tuple[list[str], DataFrame | None]:
+) -> tuple[list[Directory], DataFrame | None]:
     """Write the bytes of new digests; returns the directories, and what was lost.
 
     Lost are the occurrences (sha256, maildir_path, part_path, problem) of digests of
@@ -211,18 +209,34 @@ def _store_contents(
 
 
 def _replacing(
-    store: IndexStore, current: dict[str, list[str]], tables: dict[str, DataFrame]
+    store: IndexStore,
+    following: dict[str, list[Directory]],
+    known: DataFrame,
+    tables: dict[str, DataFrame],
 ) -> dict[str, DataFrame]:
-    """Whole tables in which messages read again take the place of their old rows."""
+    """Tables in which messages read again take the place of their old rows.
+
+    Only the buckets that hold such messages are written anew, together with what is new;
+    ``following`` is told to pass over them in the older directories.
+    """
     again = tables["messages"].select("maildir_path")
+    changed = known.select("maildir_path").join(again, "maildir_path", "left_semi")
+    # One row for each bucket at most.
+    buckets = sorted(row[0] for row in changed.select(bucket_of()).distinct().collect())
     whole = {}
     for name, frame in tables.items():
-        old = store.read_from(current, name)
+        old = store.rows_of_buckets(following, name, buckets)
         whole[name] = incremental.replace_children(old, frame.select(*old.columns), again)
+        following[name] = [
+            Directory(d.path, tuple(sorted({*d.without, *buckets})))
+            for d in following.get(name, [])
+        ]
     return whole
 
 
-def _write_all(store: IndexStore, run: str, tables: dict[str, DataFrame]) -> dict[str, str]:
+def _write_all(
+    store: IndexStore, run: str, tables: dict[str, DataFrame]
+) -> dict[str, Directory]:
     """Write tables side by side: each is a job of its own over the same stage."""
     write = inheritable_thread_target(store.spark)(store.write)
     with ThreadPoolExecutor(len(tables)) as pool:
@@ -242,7 +256,9 @@ def _parsed(todo: DataFrame, raws: DataFrame | None) -> DataFrame:
 
 def browsable(occurrences: DataFrame) -> DataFrame:
     """Rows in an order that lets filters on folder and year pass over row groups."""
-    return occurrences.sortWithinPartitions("folder", "date_parsed")
+    return occurrences.repartitionByRange("folder", "date_parsed").sortWithinPartitions(
+        "folder", "date_parsed"
+    )
 
 
 def rederive(spark: SparkSession, out: str, me: Sequence[str]) -> None:

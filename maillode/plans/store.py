@@ -3,12 +3,20 @@
 A version names the directories that make up each table. A run writes new
 directories first and its manifest last, so readers see either all of a run or
 none of it, and a run that dies leaves nothing visible. One writer at a time.
+
+The tables that follow messages are written in buckets by path. Where messages are
+read again, their buckets are written anew and passed over in the older directories;
+all other buckets' files stay as they are.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import MaillodeError
 
@@ -34,7 +42,22 @@ SCHEMAS = {
     "runs": "run string, scanned long, indexed long, skipped long, attachments long,"
     " new_blobs long, dup_blobs long, errors long",
 }
-MANIFEST = "version long, table_name string, directory string"
+MANIFEST = "version long, table_name string, directory string, without array<int>"
+#: Tables with a row or more for each message, which change with it.
+BUCKETED = ("messages", "attachments", "bodies", "occurrences")
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class Directory:
+    """One run's part of a table, and the buckets in it that later runs have replaced."""
+
+    path: str
+    without: tuple[int, ...] = ()
+
+
+def bucket_of(path: str = "maildir_path") -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
 
 class IndexStore:
@@ -44,7 +67,7 @@ class IndexStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def manifest(self) -> tuple[int, dict[str, list[str]]]:
+    def manifest(self) -> tuple[int, dict[str, list[Directory]]]:
         """Current version number and the directories of each table; (0, {}) when new.
 
         Versions are numbered without gaps, so the newest is found by doubling and halving,
@@ -61,9 +84,10 @@ class IndexStore:
             if rows:
                 break
             low -= 1  # a run died while it wrote this one
-        directories: dict[str, list[str]] = {}
+        directories: dict[str, list[Directory]] = {}
         for row in rows if low else ():
-            directories.setdefault(row.table_name, []).append(row.directory)
+            found = Directory(row.directory, tuple(row.without))
+            directories.setdefault(row.table_name, []).append(found)
         return low, directories
 
     def _manifest(self, version: int) -> DataFrame | None:
@@ -84,26 +108,61 @@ class IndexStore:
         """A table of the current version, empty when nothing was written to it yet."""
         return self.read_from(self.manifest()[1], name)
 
-    def read_from(self, directories: dict[str, list[str]], name: str) -> DataFrame:
-        paths = [f"{self.root}/{d}" for d in directories.get(name, [])]
-        if not paths:
+    def read_from(self, directories: dict[str, list[Directory]], name: str) -> DataFrame:
+        parts: dict[tuple[int, ...], list[str]] = {}
+        for one in directories.get(name, []):
+            parts.setdefault(one.without, []).append(f"{self.root}/{one.path}")
+        if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
-
-    def write(self, frame: DataFrame, name: str, run: str) -> str:
+        frames = []
+        for without, paths in parts.items():
+            if name in BUCKETED:
+                # The buckets are directories, so what is left out is never opened.
+                reader = self.spark.read.option("basePath", f"{self.root}/{name}")
+                found = reader.schema(SCHEMAS[name] + ", run string, bucket int").parquet(*paths)
+                frames.append(found.filter(~F.col("bucket").isin(*without)) if without else found)
+            else:
+                frames.append(self.spark.read.schema(SCHEMAS[name]).parquet(*paths))
+        rows = reduce(DataFrame.unionByName, frames)
+        return rows.select(*self.columns(name))
+
+    def columns(self, name: str) -> list[str]:
+        return self.spark.createDataFrame([], SCHEMAS[name]).columns
+
+    def rows_of_buckets(
+        self, directories: dict[str, list[Directory]], name: str, buckets: list[int]
+    ) -> DataFrame:
+        """The current rows in these buckets only."""
+        others = tuple(b for b in range(BUCKETS) if b not in set(buckets))
+        inside = [
+            Directory(d.path, tuple(sorted({*d.without, *others})))
+            for d in directories.get(name, [])
+        ]
+        return self.read_from({name: inside}, name)
+
+    def write(self, frame: DataFrame, name: str, run: str) -> Directory:
         """Write rows of one table for a run; a repeated write replaces the earlier one."""
-        columns = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
-        directory = f"{name}/{run}"
-        writer = frame.select(*columns).write.mode("overwrite")
+        columns = self.columns(name)
+        directory = Directory(f"{name}/run={run}" if name in BUCKETED else f"{name}/{run}")
+        rows = frame.select(*columns)
+        if name in BUCKETED:
+            rows = rows.withColumn("bucket", bucket_of())
+        writer = rows.write.mode("overwrite")
+        if name in BUCKETED:
+            writer = writer.partitionBy("bucket")
         if "sha256" in columns:
             # Lets the lookup of one digest pass over files and row groups without it.
             writer = writer.option("parquet.bloom.filter.enabled#sha256", "true")
-        writer.parquet(f"{self.root}/{directory}")
+        writer.parquet(f"{self.root}/{directory.path}")
         return directory
 
-    def commit(self, directories: dict[str, list[str]], version: int) -> None:
+    def commit(self, directories: dict[str, list[Directory]], version: int) -> None:
         """Make these directories the given version."""
-        rows = [(version, name, d) for name, found in directories.items() for d in found]
+        rows = [
+            (version, name, one.path, list(one.without))
+            for name, found in directories.items()
+            for one in found
+        ]
         manifest = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
         manifest.write.mode("overwrite").parquet(self._version_path(version))
 

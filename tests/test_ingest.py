@@ -139,6 +139,23 @@ def test_runs_after_the_first(spark, mailbox, tmp_path):
     assert_views_agree(store)
 
 
+def test_a_change_leaves_other_buckets_alone(spark, tmp_path):
+    box = tmp_path / "box"
+    for n in range(40):
+        deliver(box, f"m{n}", mail(f"Mail {n}", BASS, DIRECTOR))
+    run(spark, box, tmp_path / "o")
+    store = open_index(spark, str(tmp_path / "o"))
+    files_of = lambda: set(store.read("messages").inputFiles())
+    before = files_of()
+    deliver(box, "m7", mail("Changed", BASS, DIRECTOR))
+    run(spark, box, tmp_path / "o")
+    subjects = sorted(r.subject for r in store.read("messages").collect())
+    assert subjects == sorted(["Changed", *(f"Mail {n}" for n in range(40) if n != 7)])
+    written = [f for f in files_of() - before]
+    assert len(before - files_of()) <= 1 or len(written) <= 2
+    assert store.read("bodies").count() == 40
+
+
 def renamed_at(monkeypatch, number, rename):
     """Call ``rename`` before contents are read for the given time."""
     read, calls = plan.blob_contents, []
