@@ -7,7 +7,6 @@ used here are single spaces before something that is not white space.
 
 from __future__ import annotations
 
-import itertools
 import re
 from array import array
 
@@ -17,10 +16,16 @@ from .shared import lasting
 
 #: Pieces remembered by a worker process (some 200 bytes each); further ones are encoded
 #: whenever they come up.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: Texts that are cut into pieces at a time.
+TEXTS = 128
 _RISKY = re.compile(r" (?:\s|$)")  # runs of white space: where they end matters
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")  # letters in every Unicode version
+# Letters in every version of Unicode.
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+# A word, the end of its line, and the first of the next one.
+_LINE_END = re.compile(rf"({_LATIN.pattern})([.,]?)\n(\S+)")
 
 
 class BulkEncoder:
@@ -44,6 +49,7 @@ class BulkEncoder:
         self.space = chr(self.shown[32])
         self.tokenize = self.tokenizer.model.tokenize
         self.stops = {stop: self.whole(stop) for stop in ".,"}
+        self.line_end = self.whole("\n")
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -68,9 +74,16 @@ class BulkEncoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
+        out: list[bytes] = []
+        for start in range(0, len(texts), TEXTS):
+            out += self._some(texts[start : start + TEXTS])
+        return out
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         missing: set[str] = set()
+        known = self.known
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -82,18 +95,22 @@ class BulkEncoder:
                 head, pieces = pieces[0], [piece[1:] for piece in pieces[1:]]
             else:
                 head, *pieces = text.split(" ")
-            out[i] = self.whole(head) if head else b""
-            if pieces:
-                cut.append((i, pieces))
-                missing |= set(pieces).difference(self.known)
-        before = len(self.known)
+            ids = list(map(known.get, pieces))
+            gaps = [k for k, one in enumerate(ids) if one is None] if None in ids else []
+            if gaps:
+                missing.update([pieces[k] for k in gaps])
+                out[i] = self._start(head)
+                held.append((i, pieces, ids, gaps))
+            else:
+                out[i] = self._start(head) + b"".join(ids)
         self._learn_all(missing)
-        lookup = self.known.__getitem__
-        for i, pieces in cut:
-            out[i] += b"".join(map(lookup, pieces))
-        if len(self.known) > REMEMBERED:  # those that came last go again
-            for piece in list(itertools.islice(self.known, max(before, REMEMBERED), None)):
-                del self.known[piece]
+        for i, pieces, ids, gaps in held:
+            for k in gaps:
+                ids[k] = known[pieces[k]]
+            out[i] += b"".join(ids)
+        if len(known) > REMEMBERED:  # those that came last go again
+            for piece in missing:
+                del known[piece]
         return out
 
     def _learn_all(self, pieces: set[str]) -> None:
@@ -105,17 +122,28 @@ class BulkEncoder:
             elif piece[-1] in self.stops and latin(piece[:-1]):
                 stem = piece[:-1]
                 known[piece] = (known.get(stem) or self._word(stem)) + self.stops[piece[-1]]
+            elif over := _LINE_END.fullmatch(piece):
+                stem, stop, after = over.groups()
+                ids = (known.get(stem) or self._word(stem)) + self.stops.get(stop, b"")
+                known[piece] = ids + self.line_end + self._start(after)
             else:
                 mixed.append(piece)
         for start in range(0, len(mixed), 4096):
             self._learn([" " + p for p in mixed[start : start + 4096]], known)
 
-    def _word(self, letters: str) -> bytes:
-        """Ids of a space and letters, which are one pre-token whatever follows."""
+    def _start(self, piece: str) -> bytes:
+        """Ids of a piece at the start of a text or line."""
+        stem, stop = (piece[:-1], piece[-1]) if piece[-1:] in self.stops else (piece, "")
+        if _LATIN.fullmatch(stem):
+            return self._word(stem, "") + self.stops.get(stop, b"")
+        return self.whole(piece) if piece else b""
+
+    def _word(self, letters: str, before: str = " ") -> bytes:
+        """Ids of letters, after a space, which are one pre-token whatever follows."""
         if letters.isascii():
-            seen = self.space + letters
+            seen = (self.space if before else "") + letters
         else:
-            seen = (" " + letters).encode().decode("latin-1").translate(self.shown)
+            seen = (before + letters).encode().decode("latin-1").translate(self.shown)
         return array("I", [token.id for token in self.tokenize(seen)]).tobytes()
 
 
