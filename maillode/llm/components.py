@@ -25,14 +25,16 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(links)
     while True:
         # Large star: what is above a node goes to the smallest in the node's neighbourhood.
-        both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        turned = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = links.select("u", "v").unionByName(turned)
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         least = least.select("u", F.least("u", "m").alias("m"))
-        above = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        above = above.distinct()
+        above = both.filter("v > u").join(least, "u")
+        above = above.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and what is below it go to the smallest below it.
         lowest = above.groupBy("u").agg(F.min("v").alias("m"))
-        below = above.join(lowest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        below = above.join(lowest, "u").filter("v != m")
+        below = below.select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = stored(
             below.unionByName(lowest.withColumnRenamed("m", "v")).distinct(), "links"
         )

@@ -20,6 +20,8 @@ from .shared import stored
 
 #: Bytes that one task sorts: a shard of more is cut into several ranges.
 RANGE_BYTES = 256 << 20
+#: Ranges in all, which bounds the probes of a round; beyond that, ranges grow.
+MOST_RANGES = 16_384
 #: A boundary may be off by this part of a shard.
 TOLERANCE = 0.002
 #: Probes between two known keys in a round.
@@ -139,7 +141,8 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[
                 if inside := counts.get(i + 1):
                     low = (_joined(*inside["low"]), *points[i][1:])
                     if i + 1 < len(points) and points[i + 1][2] <= high[2]:
-                        high = (min(points[i + 1][0], _joined(*inside["high"]) + 1), *points[i + 1][1:])
+                        above = min(points[i + 1][0], _joined(*inside["high"]) + 1)
+                        high = (above, *points[i + 1][1:])
             between[j] = (low, high)
     return [
         min(pair, key=lambda point: abs(point[2] - want))
@@ -173,7 +176,7 @@ def shard(
     )
     keys = stored(keyed.select("_first", "_second", "_size"), "keys")
     total = keys.agg(F.sum("_size")).first()[0] or 0
-    ranges = max(1, -(-total // (shards * range_bytes)))
+    ranges = max(1, min(-(-total // (shards * range_bytes)), MOST_RANGES // shards))
     # Only the boundaries of shards need the tolerance; they are every so many of the ranges.
     found = find_splitters(keys, shards * ranges, tolerance * (ranges if ranges > 1 else 1))
     edges = [(_LOW, 0, 0), *found]

@@ -83,7 +83,11 @@ def train(labelled: DataFrame) -> Model:
                     total += row.astype(np.int64)
         for lang, total in totals.items():
             yield pa.RecordBatch.from_pydict(
-                {"lang": [lang] * FEATURES, "feature": np.arange(FEATURES, dtype=np.int32), "n": total}
+                {
+                    "lang": [lang] * FEATURES,
+                    "feature": np.arange(FEATURES, dtype=np.int32),
+                    "n": total,
+                }
             )
 
     usable = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
@@ -97,7 +101,9 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, counts / counts.sum(axis=1, keepdims=True))
 
 
-def _mixture(counts: np.ndarray, chances: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _mixture(
+    counts: np.ndarray, chances: np.ndarray, allowed: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the allowed languages and the log-likelihood, for each row of counts."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Phrases and their labels.
 PHRASES = {
@@ -135,7 +136,9 @@ class Automaton:
             self.link[made] = self._halved(last, word)
         return made
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]:
+    def scan(
+        self, words: list[bytes]
+    ) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]:
         """Places of phrases (start, end, label), and matches (state, end, length) that no
         further word extends, for the words of a text."""
         phrases, matches = [], []
@@ -241,4 +244,5 @@ def scan_licences(
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(scanned, "doc_id long, " + RESULT)
+    known = docs.select(F.col("doc_id").cast("long"), "text")
+    return known.mapInArrow(scanned, "doc_id long, " + RESULT)

@@ -122,7 +122,9 @@ def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
     blocks = F.ceil(F.col("source_rows") / BLOCK_ROWS)
     # A left side of any size meets a row for each source; AQE splits a large source.
     source_key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source")
-    keyed = targets.select(source_key, "source_size", "target", rate.alias("_rate"), blocks.alias("_blocks"))
+    keyed = targets.select(
+        source_key, "source_size", "target", rate.alias("_rate"), blocks.alias("_blocks")
+    )
     rows = (
         sized.withColumn("_source", source_key)
         .join(keyed, "_source")
@@ -155,7 +157,8 @@ def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
         nodes = -(-nodes // FAN_IN)
     # One remainder a source: taken with the chance that is left to it.
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    settled.append(done.withColumn("mass", F.when(open_ones, (chance < F.col("mass")).cast("double")).otherwise(F.col("mass"))))
+    last = F.when(open_ones, (chance < F.col("mass")).cast("double")).otherwise(F.col("mass"))
+    settled.append(done.withColumn("mass", last))
     rows = settled[0]
     for more in settled[1:]:
         rows = rows.unionByName(more)
@@ -172,8 +175,12 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     Rows with the same id are told apart by their size and source.
     """
     sized = docs.withColumn("_size", size_in_words())
-    taken = mix(sized.select("doc_id", "source", F.col("_size").alias("size")), seed).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_words"), "copies"
+    taken = mix(sized.select("doc_id", "source", F.col("_size").alias("size")), seed)
+    taken = taken.select(
+        F.col("doc_id").alias("_id"),
+        F.col("source").alias("_src"),
+        F.col("size").alias("_words"),
+        "copies",
     )
     mine = Window.partitionBy("doc_id").orderBy("_size", "source")
     theirs = Window.partitionBy("_id").orderBy("_words", "_src")

@@ -66,7 +66,7 @@ def cut_pieces(
             )
 
     schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, schema)
 
 
 def _encoded(batch: pa.RecordBatch, encode: Callable) -> Iterator[tuple[int | None, bytes]]:

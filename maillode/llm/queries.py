@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, histogram, languages, licences, mixing, near, packing, token_counts, token_files, vectors
+from . import (
+    exact,
+    histogram,
+    languages,
+    licences,
+    mixing,
+    near,
+    packing,
+    token_counts,
+    token_files,
+    vectors,
+)
 from .shared import shared_path, table
 
 HELD_OUT_OF = 5

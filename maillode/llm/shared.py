@@ -102,7 +102,7 @@ def gapless_ranks(
     raised by the rows of the group in earlier buckets. A group of any size so takes part in
     all buckets, and no task sees it whole.
     """
-    buckets = max(64, -(-n_rows // 20_000))
+    buckets = max(64, -(-n_rows // 100_000))
     dealt = frame.withColumn("_bucket", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)))
     counts = dealt.groupBy("_bucket", group).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(

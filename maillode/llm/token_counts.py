@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import lasting, no_collections
 
@@ -140,6 +141,6 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ["doc_id", "n_words", "n_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         counted, "doc_id long, n_words long, n_tokens long"
     )

@@ -43,8 +43,10 @@ IDS = "doc_id long, start long, ids array<long>"
 
 
 def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        return pyarrow.fs.FileSystem.from_uri(path)
     return pyarrow.fs.LocalFileSystem(), path
 
 
@@ -141,7 +143,13 @@ class _Reader(DataSourceReader):
         with files.open_input_file(f"{folder}/manifest.json") as source:
             manifest = json.loads(source.read())
         return [
-            _Part(one["name"], first, min(READ_DOCUMENTS, one["documents"] - first), one["start"], manifest["width"])
+            _Part(
+                one["name"],
+                first,
+                min(READ_DOCUMENTS, one["documents"] - first),
+                one["start"],
+                manifest["width"],
+            )
             for one in manifest["files"]
             for first in range(0, one["documents"], READ_DOCUMENTS)
         ]
@@ -207,7 +215,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str) -> None:
     files. Fails if ``path`` isn't empty.
     """
     docs.sparkSession.dataSource.register(TokenFiles)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
     (
         ordered.sortWithinPartitions("doc_id")
         .write.format("token_files")

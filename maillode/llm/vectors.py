@@ -128,7 +128,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     total = distinct.count()
     cells = min(MOST_CELLS, max(1, -(-total // CELL_VECTORS)))
     first = distinct.orderBy(F.xxhash64("head"), "head").limit(SAMPLE if cells > 1 else 1)
-    sample = first.select("embedding").toPandas()["embedding"] if total else pd.Series([], dtype=object)
+    sample = first.select("embedding").toPandas()["embedding"]
     width = len(sample.iloc[0]) if len(sample) else 0
     sample = sample[sample.map(len) == width]
     centres = spherical_means(unit_rows(sample), cells) if len(sample) else np.zeros((0, 0))
