@@ -86,7 +86,8 @@ def run_statistics(
 ) -> DataFrame:
     """One row counting what a run scanned, skipped, indexed, stored and failed on.
 
-    Messages of which a part was lost count as errors, by parts, and not as indexed. Each input is reduced to one row before they are added up.
+    Messages of which a part was lost count as errors, by parts, and not as indexed. Each
+    input is reduced to one row before they are added up.
     """
     failed_parts = F.size(F.filter("parts", lambda p: p["part_error"].isNotNull()))
     broken = F.col("read_error").isNotNull() | F.col("index_error").isNotNull()
