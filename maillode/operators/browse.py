@@ -236,9 +236,7 @@ def count_on_page(page: DataFrame, attachments: DataFrame) -> DataFrame:
     """
     files = page.groupBy("sha256").agg(F.collect_list(F.struct(*page.columns)).alias("rows"))
     occurrences = attachments.select("sha256").join(F.broadcast(files), "sha256")
-    counted = occurrences.groupBy("sha256").agg(
-        F.count("*").alias("copies"), F.any_value("rows").alias("rows")
-    )
+    counted = occurrences.groupBy("sha256", "rows").agg(F.count("*").alias("copies"))
     return counted.select("copies", F.inline("rows"))
 
 

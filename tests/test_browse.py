@@ -147,6 +147,21 @@ def test_joins_give_the_same_rows_however_hot_keys_are_split(skewed, hot_rows):
     assert semi.columns == skewed.columns and semi.count() == 300 - counts["b" * 64]
 
 
+def physical(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().split("\n")
+
+
+def test_plans_stay_narrow(skewed):
+    """Files are collapsed on keys and sort columns, and a split join reads its rows once."""
+    listed = b.listing(skewed, skewed, BrowseParams(noise=True))
+    aggregates = [n for n in physical(listed) if "SortAggregate" in n]
+    assert aggregates and not any("from_raw" in n or "subject" in n for n in aggregates)
+    every = physical(b.listing(skewed, skewed, BrowseParams(noise=True, collapse=False)))
+    assert sum("offset=" in n or "TakeOrderedAndProject" in n for n in every) <= 3
+    joined = physical(dedup.with_copies(skewed.select("sha256", "maildir_path"), skewed))
+    assert not any("Union" in n for n in joined)
+
+
 def test_partitioning_does_not_change_results(skewed):
     params = BrowseParams(noise=True)
     wide = b.listing(skewed.repartition(13), skewed.repartition(5), params).collect()
