@@ -156,16 +156,18 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return docs.withColumns(
             {"lang_pred": F.lit(NONE), "score": F.lit(0.0), "n_langs": F.lit(0)}
         )
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a worker need not be able to import this package.
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.chances))
 
     @F.pandas_udf("lang string, score double, size int")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = np.array(sent.value.languages, dtype=object)
+        languages, chances = sent.value
+        names = np.array(languages, dtype=object)
         for batch in batches:
             lang, score, size = [], [], []
             for start in range(0, len(batch), BLOCK):
                 texts = _prepared(batch.iloc[start : start + BLOCK].tolist())
-                share, sizes = infer(features(texts), sent.value.chances)
+                share, sizes = infer(features(texts), chances)
                 lang.append(names[share.argmax(axis=1)])
                 score.append(share.max(axis=1))
                 size.append(sizes)
