@@ -191,17 +191,20 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     full = full_sets(docs, ids)
 
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = [
-            linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-            for x, y in zip(left, right, strict=True)
-        ]
-        return pd.Series(out, dtype=bool)
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # The sets are looked at where Arrow has them, without copies.
+            sides = [
+                [np.frombuffer(one.as_buffer(), np.uint64) for one in batch[side]]
+                for side in ("x", "y")
+            ]
+            found = [linked(x, y) for x, y in zip(*sides, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter(similar("x", "y")).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(similar, "a long, b long")
 
 
 def _differing(x: str, y: str):

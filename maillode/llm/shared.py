@@ -63,6 +63,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once: whole texts, of which ten thousand are many MB.
+ARROW_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this block jobs send smaller batches to Python, unless the session's are small."""
+    before = spark.conf.get(_ARROW_ROWS)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(_ARROW_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """The frame, written as a table to the shared folder and read again.
 
@@ -70,7 +89,8 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = shared_path(spark, label)
-    frame.write.parquet(path)
+    with arrow_rows(spark, ARROW_ROWS):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
