@@ -31,6 +31,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from .shared import ARROW_ROWS, arrow_rows
 from .tokens import encoder
 
 END_ID = 0
@@ -216,13 +217,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str) -> None:
     """
     docs.sparkSession.dataSource.register(TokenFiles)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
-    (
-        ordered.sortWithinPartitions("doc_id")
-        .write.format("token_files")
-        .option("vocabulary", vocabulary)
-        .mode("append")
-        .save(path)
-    )
+    writer = ordered.sortWithinPartitions("doc_id").write.format("token_files")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        writer.option("vocabulary", vocabulary).mode("append").save(path)
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:

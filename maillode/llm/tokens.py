@@ -16,7 +16,7 @@ from .shared import lasting
 
 #: Pieces remembered by a worker process (some 200 bytes each); further ones are encoded
 #: whenever they come up.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Texts that are cut into pieces at a time.
 TEXTS = 128
 _RISKY = re.compile(r" (?:\s|$)")  # runs of white space: where they end matters
