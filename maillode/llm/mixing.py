@@ -1,11 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target divided by its size says how often each of its documents should be taken:
-a whole number of copies and a fraction. Two fractions are paired and move mass, at random and
-without bias, until one of the two is 0 or 1; the other stays in play. Blocks of documents do
-this on their own, longest documents first, so that mass moves between documents of like size
-and what remains of a block is one short document. A reduction tree joins these remainders,
-``FAN_IN`` blocks at a time, until each source has one.
+a whole number of copies and a fraction. Fractions move mass, at random and without bias, until
+they are 0 or 1. Blocks of documents do this on their own, longest documents first: a document
+is paired with all shorter ones of its block together, whose fractions take up its words evenly,
+so that the words of the block stay as they are. Documents that the shorter ones can't make up
+for stay in play; a reduction tree joins these remainders, ``FAN_IN`` blocks at a time, and the
+last ones of a source are paired one by one. Every step keeps each document's chance.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .shared import WORD, stored
 
 BLOCK_ROWS = 4096
 FAN_IN = 64
-#: A block is rounded so many times; the draw that comes nearest to its words is taken.
-DRAWS = 16
+#: So many documents of a block, and one more, may stay in play for the next level.
+LONGEST = 16
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -107,6 +108,40 @@ def round_pairs(fractions: np.ndarray, draw: np.random.Generator) -> np.ndarray:
     return out
 
 
+def round_words(
+    fractions: np.ndarray, words: np.ndarray, draw: np.random.Generator, longest: int
+) -> np.ndarray:
+    """The fractions after one draw in this order, longest first: 0 or 1, but for ``longest`` + 1
+    at most.
+
+    What a document gains or loses in words, all after it lose or gain, by equal fractions. One
+    for which these would leave 0 to 1 is passed over; of those passed over, ``longest`` stay as
+    they are and the others are paired.
+    """
+    out = fractions.astype(float).copy()
+    after = words[::-1].cumsum()[::-1] - words
+    least = np.r_[np.minimum.accumulate(out[::-1])[::-1][1:], 0.0]
+    most = np.r_[np.maximum.accumulate(out[::-1])[::-1][1:], 1.0]
+    chances = draw.random(len(out))
+    shift, passed = 0.0, []
+    for i in range(len(out)):
+        a = out[i] + shift
+        if not _TINY < a < 1 - _TINY:
+            out[i] = round(a)
+            continue
+        part = words[i] / after[i] if after[i] else np.inf
+        low, high = least[i] + shift - (1 - a) * part, most[i] + shift + a * part
+        if low > _TINY and high < 1 - _TINY:
+            out[i] = float(chances[i] < a)
+            shift += (a - out[i]) * part
+        else:
+            out[i] = a
+            passed.append(i)
+    paired = passed[longest:]
+    out[paired] = round_pairs(out[paired], draw)
+    return out
+
+
 def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
     """Add ``source_size``, ``target``, ``copies`` and ``taken`` to rows with ``doc_id``,
     ``source`` and ``size``; no other columns are kept.
@@ -137,28 +172,32 @@ def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
     )
     schema = rows.schema
 
-    def reduce(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(
-            ["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True
-        )
-        fractions, words = part["mass"].to_numpy(), part["size"].to_numpy()
-        draw = np.random.default_rng([seed, zlib.crc32(key[0].encode()), int(key[1])])
-        drawn = [round_pairs(fractions, draw) for _ in range(DRAWS)]
-        return part.assign(mass=min(drawn, key=lambda one: abs((one - fractions) @ words)))
-
-    settled, level, nodes = [], rows, -(-most_rows // BLOCK_ROWS)
+    def reducer(depth: int, last: bool):
+        def reduce(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(
+                ["size", "doc_id", "mass"],
+                ascending=[False, True, True], kind="stable", ignore_index=True,
+            )
+            draw = np.random.default_rng([seed, zlib.crc32(key[0].encode()), int(key[1]), depth])
+            fractions, words = part["mass"].to_numpy(), part["size"].to_numpy()
+            mass = round_words(fractions, words, draw, 0 if last else LONGEST)
+            if last:  # one remainder a source: taken with the chance that is left to it
+                mass = np.where((mass > 0) & (mass < 1), draw.random() < mass, mass)
+            return part.assign(mass=mass.astype(float))
+
+        return reduce
+
+    settled, level, nodes, depth = [], rows, -(-most_rows // BLOCK_ROWS), 0
     while True:
+        reduce = reducer(depth, nodes <= 1)
         done = stored(level.groupBy("_source", "node").applyInPandas(reduce, schema), "level")
-        open_ones = (F.col("mass") > 0) & (F.col("mass") < 1)
         if nodes <= 1:
+            settled.append(done)
             break
+        open_ones = (F.col("mass") > 0) & (F.col("mass") < 1)
         settled.append(done.filter(~open_ones))
         level = done.filter(open_ones).withColumn("node", F.expr(f"node div {FAN_IN}"))
-        nodes = -(-nodes // FAN_IN)
-    # One remainder a source: taken with the chance that is left to it.
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    last = F.when(open_ones, (chance < F.col("mass")).cast("double")).otherwise(F.col("mass"))
-    settled.append(done.withColumn("mass", last))
+        nodes, depth = -(-nodes // FAN_IN), depth + 1
     rows = settled[0]
     for more in settled[1:]:
         rows = rows.unionByName(more)

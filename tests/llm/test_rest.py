@@ -68,6 +68,36 @@ def test_rounding_keeps_the_sum_and_the_chances():
     assert np.allclose(drawn.mean(axis=0), fractions, atol=0.03)
 
 
+def test_mix_keeps_the_chance_of_a_very_long_document(spark, monkeypatch):
+    """In each source one document is as long as a third of the others together."""
+    rows = []
+    for s in range(300):
+        words = [20_000, *[300] * 200, s + 1]
+        rows += [(s * 1000 + i, f"s{s}", n) for i, n in enumerate(words)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for block in (mixing.BLOCK_ROWS, 150):  # with 150, half of the others are with it
+        monkeypatch.setattr(mixing, "BLOCK_ROWS", block)
+        got = mixing.mix(frame, weights=(1,), share=0.3).toPandas()
+        assert got["copies"].isin([0, 1]).all()
+        assert abs(got[got["size"] == 20_000]["copies"].mean() - 0.3) < 0.1
+        assert abs(got[got["size"] == 300]["copies"].mean() - 0.3) < 0.02
+        if block > 300:
+            sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+            assert (abs(sums["taken"] - sums["target"]) <= 3 * 300).all()
+
+
+def test_words_are_kept_and_chances_too():
+    draw = np.random.default_rng(5)
+    words = np.sort(np.clip(draw.lognormal(5, 1, 400), 1, 20_000).astype(int))[::-1]
+    words = np.r_[words.sum() * 5, words]  # the first is too long for the others
+    for p in (0.3, 0.6):
+        drawn = np.array([mixing.round_words(np.full(401, p), words, draw, 1) for _ in range(2000)])
+        assert (drawn[:, 0] == p).all()
+        assert np.allclose(drawn.mean(axis=0), p, atol=0.06)
+        assert (abs(drawn[:, 1:] @ words[1:] - p * words[1:].sum()) < 0.005 * words[1:].sum()).all()
+        assert (((drawn > 0) & (drawn < 1)).sum(axis=1) <= 2).all()
+
+
 def test_mixed_documents(docs, none):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
