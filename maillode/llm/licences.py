@@ -4,8 +4,9 @@ The automaton knows every run of words that occurs in any wording. A text's word
 through it once, and at each word it tells the longest run that ends there and stands in some
 wording (matching statistics). Runs that can't be extended are matches; matches with the same
 wording, in its order and close together, are chained to spans, and the part of the wording
-that a chain covers decides about the label. Known phrases go into the same automaton and are
-recognised where they end.
+that a chain covers decides about the label, together with the words that tell the licence from
+its relatives: these have to stand in the chain. Known phrases go into the same automaton and
+are recognised where they end.
 """
 
 from __future__ import annotations
@@ -58,8 +59,18 @@ WORDINGS = {
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike"],
     "all-rights-reserved": ["all rights reserved"],
 }
+#: What tells a licence from others with nearly its wordings: its name and version. A chain has
+#: to hold each of these that the wording has, every one in a single match.
+DISTINGUISHING = {
+    "mit": ["deal in the software"],  # the NCSA licence: deal with
+    "apache-2": ["apache license version 2"],
+    "gpl-3": ["gnu general public license", "version 3"],
+    "mpl-2": ["mozilla public license v 2"],
+    "cc-by-nc": ["by nc"],
+    "cc-by-sa": ["by sa"],
+}
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: A match has so many words at least, or all of a shorter wording.
+#: A match has so many words at least, or all of a shorter wording or of a distinguishing part.
 LEAST_MATCH = 4
 #: Words that may stand between two matches of a chain, in the text and in the wording.
 MOST_GAP = 12
@@ -70,7 +81,12 @@ LEAST_COVER = 0.75
 class Automaton:
     """Generalised suffix automaton of sequences of words."""
 
-    def __init__(self, wordings: dict[str, list[str]], phrases: dict[str, str]):
+    def __init__(
+        self,
+        wordings: dict[str, list[str]],
+        phrases: dict[str, str],
+        distinguishing: dict[str, list[str]] | None = None,
+    ):
         self.next: list[dict[bytes, int]] = [{}]
         self.length, self.link = [0], [-1]
         self.wordings = [
@@ -84,6 +100,16 @@ class Automaton:
         #: The wordings and places where a state's runs end, and the phrases that end there.
         self.places: list[list[tuple[int, int]]] = [[] for _ in self.next]
         self.phrases: list[list[tuple[int, str]]] = [[] for _ in self.next]
+        #: Where the distinguishing parts of each wording stand (first word, word after).
+        self.parts = [
+            [
+                (at, at + len(part))
+                for part in (p.encode().split() for p in (distinguishing or {}).get(label, []))
+                for at in range(len(words) - len(part) + 1)
+                if words[at : at + len(part)] == part
+            ]
+            for label, words in self.wordings
+        ]
         ends = defaultdict(list)
         for number, (_, words) in enumerate(self.wordings):
             for end, state in enumerate(self._walk(words), 1):
@@ -92,6 +118,11 @@ class Automaton:
             while state > 0:
                 self.places[state] += own
                 state = self.link[state]
+        #: The words that a match ending in a state has at least.
+        self.least = [
+            min([LEAST_SHORT, *(n for number, end in own if (n := self._short(number, end)))])
+            for own in self.places
+        ]
         finals = {}
         for label, words in known:
             finals.setdefault([*self._walk(words)][-1], []).append((len(words), label))
@@ -107,6 +138,10 @@ class Automaton:
             state = self.next[state][word]
             yield state
 
+    def _short(self, number: int, end: int) -> int | None:
+        """The length from which on a match that ends there has a distinguishing part."""
+        return min((end - a for a, b in self.parts[number] if b <= end), default=None)
+
     def _new(self, length: int, link: int, edges: dict[bytes, int]) -> int:
         self.next.append(edges)
         self.length.append(length)
@@ -144,14 +179,15 @@ class Automaton:
         phrases, matches = [], []
         state = length = 0
         edges, link, sizes, ends = self.next, self.link, self.length, self.phrases
+        least = self.least
         vocabulary, past = edges[0], -2
         for i in [i for i, word in enumerate(words) if word in vocabulary]:
             if i != past + 1:
-                if length >= LEAST_SHORT:
+                if length >= least[state]:
                     matches.append((state, past, length))
                 state = length = 0
             past, word = i, words[i]
-            if word not in edges[state] and length >= LEAST_SHORT:
+            if word not in edges[state] and length >= least[state]:
                 matches.append((state, i - 1, length))
             while word not in edges[state]:
                 state = link[state]
@@ -159,37 +195,45 @@ class Automaton:
             state, length = edges[state][word], length + 1
             if ends[state]:
                 phrases += [(i - n + 1, i, label) for n, label in ends[state] if n <= length]
-        if length >= LEAST_SHORT:
+        if length >= least[state]:
             matches.append((state, past, length))
         return phrases, matches
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int]]:
-        """The best chain of each wording: label, part of the wording covered, first and last
-        word in the text."""
+        """The best chain of each wording, of those with all its distinguishing parts: label,
+        part of the wording covered, first and last word in the text."""
         by_wording = defaultdict(list)
         for state, end, length in matches:
             for number, place in self.places[state]:
-                if length >= min(LEAST_MATCH, len(self.wordings[number][1])):
+                short = self._short(number, place) or LEAST_MATCH
+                if length >= min(LEAST_MATCH, len(self.wordings[number][1]), short):
                     by_wording[number].append((end, place, length))
         found = []
         for number, own in by_wording.items():
             label, words = self.wordings[number]
             own.sort()
-            chains: list[tuple[int, int]] = []  # words covered, first word in the text
-            best, recent = (0, 0, 0), 0
+            parts = self.parts[number]
+            # Distinguishing parts held (bits), words covered, first word in the text.
+            chains: list[tuple[int, int, int]] = []
+            best, recent = (0, 0, 0, 0), 0
             for i, (end, place, length) in enumerate(own):
-                covered, first = length, end - length + 1
+                inside = sum(
+                    1 << k for k, (a, b) in enumerate(parts) if place - length <= a and b <= place
+                )
+                held, covered, first = inside, length, end - length + 1
                 while own[recent][0] < end - length - MOST_GAP:
                     recent += 1
                 for j in range(recent, i):
                     before, at, _ = own[j]
                     gap = min(length, end - before, place - at)
                     if end > before and 0 < place - at <= length + MOST_GAP:
-                        if chains[j][0] + gap > covered:
-                            covered, first = chains[j][0] + gap, chains[j][1]
-                chains.append((covered, first))
-                best = max(best, (covered, first, end))
-            found.append((label, min(1.0, best[0] / len(words)), best[1], best[2]))
+                        both, more = chains[j][0] | inside, chains[j][1] + gap
+                        if (both.bit_count(), more) > (held.bit_count(), covered):
+                            held, covered, first = both, more, chains[j][2]
+                chains.append((held, covered, first))
+                best = max(best, (held.bit_count(), covered, first, end))
+            if best[0] == len(parts):
+                found.append((label, min(1.0, best[1] / len(words)), best[2], best[3]))
         return found
 
 
@@ -223,6 +267,7 @@ def scan_licences(
     docs: DataFrame,
     wordings: dict[str, list[str]] | None = None,
     phrases: dict[str, str] | None = None,
+    distinguishing: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """``doc_id`` and the columns of ``RESULT``, for every row's whole text.
 
@@ -233,11 +278,12 @@ def scan_licences(
     """
     wordings = WORDINGS if wordings is None else wordings
     phrases = PHRASES if phrases is None else phrases
+    distinguishing = DISTINGUISHING if distinguishing is None else distinguishing
     names = [part.split()[0] for part in RESULT.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] + [pa.int64()] * 2
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(wordings, phrases)
+        automaton = Automaton(wordings, phrases, distinguishing)
         for batch in batches:
             rows = [scan_text(automaton, text) for text in batch["text"].to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)

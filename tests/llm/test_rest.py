@@ -175,6 +175,49 @@ def test_matching_statistics_and_chains():
         assert [(end, n) for _, end, n in got] == ends
 
 
+GNU = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU"
+    " {1}General Public License as published by the Free Software Foundation, either version {2}"
+    " of the License, or (at your option) any later version."
+)
+MIT = licences.WORDINGS["mit"][0]
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("licensed under the gnu general public license version 2", ""),
+        ("licensed under the GNU Lesser General Public License version 3", ""),
+        ("licensed under the GNU Affero General Public License version 3", ""),
+        (GNU.format("program", "", "2"), ""),
+        (GNU.format("library", "Lesser ", "2.1"), ""),
+        (GNU.format("library", "Lesser ", "3"), ""),
+        (GNU.format("program", "Affero ", "3"), ""),
+        ("licensed under the Apache License, Version 1.1", ""),
+        (MIT.replace("deal in", "deal with"), ""),
+        ("licensed under the gnu general public license version 3", "gpl-3"),
+        ("licensed under the GNU General Public License (GPL) version 3", "gpl-3"),
+        (GNU.format("program", "", "3"), "gpl-3"),
+        (GNU.format("program", "", "2") + " Or: " + GNU.format("code", "", "3"), "gpl-3"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2"),
+        (MIT, "mit"),
+        *((t, label) for label, texts in licences.WORDINGS.items() for t in texts),
+    ],
+)
+def test_licences_and_their_near_misses(text, label):
+    known = licences.WORDINGS, licences.PHRASES, licences.DISTINGUISHING
+    got = licences.scan_text(licences.Automaton(*known), f"File a.c. {text} (end)")
+    assert got[5] == label
+    assert (got[6] > 0) == bool(label)
+
+
+def test_distinguishing_words_are_used(spark):
+    texts = [GNU.format("program", "", "2"), GNU.format("program", "", "3")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan_licences(frame).collect()}
+    assert got == {0: ("", 0.0), 1: ("gpl-3", 1.0)}
+
+
 @pytest.mark.parametrize("cell", [4096, 40])
 def test_vectors(spark, monkeypatch, cell):
     monkeypatch.setattr(vectors, "CELL_VECTORS", cell)
