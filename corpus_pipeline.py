@@ -10,6 +10,7 @@ import pathlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
@@ -26,8 +27,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return exact.mark_copies(docs).filter("kept").select(*docs.columns)
+    """Of equal texts, one row: a row of the document with the largest id."""
+    kept = exact.mark_copies(docs).filter("kept")
+    # Rows that repeat an id and its text are kept all; copies fold before they are shuffled.
+    repeated = kept.filter("group_size > 1").groupBy("doc_id", "text_sha256")
+    once = repeated.agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.filter("group_size = 1").select(*docs.columns).unionByName(once)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,19 @@ def test_dedup_stages(spark, docs):
     assert {r["doc_id"] for r in near.collect()} - {None} == {i for i, c in expected.items() if i == c}
 
 
+def test_exact_dedup_keeps_one_row_of_equal_texts(spark):
+    rows = [*cases.rows(), (None, "text without an id", "de", "s1", 3), (None, None, "en", "s0", 0)]
+    rows += [(None, "all without", "en", "s0", 0)] * 3 + [(70, "twice", lang, "s0", 0) for lang in ("en", "de")]
+    docs = spark.createDataFrame(rows, cases.DOCS).repartition(3)
+    got = corpus_pipeline.one_of_equal_texts(spark, docs, "").collect()
+    assert sorted(r["text"] or "" for r in got) == sorted({r[1] or "" for r in rows})
+    assert {tuple(r) for r in got} <= set(rows)
+    largest = {}
+    for i, text, *_ in rows:
+        largest[text or ""] = max(largest.get(text or "", -1), -1 if i is None else i)
+    assert {r["text"] or "": -1 if r["doc_id"] is None else r["doc_id"] for r in got} == largest
+
+
 def test_runs_over_a_table(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 100 and rows.filter("offset + length > 2048").count() == 0
