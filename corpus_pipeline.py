@@ -20,8 +20,14 @@ from maillode.llm.shared import stored, table  # noqa: E402
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; texts without letters go."""
+    """Documents whose text has a letter, with no regard to which language it is taken for.
+
+    That is what ``languages.predict`` calls known, if a language was learned. If none was, as
+    in a table without labels, nothing is known to it, and the letters are looked at here.
+    """
     model = languages.train(docs.filter(~held_out()))
+    if not model.languages:
+        return docs.filter(languages.lettered())
     told = languages.predict(docs, model).filter(f"lang_pred <> '{languages.NONE}'")
     return told.select(*docs.columns)
 

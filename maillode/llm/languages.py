@@ -144,6 +144,11 @@ def infer(counts: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chosen, size
 
 
+def lettered(text: str = "text"):
+    """Whether a text has a letter; a null one hasn't."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` (its proportion), ``n_langs`` (size of the language set).
 
@@ -182,12 +187,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             else:
                 yield pd.DataFrame({"lang": [], "score": [], "size": []})
 
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    known = lettered(text)
     seen = docs.withColumn("_seen", look(F.coalesce(F.col(text), F.lit(""))))
     return seen.withColumns(
         {
-            "lang_pred": F.when(lettered, F.col("_seen.lang")).otherwise(NONE),
-            "score": F.when(lettered, F.col("_seen.score")).otherwise(0.0),
-            "n_langs": F.when(lettered, F.col("_seen.size")).otherwise(0),
+            "lang_pred": F.when(known, F.col("_seen.lang")).otherwise(NONE),
+            "score": F.when(known, F.col("_seen.score")).otherwise(0.0),
+            "n_langs": F.when(known, F.col("_seen.size")).otherwise(0),
         }
     ).drop("_seen")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import corpus_pipeline
 
 from . import cases
@@ -40,6 +42,18 @@ def test_exact_dedup_keeps_one_row_of_equal_texts(spark):
     assert {r["text"] or "": -1 if r["doc_id"] is None else r["doc_id"] for r in got} == largest
 
 
+def test_texts_stay_when_no_language_was_learned(spark):
+    rows = cases.rows()
+    lettered = sorted(r[1] for r in rows if any(c.isalpha() for c in r[1] or ""))
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    unlabelled = [(i, text, None, *more) for i, text, _, *more in rows]
+    for table in (unlabelled, [(held, text, "en", *more) for _, text, _, *more in rows], rows):
+        docs = spark.createDataFrame(table, cases.DOCS)
+        got = corpus_pipeline.known_language(spark, docs, "")
+        assert got.columns == docs.columns
+        assert sorted(r["text"] for r in got.collect()) == lettered
+
+
 def test_runs_over_a_table(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 100 and rows.filter("offset + length > 2048").count() == 0
