@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     exact,
     histogram,
     languages,
     licences,
+    markup,
     mixing,
     near,
     packing,
+    periodic,
     token_counts,
     token_files,
     vectors,
@@ -101,6 +104,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(
+        table(spark, sf_dir, "documents"),
+        vocabulary("byte_bpe_50k.json"),
+        vocabulary("piece_bpe_32k.model"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.describe_runs(periodic.find_runs(docs, edited=True)).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = markup.main_text(table(spark, sf_dir, "pages"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_near_vectors": op9_near_vectors,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_main_text": op13_main_text,
     "pipeline": pipeline,
 }
 

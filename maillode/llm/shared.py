@@ -82,15 +82,17 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_ARROW_ROWS, before)
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
+def stored(frame: DataFrame, label: str, **options: str) -> DataFrame:
     """The frame, written as a table to the shared folder and read again.
 
+    ``options`` are those of the Parquet writer.
+
     Cuts the lineage: a lost executor costs the tasks that read the table, no more.
     """
     spark = frame.sparkSession
     path = shared_path(spark, label)
     with arrow_rows(spark, ARROW_ROWS):
-        frame.write.parquet(path)
+        frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
