@@ -33,26 +33,25 @@ def occurrence_view(spark, sf_dir):
 @query(
     "message_detail",
     f"""WITH {TABLES}, bodies AS (SELECT maildir_path, text AS body FROM turns
-  WHERE part_path = '0' AND conv_id % 5 <> 0)
-SELECT maildir_path, part_path, folder, subject, date_parsed,
-  left(coalesce(body, '[no body is stored for this message]'), 300) AS body,
-  length(coalesce(body, '[no body is stored for this message]')) > 300 AS truncated
+  WHERE part_path = '0')
+SELECT maildir_path, part_path, folder, subject, date_parsed, sha256(body) AS body_sha256,
+  length(body) AS chars, left(body, 200000) AS shown, length(body) > 200000 AS truncated
 FROM attachments JOIN messages USING (maildir_path) LEFT JOIN bodies USING (maildir_path)""",
 )
 def message_detail(spark, sf_dir):
     attachments, _, messages = corpus.occurrence_tables(spark, sf_dir)
     turns = corpus.table(spark, sf_dir, "conversations")
-    # Of every fifth message no body was stored.
-    bodies = turns.filter("turn = 0 AND conv_id % 5 <> 0").select(
+    bodies = turns.filter("turn = 0").select(
         F.concat(F.lit(f"{corpus.MAIL_ROOT}/cur/c"), F.col("conv_id")).alias("maildir_path"),
         F.col("text").alias("body"),
     )
     missing = [c for c in views.HEAD_COLUMNS if c not in messages.columns]
     whole = messages.withColumns({c: F.lit(None).cast("string") for c in missing})
-    heads = views.message_heads(attachments, whole, bodies, body_chars=300)
+    heads = views.message_heads(attachments, whole, bodies)
     return heads.select(
-        "maildir_path", "part_path", "folder", "subject", "date_parsed", "body", "truncated"
-    )
+        "maildir_path", "part_path", "folder", "subject", "date_parsed", "body_sha256", "chars",
+        F.col("body").alias("shown"), "truncated",
+    )
 
 
 @query(

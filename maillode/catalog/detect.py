@@ -189,9 +189,6 @@ def charset_counts(spark, sf_dir):
 
 # --- markup ------------------------------------------------------------------
 
-SPACES = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
 
 
 def text_of_html(column: str) -> str:
@@ -199,15 +196,15 @@ def text_of_html(column: str) -> str:
     steps = [
         (r"(?is)<script\b.*?</script>", " "),
         (r"(?is)<style\b.*?</style>", " "),
-        (rf"(?i)<[{SPACES}]*(br|/p|/div|/tr|/h[1-6])\b[^>]*>", "\n"),
+        (rf"(?i)<[{sql.SPACES}]*(br|/p|/div|/tr|/h[1-6])\b[^>]*>", "\n"),
         (r"<[^>]+>", ""),
         (r"&copy;?", "©"),
         (r"&middot;?", "·"),
         (r"&quot;?", '"'),
         (r"&amp;?", "&"),
         (r"\n{3,}", "\n\n"),
-        (rf"^[{SPACES}]+", ""),
-        (rf"[{SPACES}]+$", ""),
+        (rf"^[{sql.SPACES}]+", ""),
+        (rf"[{sql.SPACES}]+$", ""),
     ]
     for pattern, replacement in steps:
         column = f"regexp_replace({column}, '{pattern}', '{replacement}', 'g')"
@@ -253,7 +250,7 @@ def text_view(spark, sf_dir):
     "clean_text",
     rf"""WITH dirty AS (SELECT doc_id, replace(text, chr(0), '') AS t FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE nullif(trim(regexp_replace(
-  replace(t, '. ', '. '), '[{SPACES}]+', ' ', 'g'), ' '), '') END AS cleaned FROM dirty""",
+  replace(t, '. ', '. '), '[{sql.SPACES}]+', ' ', 'g'), ' '), '') END AS cleaned FROM dirty""",
 )
 def clean_text(spark, sf_dir):
     dirty = F.concat(
@@ -266,25 +263,36 @@ def clean_text(spark, sf_dir):
     return _documents(spark, sf_dir).select(i.alias("doc_id"), text.clean(kept).alias("cleaned"))
 
 
+Q_WORD = r"regexp_replace(hex(encode(t)), '(..)', '=\1', 'g') || '?='"
+
+
 @query(
     "header_decode",
     rf"""WITH w AS (SELECT doc_id, text AS t FROM documents)
 SELECT doc_id, CASE doc_id % 4
-  WHEN 0 THEN nullif(regexp_replace(t, '^[{SPACES}]+|[{SPACES}]+$', '', 'g'), '')
-  WHEN 1 THEN regexp_replace('Re: ' || t, '[{SPACES}]+$', '')
-  WHEN 2 THEN '=?bogus-charset?q?abc' || doc_id || '?='
-  ELSE 'Grüße ' || doc_id END AS decoded FROM w""",
+  WHEN 0 THEN nullif(regexp_replace(t, '^[{sql.SPACES}]+|[{sql.SPACES}]+$', '', 'g'), '')
+  WHEN 1 THEN regexp_replace('Re: ' || t, '[{sql.SPACES}]+$', '')
+  WHEN 2 THEN '=?bogus-charset?q?' || {Q_WORD}
+  ELSE 'Grüße ' || doc_id || t || t || ' .' END AS decoded FROM w""",
 )
 def header_decode(spark, sf_dir):
+    """Whole texts as encoded words of both kinds, of no known character set, and beside others."""
     i = F.col("i")
     whole = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))
-    word = F.concat(F.lit("=?utf-8?b?"), whole, F.lit("?="))
+    b_word = F.concat(F.lit("=?utf-8?b?"), whole, F.lit("?="))
+    quoted = F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "=$1")
+    q_word = F.concat(F.lit("=?UTF-8?Q?"), quoted, F.lit("?="))
     raw = (
-        F.when(i % 4 == 0, word)
-        .when(i % 4 == 1, F.concat(F.lit("Re: "), word))
-        .when(i % 4 == 2, F.format_string(" =?bogus-charset?q?abc%d?= ", i))
-        .otherwise(F.format_string("=?utf-8?q?Gr=C3=BC=C3=9Fe?= %d", i))
-    )
+        F.when(i % 4 == 0, b_word)
+        .when(i % 4 == 1, F.concat(F.lit("Re: "), b_word))
+        .when(i % 4 == 2, F.concat(F.lit(" =?bogus-charset?q?"), quoted, F.lit("?= ")))
+        .otherwise(
+            F.concat(
+                F.format_string("=?iso-8859-1?q?Gr=FC=DFe_%d?= ", i),
+                q_word, F.lit("\r\n "), b_word, F.lit("."),
+            )
+        )
+    )
     documents = _documents(spark, sf_dir)
     return documents.select(i.alias("doc_id"), headers.decode_words(raw).alias("decoded"))
 

@@ -10,7 +10,7 @@ from ..plans.ingest import IngestOptions
 from ..sources import corpus, maildir
 from ..streaming import ingest as streams
 from . import sql
-from .mail import DIRECTION, MAIL
+from .mail import DEEP, DIRECTION, MAIL
 from .registry import query
 
 # Of ten documents eight are stored already, one has changed, one is new.
@@ -88,7 +88,7 @@ def attachment_replace(spark, sf_dir):
 @query(
     "ingest_stats",
     f"""WITH {MAIL}, todo AS (SELECT * FROM m WHERE i % 10 >= {CHANGED}),
-parsed AS (SELECT * FROM todo WHERE i % 15 NOT IN (6, 11)),
+parsed AS (SELECT * FROM todo WHERE i % 15 NOT IN (6, 11) AND NOT {DEEP}),
 att AS (SELECT sha256 FROM attached WHERE i IN (SELECT i FROM parsed WHERE i % 15 <> 1)),
 stored AS (SELECT sha256(b) AS sha256 FROM m WHERE i % 10 <= {CHANGED}),
 fresh AS (SELECT DISTINCT sha256 FROM att WHERE sha256 NOT IN (SELECT sha256 FROM stored))
@@ -96,7 +96,7 @@ SELECT (SELECT count(*) FROM m) AS scanned, (SELECT count(*) FROM parsed) AS ind
   (SELECT count(*) FROM m WHERE i % 10 < {CHANGED}) AS skipped,
   (SELECT count(*) FROM att) AS attachments, (SELECT count(*) FROM fresh) AS new_blobs,
   (SELECT count(*) FROM att) - (SELECT count(*) FROM fresh) AS dup_blobs,
-  (SELECT count(*) FROM todo WHERE i % 15 IN (6, 11)) AS errors""",
+  (SELECT count(*) FROM todo WHERE i % 15 IN (6, 11) OR {DEEP}) AS errors""",
 )
 def ingest_stats(spark, sf_dir):
     scanned = corpus.broken_mail(spark, sf_dir)

@@ -16,10 +16,12 @@ MIN_SIZE = 12
 LONG_TAIL = """CASE WHEN i % 250 = 10
   THEN repeat(chr(13) || chr(10) || 'noch eine Zeile', 14000) ELSE '' END"""
 
+OWN_TEXT = f"'Grüße ' || i || chr(10) || chr(10) || text || {LONG_TAIL}"
+
 # Closed forms of what corpus.mail composes around each document.
 MAIL = f"""
-docs AS (SELECT doc_id AS i, CAST(substr(source, 4) AS BIGINT) AS n, encode(text) AS b
-  FROM documents),
+docs AS (SELECT doc_id AS i, CAST(substr(source, 4) AS BIGINT) AS n, encode(text) AS b,
+  text, regexp_extract(text, '[a-z]+') AS word FROM documents),
 mail AS (SELECT *, {sql.FOLDER_LIST}[n % 8 + 1] AS folder FROM docs),
 m AS (SELECT *, '/mail/' || CASE WHEN folder = 'INBOX' THEN '' ELSE folder || '/' END || 'cur/'
   || CASE WHEN i % 4 = 2 THEN 'd' || i || '.x' ELSE (1362000000 + i) || '.d' || i END
@@ -31,7 +33,7 @@ parts AS (
     NULL AS declared_name, NULL AS content_id,
     CASE i % 9 WHEN 1 THEN encode('<style>p{{}}</style><p>Hallo &amp; ' || i || '</p>')
       WHEN 2 THEN '\\x47\\x72\\xFC\\xDF\\x65\\x20'::BLOB || encode(CAST(i AS VARCHAR))
-      WHEN 3 THEN encode('note') ELSE encode('Grüße ' || i || {LONG_TAIL}) END AS c
+      WHEN 3 THEN encode('note') ELSE encode({OWN_TEXT}) END AS c
   FROM m
   UNION ALL
   SELECT i, maildir_path, '2', 'application/octet-stream',
@@ -62,9 +64,9 @@ PART_SQL = (
 )
 
 
-def _parsed(spark, sf_dir, parts=None, bodies=False) -> DataFrame:
+def _parsed(spark, sf_dir, parts=None, bodies=False, malformed=False) -> DataFrame:
     return mime.parse_messages(
-        corpus.mail(spark, sf_dir),
+        corpus.mail(spark, sf_dir, malformed),
         parts=parts,
         bodies=bodies,
         headers_only=not (parts or bodies),
@@ -118,17 +120,20 @@ def filename_fallback(spark, sf_dir):
 
 @query(
     "message_body",
-    f"""WITH {MAIL}, plain AS (SELECT *,
-  CASE WHEN i % 9 NOT IN (1, 3) THEN 'Grüße ' || i || {LONG_TAIL} END AS own,
+    rf"""WITH {MAIL}, plain AS (SELECT *, CASE WHEN i % 9 = 2 THEN 'Grüße ' || i
+    WHEN i % 9 NOT IN (1, 3) THEN {OWN_TEXT} END AS own,
   CASE WHEN i % 6 = 0 THEN 'inner text' END AS inner_text FROM m),
-whole AS (SELECT maildir_path, coalesce(own || chr(10) || chr(10) || inner_text, own, inner_text,
-  CASE WHEN i % 9 = 1 THEN 'Hallo & ' || i END, '[nothing to read in this message]') AS body
-  FROM plain)
+whole AS (SELECT maildir_path, coalesce(regexp_replace(coalesce(
+    own || chr(10) || chr(10) || inner_text, own, inner_text), '[{sql.SPACES}]+$', ''),
+  CASE WHEN i % 9 = 1 THEN 'Hallo & ' || i
+    WHEN i % 10 = 3 THEN '[this message''s text can''t be read: string index out of range]' END,
+  '[nothing to read in this message]') AS body FROM plain)
 SELECT maildir_path, sha256(body) AS body_sha256, length(body) AS chars,
   left(body, 200000) AS shown, length(body) > 200000 AS truncated FROM whole""",
 )
 def message_body(spark, sf_dir):
-    bodies = mime.body_rows(_parsed(spark, sf_dir, bodies=True))
+    """Some messages have a part beside their texts whose headers can't be read."""
+    bodies = mime.body_rows(_parsed(spark, sf_dir, bodies=True, malformed=True))
     shown, cut = text.cut_body(F.col("body"))
     return bodies.select(
         "maildir_path",
@@ -140,6 +145,7 @@ def message_body(spark, sf_dir):
 
 
 FROM_ADDR = """CASE WHEN i % 13 = 5 THEN NULL WHEN i % 5 = 0 THEN 'owner@mine.example'
+  WHEN i % 7 = 3 AND word <> '' THEN word || '@words.example'
   ELSE 'p' || (i % 11) || '@mail.example.com' END"""
 
 
@@ -153,6 +159,7 @@ def first_address(spark, sf_dir):
     "all_addresses",
     f"""WITH {MAIL} SELECT maildir_path, array_to_string(list_sort(list_filter([
   'x@else.example', CASE WHEN i % 3 = 0 THEN 'me@mine.example' END,
+  CASE WHEN i % 4 = 2 AND word <> '' THEN 'to.' || word || '@words.example' END,
   CASE WHEN i % 4 = 1 THEN 'c' || (i % 3) || '@cc.example' END,
   CASE WHEN i % 5 = 2 THEN 'box@mine.example' END], lambda x: x IS NOT NULL)), ' ') AS recipients
 FROM m""",
@@ -198,7 +205,7 @@ DATED = f"""SELECT maildir_path,
 @query(
     "direction_rederived",
     f"""WITH {MAIL} SELECT maildir_path, CASE WHEN i % 13 <> 5 AND i % 5 <> 0 AND i % 11 = 3
-    THEN 'out' WHEN i % 4 = 1 AND i % 3 = 2 THEN 'in'
+    AND NOT (i % 7 = 3 AND word <> '') THEN 'out' WHEN i % 4 = 1 AND i % 3 = 2 THEN 'in'
     WHEN folder IN ('.Gesendet', '.Sent Messages') THEN 'out'
     WHEN i % 13 <> 5 THEN 'in' ELSE 'unknown' END AS direction FROM m""",
 )
@@ -217,14 +224,18 @@ def date_ladder(spark, sf_dir):
     return messages.select("maildir_path", "date_raw", "date_parsed", "date_source")
 
 
+DEEP = "i % 125 = 63"
+
+
 @query(
     "parse_errors",
     f"""WITH {MAIL} SELECT maildir_path,
   CASE WHEN i % 15 = 11 THEN 'no bytes' END AS read_error,
-  CASE WHEN i % 15 = 1 THEN 'compat32 fallback: IndexError(''string index out of range'')' END
+  CASE WHEN {DEEP} THEN 'unparseable: RecursionError'
+    WHEN i % 15 = 1 THEN 'compat32 fallback: IndexError(''string index out of range'')' END
     AS parse_error,
   CASE WHEN i % 15 = 6 THEN 'IndexError(''list index out of range'')' END AS index_error,
-  CASE WHEN i % 15 NOT IN (6, 11) THEN CASE WHEN i % 15 = 1 THEN
+  CASE WHEN {DEEP} THEN 'unknown' WHEN i % 15 NOT IN (6, 11) THEN CASE WHEN i % 15 = 1 THEN
     CASE WHEN folder IN ('.Gesendet', '.Sent Messages') THEN 'out' ELSE 'in' END
     ELSE {DIRECTION} END END AS direction
 FROM m""",
@@ -234,5 +245,7 @@ def parse_errors(spark, sf_dir):
     # What a row that could be indexed says, and why the others could not.
     kept = ("read_error", "index_error")
     stored = mime.message_rows(parsed, corpus.OWNER).select("maildir_path", "direction")
-    notes = parsed.select("maildir_path", "parse_error", *kept)
+    # How deep is too deep the interpreter words in several ways.
+    note = F.regexp_replace("parse_error", r"RecursionError\(.*", "RecursionError")
+    notes = parsed.select("maildir_path", note.alias("parse_error"), *kept)
     return notes.join(stored, "maildir_path", "left")

@@ -9,6 +9,9 @@ FOLDER_LIST = (
 NOISE = "('.reports.dmarc', '.Junk', '.Spam', '.Trash', '.Deleted Messages')"
 FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 PAGE = 120
+SPACES = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 
 
 def fold(column: str) -> str:

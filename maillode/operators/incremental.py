@@ -55,7 +55,16 @@ def failure_rows(
         .filter(F.col("part.part_error").isNotNull())
         .select("maildir_path", "part.part_path", F.col("part.part_error").alias("problem"))
     )
-    rows = unseen_files.unionByName(messages).unionByName(parts)
+    texts = (
+        parsed.select("maildir_path", F.explode("texts").alias("piece"))
+        .filter(F.col("piece.text_error").isNotNull())
+        .select(
+            "maildir_path",
+            "piece.part_path",
+            F.concat(F.lit("text: "), F.col("piece.text_error")).alias("problem"),
+        )
+    )
+    rows = unseen_files.unionByName(messages).unionByName(parts).unionByName(texts)
     return rows if lost is None else rows.unionByName(lost.select(*rows.columns))
 
 

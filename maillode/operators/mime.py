@@ -47,7 +47,12 @@ PART = T.StructType(
     ]
 )
 BODY_PIECE = T.StructType(
-    [T.StructField("content_type", T.StringType()), T.StructField("text", T.StringType())]
+    [
+        T.StructField("part_path", T.StringType()),
+        T.StructField("content_type", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("text_error", T.StringType()),
+    ]
 )
 PARSED = T.StructType(
     [
@@ -192,43 +197,69 @@ def _described(leaf: Message, content: bytes | None) -> dict:
 
 
 def _readable(leaf: Message, content: bytes | None) -> dict | None:
-    """The text that a leaf adds to the body of its message."""
-    kind = leaf.get_content_type()
-    if content is None or kind not in BODY_TYPES or leaf.get_content_disposition() == "attachment":
-        return None
+    """The text that a leaf adds to the body of its message, or why it can't be told.
+
+    A leaf that isn't text adds none, whatever its other headers are like.
+    """
+    piece: dict = {}
     try:
-        shown = content.decode(leaf.get_content_charset() or "utf-8", "replace")
+        piece["content_type"] = kind = leaf.get_content_type()
+        if content is None or kind not in BODY_TYPES:
+            return None
+        if leaf.get_content_disposition() == "attachment":
+            return None
+        charset = leaf.get_content_charset() or "utf-8"
+    except Exception as exc:
+        return piece | {"text_error": str(exc)}
+    try:
+        shown = content.decode(charset, "replace")
     except (LookupError, ValueError):  # no such character set
         return None
-    return {"content_type": kind, "text": shown.encode("utf-8", "replace").decode("utf-8")}
+    return piece | {"text": shown.encode("utf-8", "replace").decode("utf-8")}
+
+
+def _part_record(address: str, leaf: Message, content: bytes | None, parts: str) -> dict:
+    """A leaf's description, or why there is none."""
+    record: dict = {"part_path": address}
+    try:
+        record["part_path"] = _storable(address)
+        record |= _described(leaf, content)
+        record["content"] = content if parts == "content" else None
+    except Exception as exc:
+        record["part_error"] = repr(exc)
+    return record
 
 
 def tree_record(message: Message, parts: str | None, bodies: bool) -> dict:
-    """Parts and body texts from one walk, in which every leaf is decoded once."""
-    described, texts, unreadable = [], [], None
+    """Parts and body texts from one walk, in which every leaf is decoded once.
+
+    What a part is and what it says fail independently, and no part's failure touches another's:
+    ``part_error`` and ``text_error`` stand with the part. There is a ``body_error`` only if a
+    text was lost and none was read.
+    """
+    described, texts = [], []
     walk = addressed_parts(message)
     while True:
-        record: dict = {"part_path": "?"}
         try:
             address, leaf = next(walk)
-            record["part_path"] = _storable(address)
-            content, record["decode_failed"] = leaf_content(leaf)
-            if parts:
-                record |= _described(leaf, content)
-                record["content"] = content if parts == "content" else None
-            if bodies and (text := _readable(leaf, content)):
-                texts.append(text)
         except StopIteration:
             break
-        except Exception as exc:
-            record["part_error"] = repr(exc)
-            unreadable = unreadable or exc
-        described.append(record)
+        except Exception as exc:  # the rest of the tree is out of reach
+            described.append({"part_path": "?", "part_error": repr(exc)})
+            texts.append({"part_path": "?", "text_error": str(exc)})
+            continue
+        content, undecoded = leaf_content(leaf)
+        if parts:
+            record = _part_record(address, leaf, content, parts)
+            described.append(record | {"decode_failed": undecoded})
+        if bodies and (piece := _readable(leaf, content)):
+            texts.append({"part_path": address} | piece)
     out: dict = {"parts": described} if parts else {}
-    if bodies and unreadable is None:
+    if bodies:
         out["texts"] = texts
-    elif bodies:
-        out["body_error"] = f"[this message's text can't be read: {unreadable}]"
+        lost = [piece["text_error"] for piece in texts if "text_error" in piece]
+        if lost and len(lost) == len(texts):
+            out["body_error"] = f"[this message's text can't be read: {lost[0]}]"
     return out
 
 
@@ -507,7 +538,11 @@ def occurrence_rows(parsed: DataFrame, me: Sequence[str], min_size: int = 1) ->
 
 
 def body_rows(parsed: DataFrame) -> DataFrame:
-    """(maildir_path, body) for every message that was opened, whole."""
-    body = F.coalesce("body_error", text.body_text(F.col("texts")))
-    opened = parsed.filter(F.col("texts").isNotNull() | F.col("body_error").isNotNull())
+    """(maildir_path, body) for every message that was opened, whole.
+
+    Of the texts, those that could be read; if there were some and none could, the reason.
+    """
+    read = F.filter("texts", lambda piece: piece["text"].isNotNull())
+    body = F.coalesce("body_error", text.body_text(read))
+    opened = parsed.filter(F.col("texts").isNotNull())
     return opened.select("maildir_path", body.alias("body"))

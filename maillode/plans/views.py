@@ -57,13 +57,16 @@ def message_heads(
 ) -> DataFrame:
     """The message of each attachment opened: head fields, body, and whether it was cut.
 
-    Bodies are stored whole; ``body_chars`` of them are shown.
+    Bodies are stored whole; ``body_chars`` of them are shown, and ``body_sha256`` and ``chars``
+    tell of the whole one (null if none is stored).
     """
     head = messages.select("maildir_path", *HEAD_COLUMNS)
     shown, cut = cut_body(F.coalesce("body", F.lit(GONE)), body_chars)
     with_body = (
         head.join(bodies.select("maildir_path", "body"), "maildir_path", "left")
         .withColumn("truncated", cut)
+        .withColumn("body_sha256", F.sha2("body", 256))
+        .withColumn("chars", F.length("body").cast("long"))
         .withColumn("body", shown)
     )
     return opened.select("maildir_path", "part_path").join(with_body, "maildir_path")

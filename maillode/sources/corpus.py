@@ -134,7 +134,10 @@ CRLF = "\r\n"
 
 def _mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
+    # The table may be few files with few row groups, and composing and parsing mail is dear: the
+    # documents are dealt out before, to partitions of a size that AQE chooses.
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    documents = documents.hint("rebalance")
     epoch = F.format_string("%d.d%d", i + 1362000000, i)
     name = F.when(i % 4 == 2, F.format_string("d%d.x", i)).otherwise(epoch)
     return _placed(documents, name)
@@ -145,10 +148,13 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mail_files(spark, sf_dir).select("maildir_path", F.encode("text", "UTF-8").alias("raw"))
 
 
-def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw message per document: (doc_id, maildir_path, folder, mtime, size, raw)."""
+def mail(spark: SparkSession, sf_dir: str, malformed: bool = False) -> DataFrame:
+    """One raw message per document: (doc_id, maildir_path, folder, mtime, size, raw).
+
+    With ``malformed`` some have one more part, whose headers can't be read.
+    """
     i = F.col("doc_id")
-    raw = F.encode(_message_text(i), "UTF-8")
+    raw = F.encode(_message_text(i, malformed), "UTF-8")
     return (
         _mail_files(spark, sf_dir)
         .select(
@@ -163,12 +169,19 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same messages with every fifth one damaged in one of three ways."""
+    """The same messages, every fifth damaged in one of three ways, some beyond any parser."""
     i = F.col("doc_id")
+    # Mail in mail, deeper than the library can follow.
+    deep = F.concat(
+        F.lit("From: a@b.example" + CRLF),
+        F.repeat(F.lit("Content-Type: message/rfc822" + CRLF + CRLF), 3000),
+        F.col("raw"),
+    )
     bad_type = F.format_string("From: a@b.example%nContent-Type: x;filename*%n%nx%d", i)
     bad_address = F.format_string('From: "%n%nx%d', i)
     raw = (
-        F.when(i % 15 == 1, F.encode(bad_type, "UTF-8"))
+        F.when(is_deep(i), F.encode(deep, "UTF-8"))
+        .when(i % 15 == 1, F.encode(bad_type, "UTF-8"))
         .when(i % 15 == 6, F.encode(bad_address, "UTF-8"))
         .when(i % 15 == 11, F.lit(None).cast("binary"))
         .otherwise(F.col("raw"))
@@ -184,7 +197,11 @@ def is_long(i: Column) -> Column:
     return i % 250 == 10
 
 
-def _message_text(i: Column) -> Column:
+def is_deep(i: Column) -> Column:
+    return i % 125 == 63
+
+
+def _message_text(i: Column, malformed: bool = False) -> Column:
     def line(text) -> Column:
         return F.concat(F.lit(text) if isinstance(text, str) else text, F.lit(CRLF))
 
@@ -194,10 +211,23 @@ def _message_text(i: Column) -> Column:
     def only(condition: Column, block: Column) -> Column:
         return F.when(condition, block).otherwise("")
 
-    sender = F.when(i % 5 == 0, "Owner <owner@Mine.example>").otherwise(
-        F.format_string("P <p%d@mail.example.com>", i % 11)
+    word = F.regexp_extract("text", "[a-z]+", 0)
+    # A line feed in a name is more than the library takes.
+    name = F.base64(F.encode(F.translate(F.substring("text", 1, 40), "\r\n", "  "), "UTF-8"))
+    sender = (
+        F.when(i % 5 == 0, "Owner <owner@Mine.example>")
+        .when((i % 7 == 3) & (word != ""), F.concat(word, F.lit("@Words.example")))
+        .otherwise(
+            F.concat(
+                F.lit("=?utf-8?b?"), name, F.format_string("?= <p%d@mail.example.com>", i % 11)
+            )
+        )
+    )
+    to = F.concat(
+        F.lit("x@else.example"),
+        only(i % 3 == 0, F.lit(", me@mine.example")),
+        only((i % 4 == 2) & (word != ""), F.concat(F.lit(", To."), word, F.lit("@words.example"))),
     )
-    to = F.when(i % 3 == 0, "x@else.example, me@mine.example").otherwise("x@else.example")
     day = i % 28 + 1
     date = (
         F.when(i % 8 == 0, F.format_string("%d Mar 2013 09:15:00 +0100", day))
@@ -244,11 +274,35 @@ def _message_text(i: Column) -> Column:
         .otherwise(
             lines(
                 "Content-Type: text/plain; charset=utf-8",
+                "Content-Transfer-Encoding: base64",
                 "",
-                F.concat(F.format_string("Grüße %d", i), only(is_long(i), F.lit(LONG_TAIL))),
+                F.base64(
+                    F.encode(
+                        F.concat(
+                            F.format_string("Grüße %d%n%n", i),
+                            "text",
+                            only(is_long(i), F.lit(LONG_TAIL)),
+                        ),
+                        "UTF-8",
+                    )
+                ),
             )
         )
     )
+    unreadable = F.lit("")
+    if malformed:
+        unreadable = F.when(
+            i % 10 == 7,
+            lines(
+                "--b0",
+                "Content-Type: application/x-odd",
+                "Content-Disposition: attachment; filename*",
+                "",
+                "odd",
+            ),
+        ).otherwise(
+            only(i % 10 == 3, lines("--b0", "Content-Disposition: inline; filename*", "", "lost"))
+        )
     named = F.format_string('Content-Disposition: attachment; filename="d%d.bin"', i)
     attached = F.concat(
         lines("Content-Type: Application/Octet-Stream", "Content-Transfer-Encoding: base64"),
@@ -291,6 +345,7 @@ def _message_text(i: Column) -> Column:
         attached,
         only(i % 6 == 0, forwarded),
         only(i % 6 == 1, forwarded_file),
+        unreadable,
         line("--b0--"),
     )
 
