@@ -28,7 +28,7 @@ from email.policy import EmailPolicy
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incremental
@@ -161,8 +161,22 @@ def _read_mail(
     return whole[0], whole[1]
 
 
-#: How many more occurrences of a lost digest are tried in each further round.
+#: Each round of looking for lost digests tries so many times the occurrences of the one before.
 MORE_TRIES = 8
+HOLDER = ["sha256", "maildir_path", "part_path"]
+
+
+def next_holders(holders: DataFrame, tried: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` occurrences of each digest that were not tried yet, or all that are left.
+
+    (sha256, maildir_path, part_path, size). The occurrences of a digest are dealt to ``most``
+    slots, and of each slot the least one is taken: minima are merged before they are shuffled,
+    so that a file which a third of all messages hold is no larger than any other.
+    """
+    slot = F.pmod(F.xxhash64("maildir_path", "part_path"), F.lit(most)).alias("slot")
+    least = F.min(F.struct("maildir_path", "part_path", "size")).alias("least")
+    left = holders.select(*HOLDER, "size").join(tried.select(*HOLDER), HOLDER, "left_anti")
+    return left.groupBy("sha256", slot).agg(least).select("sha256", "least.*")
 
 
 def _store_contents(
@@ -175,11 +189,13 @@ def _store_contents(
     """Write the bytes of new digests; returns the directories, and what was lost.
 
     Lost are the occurrences (sha256, maildir_path, part_path, problem) of digests of
-    which none could be read. Every round tries the next occurrences of what is missing,
-    and each one multiplies their number, so that rounds stay few.
+    which none could be read. Every round tries further occurrences of what is missing,
+    several times as many as the one before, so that rounds stay few.
     """
-    directories, tried, wanted, number = [], 0, fresh, 0
-    tries = 1
+    spark, staging = store.spark, f"{store.root}/staging/{run}"
+    directories, wanted, missing, number, most = [], fresh, fresh, 0, 1
+    tried_paths = [f"{staging}/wanted/round=0"]
+    wanted = _written(wanted.select(*HOLDER, "size"), tried_paths[0])
     while True:
         number += 1
         read = blob_contents(wanted, raws).filter(F.col("content").isNotNull())
@@ -187,25 +203,21 @@ def _store_contents(
             read = read.dropDuplicates(["sha256"])
         directory = store.write(read, "blob_content", f"{run}-{number}")
         written = store.read_from({"blob_content": [directory]}, "blob_content")
-        found = written.select("sha256")
         directories.append(directory)
-        missing = (fresh if number == 1 else missing).join(found, "sha256", "left_anti")
-        missing = _written(missing, f"{store.root}/staging/{run}/missing-{number}")
+        missing = missing.join(written.select("sha256"), "sha256", "left_anti")
+        missing = _written(missing, f"{staging}/missing-{number}")
         if missing.isEmpty():
             return directories, None
-        tried, tries = tried + tries, tries * MORE_TRIES
+        most *= MORE_TRIES
         holders = attachments.join(missing.select("sha256"), "sha256", "left_semi")
-        nth = F.row_number().over(
-            Window.partitionBy("sha256").orderBy("maildir_path", "part_path")
-        )
-        ranked = holders.select("sha256", "maildir_path", "part_path", "size", nth.alias("nth"))
-        wanted = ranked.filter(F.col("nth").between(tried + 1, tried + tries)).drop("nth")
-        wanted = _written(wanted, f"{store.root}/staging/{run}/wanted-{number + 1}")
+        tried = spark.read.schema(wanted.schema).parquet(*tried_paths)
+        tried_paths.append(f"{staging}/wanted/round={number}")
+        wanted = _written(next_holders(holders, tried, most), tried_paths[-1])
         if wanted.isEmpty():
             break
     problem = F.lit("the bytes of this part could not be read again").alias("problem")
-    lost = holders.select("sha256", "maildir_path", "part_path", problem)
-    return directories, _written(lost, f"{store.root}/staging/{run}/lost")
+    lost = holders.select(*HOLDER, problem)
+    return directories, _written(lost, f"{staging}/lost")
 
 
 def _replacing(

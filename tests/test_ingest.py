@@ -180,6 +180,48 @@ def test_content_of_a_renamed_message_comes_from_another(spark, mailbox, tmp_pat
     assert found == {SCORE, SOUND, PLAN, NOTE}
 
 
+def test_holders_are_tried_in_growing_rounds(spark, tmp_path):
+    """A third of all messages hold one digest, and a single one of them can still be read."""
+    holders = spark.range(100_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'd' || id END AS sha256",
+        "'/m/cur/' || id AS maildir_path", "'2' AS part_path", "5L AS size",
+    )
+    found = plan.next_holders(holders, holders.limit(0), 8)
+    steps = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in steps and "partial_min" in steps
+    one, tried, most, rounds = "/m/cur/77778", holders.limit(0), 1, 0
+    hot = holders.filter("sha256 = 'hot'").cache()
+    while True:
+        rounds += 1
+        step = plan.next_holders(hot, tried, most)
+        step.write.parquet(f"{tmp_path}/round={rounds}")
+        step = spark.read.parquet(f"{tmp_path}/round={rounds}")
+        assert 0 < step.count() <= most and step.join(tried, plan.HOLDER, "left_semi").isEmpty()
+        if step.filter(F.col("maildir_path") == one).count():
+            break
+        tried, most = spark.read.parquet(str(tmp_path)).drop("round"), most * plan.MORE_TRIES
+    assert rounds <= 8
+    hot.unpersist()
+    few = plan.next_holders(hot.limit(5), hot.limit(0), 10_000)
+    assert few.count() == 5 and few.columns == [*plan.HOLDER, "size"]
+
+
+def test_content_comes_from_the_last_holder_there_is(spark, tmp_path, monkeypatch):
+    box = tmp_path / "box"
+    for n in range(40):
+        deliver(box, f"m{n:02}", mail(f"Mail {n}", BASS, DIRECTOR, ((BINARY, SCORE, "s"),)))
+    read = plan.blob_contents
+
+    def only_one(blobs, raws=None):
+        return read(blobs.filter("maildir_path LIKE '%m33'"), raws)
+
+    monkeypatch.setattr(plan, "blob_contents", only_one)
+    stats = run(spark, box, tmp_path / "o")
+    assert (stats.indexed, stats.new_blobs, stats.errors) == (40, 1, 0)
+    contents = open_index(spark, str(tmp_path / "o")).read("blob_content")
+    assert [bytes(r.content) for r in contents.collect()] == [SCORE]
+
+
 def test_lost_content_is_reported_and_taken_in_later(spark, mailbox, tmp_path, monkeypatch):
     path = mailbox / "Tours.1998" / "new" / "t1"
     renamed_at(monkeypatch, 1, lambda: path.rename(path.with_name("t1:2,S")))
