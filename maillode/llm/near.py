@@ -7,10 +7,13 @@ has a bit for each sample in which they differ, and few of them for similar sets
 with equal sets are one class from there on.
 
 No pairs of a whole bucket are made. First every class is compared with the smallest id of
-each of its buckets, and the links found are joined to components. Then only classes that
-share a bucket but not a component are compared, in blocks, inside tasks: by their sketches,
-and where these look alike, on full sets. So a large group of copies costs about its size, and
-no link that a band shows is left out.
+each of its buckets, and the links found are joined to components. Where more than one component
+is left in a bucket, its members are compared in a few blocks, inside tasks. Those of larger
+buckets go through a prefix filter on their full sets first: in an order that puts shingles of a
+single component first, and rare ones before frequent ones, two sets that are similar enough
+share one of their first shingles. Most look-alikes that are no links have too many shingles of
+their own for that, and only what still shares a shingle is compared. No link that a band shows
+is left out.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,9 @@ SKETCH_BITS = 512
 MOST_BITS = 100
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 512
+#: Blocks of a bucket that are compared with each other, so that a member is in as many rows at
+#: most; larger buckets go through the prefix filter.
+MOST_BLOCKS = 8
 #: Bytes of text that are hashed at once, if a document isn't longer.
 HASH_BYTES = 1 << 18
 
@@ -164,19 +170,25 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id`` and ``shingles``, its packed sorted set, of the documents in ``ids``."""
+    """``doc_id``, ``set_id`` and ``shingles``, the packed sorted set, of the documents in ``ids``.
+
+    ``set_id``, a hash of the set, tells the texts of an id apart.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                packed = [one.tobytes() for one in shingle_sets(part["text"].to_pylist())]
+                found = list(shingle_sets(part["text"].to_pylist()))
+                hashes = [np.bitwise_xor.reduce(mixed(one)).view(np.int64) for one in found]
+                packed = [one.tobytes() for one in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(packed, pa.binary())], ["doc_id", "shingles"]
+                    [part["doc_id"], pa.array(hashes, pa.int64()), pa.array(packed, pa.binary())],
+                    ["doc_id", "set_id", "shingles"],
                 )
 
     texts = only_wanted(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id")
-    return stored(texts.mapInArrow(sets, "doc_id long, shingles binary"), "sets")
+    return stored(texts.mapInArrow(sets, "doc_id long, set_id long, shingles binary"), "sets")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -184,12 +196,12 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def confirmed(full: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the candidate pairs (``a``, ``b``), those whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(
-        pairs.select(F.col("b").alias("doc_id"))
-    )
-    full = full_sets(docs, ids)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,44 +235,108 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.filter(sizes & (_differing("_x", "_y") <= MOST_BITS)).select("a", "b").distinct()
 
 
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """A row for each shingle of (doc_id, component, set_id, shingles); ``n`` is the set's size."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                sets = [np.frombuffer(one.as_buffer(), np.uint64) for one in part["shingles"]]
+                sizes = np.array([len(one) for one in sets])
+                repeated = [
+                    pa.array(np.repeat(part[name].to_numpy(), sizes))
+                    for name in ("doc_id", "component", "set_id")
+                ]
+                keys = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*repeated, pa.array(np.repeat(sizes, sizes)), pa.array(keys)],
+                    ["doc_id", "component", "set_id", "n", "key"],
+                )
+
+    return sets.mapInArrow(rows, "doc_id long, component long, set_id long, n long, key long")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The keys that rows of more than one component have, and how many rows have them."""
+    groups = rows.groupBy("key").agg(
+        F.count("*").alias("holders"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    return groups.filter("low <> high").select("key", "holders")
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """(doc_id, component, key): the first shingles of each set, of those in several components.
+
+    Similar sets share PERCENT of the larger one's shingles at least, so in one order of all
+    shingles they share one of the first ``n`` minus that many, plus one. Shingles of a single
+    component stand at the front of the order and need no row, as no partner is found by them.
+    """
+    by_set = Window.partitionBy("doc_id", "set_id")
+    needed = F.ceil(F.col("n") * PERCENT / 100)
+    shared = rows.join(_open(rows), "key").withColumn(
+        "nth", F.row_number().over(by_set.orderBy("holders", "key"))
+    )
+    first = shared.withColumn("n_shared", F.count("*").over(by_set)).filter(
+        F.col("nth") <= F.col("n_shared") - needed + 1
+    )
+    return first.select("doc_id", "component", "key")
+
+
 def _across(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Links between components of classes that share a bucket; none with a bucket's first.
 
-    Buckets are compared in blocks, inside tasks. A first pass over the sketches tells which
-    members have a partner that looks alike; only these get their full sets, and the second
-    pass confirms. Of a block's links, as many are given as join its components.
+    Members of a bucket meet in few blocks, those of larger buckets by their first shingles. A first pass over the sketches tells which members have a partner that looks
+    alike; only these get their full sets, and the second pass confirms. Of a block's links, as
+    many are given as join its components.
     """
     known = found.select(F.col("node").alias("doc_id"), "component")
     placed = classes.join(known, "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id")
     )
-    members = placed.select("doc_id", "component", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("pivot"),
-        F.min("component").alias("low"), F.max("component").alias("high"),
-    )
-    open_ones = buckets.filter("n > 2 AND low <> high").select(
-        "key", "pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    members = placed.select("doc_id", "component", F.explode("bands").alias("key"))
+    pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
+    open_ones = _open(members).filter("holders > 2").join(pivots, "key")
+    # Buckets with the same smallest id mostly have the same members: they are one group.
+    grouped = members.join(open_ones.select("key", "pivot"), "key").filter("doc_id <> pivot")
+    grouped = stored(
+        grouped.select("doc_id", "component", F.col("pivot").alias("key")).distinct(), "grouped"
     )
-    inside = members.join(open_ones, "key").filter("doc_id <> pivot").drop("pivot")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = (
-        inside.withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = grouped.join(_open(grouped), "key")
+    large = inside.filter(F.col("holders") > BLOCK * MOST_BLOCKS)
+    several = large.select("doc_id", "component").distinct()
+    once = full_sets(docs, several).join(several, "doc_id").dropDuplicates(["doc_id", "set_id"])
+    prefixes = stored(_prefixes(_shingle_rows(once)), "prefixes")
+    dealt = _in_blocks(inside.filter(F.col("holders") <= BLOCK * MOST_BLOCKS)).unionByName(
+        _in_blocks(prefixes.join(_open(prefixes), "key"))
+    )
+    facts = classes.select("doc_id", "n_shingles", "odd")
+    alike = stored(_by_block(dealt.join(facts, "doc_id"), _alike_members, dealt.schema), "alike")
+    full = full_sets(docs, alike).drop("set_id")
+    rows = alike.join(facts, "doc_id").join(full, "doc_id")
+    return _by_block(rows, _block_links, T.StructType.fromDDL("a long, b long")).distinct()
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of a key with ``holders`` dealt to pairs of blocks, one pair where they are few."""
+    blocks = F.ceil(F.col("holders") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    return (
+        rows.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
-            "doc_id", "component", "band", "key", "own",
+            "doc_id", "component", "key", "own",
             F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         )
     )
-    facts = classes.select("doc_id", "n_shingles", "bands", "odd")
-    alike = stored(_by_block(dealt.join(facts, "doc_id"), _alike_members, dealt.schema), "alike")
-    full = full_sets(docs, alike)
-    rows = alike.join(facts, "doc_id").join(full, "doc_id")
-    return _by_block(rows, _block_links, T.StructType.fromDDL("a long, b long")).distinct()
+
+
+BLOCK_OF = ["key", "i", "j"]
 
 
 def _by_block(rows: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
-    """``work`` on all rows of each block pair (``key``, ``i``, ``j``), of bounded number."""
+    """``work`` on all rows of each block pair of a key, of bounded number."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -269,7 +345,7 @@ def _by_block(rows: DataFrame, work: Callable, schema: T.StructType) -> DataFram
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             if not len(frame):
                 continue
-            names = frame[["key", "i", "j"]].to_numpy()
+            names = frame[BLOCK_OF].to_numpy()
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
             edges = [0, *cuts.tolist()]
             for start, end in zip(edges, edges[1:], strict=False):
@@ -278,20 +354,18 @@ def _by_block(rows: DataFrame, work: Callable, schema: T.StructType) -> DataFram
         if held is not None:
             yield from work(held)
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rows.repartition(*BLOCK_OF).sortWithinPartitions(*BLOCK_OF)
     return dealt.mapInArrow(stage, schema)
 
 
 def _block_pairs(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """A row, and the rows of other components that look like it and have to be compared with
-    it here: of the bands that two share, the first one stands for the pair."""
-    i, j, band = (int(part[c].iloc[0]) for c in ("i", "j", "band"))
+    """A row, and the rows of other components that look like it."""
+    i, j = (int(part[c].iloc[0]) for c in ("i", "j"))
     ids, component = part["doc_id"].to_numpy(), part["component"].to_numpy()
     if component.min() == component.max():
         return
     sizes, own = part["n_shingles"].to_numpy(), part["own"].to_numpy()
     odd = np.stack(part["odd"].to_list()).view(np.uint64)
-    bands = np.stack(part["bands"].to_list())
     right = np.flatnonzero(own == j)
     for x in np.flatnonzero(own == i).tolist():
         near = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (i != j))]
@@ -300,7 +374,6 @@ def _block_pairs(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
         low, high = np.minimum(sizes[near], sizes[x]), np.maximum(sizes[near], sizes[x])
         near = near[100 * low >= PERCENT * high]
         near = near[np.bitwise_count(odd[near] ^ odd[x]).sum(axis=1) <= MOST_BITS]
-        near = near[~(bands[near, :band] == bands[x, :band]).any(axis=1)]
         if len(near):
             yield x, near
 
@@ -310,14 +383,15 @@ def _alike_members(part: pd.DataFrame) -> Iterator[pa.RecordBatch]:
     for x, near in _block_pairs(part):
         some[x] = some[near] = True
     if some.any():
-        names = ["doc_id", "component", "band", "key", "own", "i", "j"]
+        names = ["doc_id", "component", "key", "own", "i", "j"]
         yield pa.RecordBatch.from_pandas(part.loc[some, names], preserve_index=False)
 
 
 def _block_links(part: pd.DataFrame) -> Iterator[pa.RecordBatch]:
     ids, label = part["doc_id"].to_numpy(), part["component"].to_numpy().copy()
     sets = [np.frombuffer(one, np.uint64) for one in part["shingles"]]
-    a, b = [], []
+    a: list[int] = []
+    b: list[int] = []
     for x, near in _block_pairs(part):
         for y in near.tolist():
             if label[x] != label[y] and linked(sets[x], sets[y]):
@@ -335,7 +409,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are what stands between ASCII white space, after A-Z are lower-cased. A text of one
     to four words is one shingle; one without words has none and is linked with nothing. Rows
-    that repeat an id are one document and all have its result; a row without an id is linked
+    that repeat an id are one document, with the links of all its texts (and the least of their
+    sizes), and all have its result; a row without an id is linked
     with nothing, has a null ``component_id`` and is kept. Other columns are ignored.
     """
     sketches = stored(sketched(docs), "sketches")
@@ -346,14 +421,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     members = stored(members, "members")
     heads = members.filter("doc_id = class_id").select("doc_id").distinct()
-    classes = sketches.drop("set_a", "set_b").join(heads, "doc_id").dropDuplicates(["doc_id"])
+    # An id with several texts keeps all of them: its links are those of any of its texts.
+    classes = sketches.join(heads, "doc_id").dropDuplicates(["doc_id", *same]).drop(*same[:2])
     classes = stored(classes, "classes")
 
     exploded = classes.select("doc_id", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n"))
     stars = exploded.join(buckets.filter("n > 1").select("key", "a"), "key")
     stars = stars.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = stored(confirmed(docs, stored(_alike(stars, classes), "stars")), "confirmed")
+    pairs = stored(_alike(stars, classes), "stars")
+    links = confirmed(full_sets(docs, ends(pairs)), pairs).distinct()
+    least = members.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    same_id = members.select("doc_id", F.col("class_id").alias("b")).join(least, "doc_id")
+    same_id = same_id.filter("a <> b").select("a", "b").distinct()
+    links = stored(links.unionByName(same_id), "confirmed")
     found = components(links, "a", "b")
     more = stored(_across(docs, classes, found), "across")
     if not more.isEmpty():

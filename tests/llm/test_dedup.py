@@ -99,10 +99,11 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_families(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "most"), [(512, 8), (8, 8), (3, 1)])
+def test_near_families(spark, monkeypatch, block, most):
     """Families around the threshold, in which few members are linked with the first one."""
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "MOST_BLOCKS", most)
     random.seed(4)
     rows = []
     for family in range(6):
@@ -116,6 +117,61 @@ def test_near_families(spark, monkeypatch, block):
     check_near(near.near_duplicates(spark.createDataFrame(rows, cases.DOCS)), rows)
 
 
+def test_an_id_with_two_texts(spark):
+    """Its links are those of both, whichever row is met first."""
+    a, b, c = (cases.sentence(k, 40) for k in (1, 2, 3))
+    texts = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (7, c), (5, c), (5, a), (9, c + " x")]
+    for rows in (texts, texts[::-1], texts + texts):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = {(r["doc_id"], r["component_id"]) for r in near.near_duplicates(docs).collect()}
+        assert got == {(i, 1) for i in (1, 2, 3, 5, 7, 9)}
+
+
+def look_alikes(n, changed=10):
+    """``n`` texts that share most of their words with a base, and less with one another."""
+    base = cases.sentence(3, 150).split()
+    rows = []
+    for member in range(n):
+        own = list(base)
+        for k in range(changed):
+            own[(k * 15 + member % 7) % 150] = f"own{member}x{k}"
+        rows.append((member, " ".join(own), "en", "s", 0))
+    return rows
+
+
+def test_a_bucket_of_look_alikes_without_links(spark, monkeypatch):
+    """Three thousand texts of one bucket, none linked: they leave no rows to compare."""
+    monkeypatch.setattr(near, "MOST_BLOCKS", 2)
+    rows = look_alikes(3000)
+    frame = spark.createDataFrame(rows, cases.DOCS)
+    sets = list(near.shingle_sets([rows[0][1], rows[7][1], rows[1][1]]))
+    assert not near.linked(sets[0], sets[1]) and not near.linked(sets[0], sets[2])
+    full = near.full_sets(frame, frame.select("doc_id"))
+    prefixes = near._prefixes(near._shingle_rows(full.withColumn("component", F.col("doc_id"))))
+    assert prefixes.count() == 0
+    got = near.near_duplicates(frame.repartition(4)).collect()
+    assert len(got) == 3000 and all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_prefixes_lose_no_link(spark):
+    """Sets around the threshold: any two that are linked meet in a key."""
+    random.seed(8)
+    sets = []
+    for family in range(8):
+        base = list(range(family * 1000, family * 1000 + 40))
+        for _ in range(20):
+            own = random.sample(base, random.randint(26, 40))
+            sets.append(np.unique(np.array(own + random.sample(range(9000, 9030), 2), np.uint64)))
+    rows = [(i, i, 5, bytearray(one.tobytes())) for i, one in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "doc_id long, component long, set_id long, shingles binary")
+    met: dict[int, set[int]] = {}
+    for r in near._prefixes(near._shingle_rows(frame)).collect():
+        met.setdefault(r["key"], set()).add(r["doc_id"])
+    pairs = {(x, y) for held in met.values() for x in held for y in held}
+    true = [(x, y) for x in range(len(sets)) for y in range(x) if near.linked(sets[x], sets[y])]
+    assert len(true) > 100 and set(true) <= pairs
+
+
 def test_near_on_nothing(none):
     assert near.near_duplicates(none).collect() == []
 
