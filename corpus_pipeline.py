@@ -10,7 +10,6 @@ import pathlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
@@ -28,17 +27,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = languages.train(docs.filter(~held_out()))
     if not model.languages:
         return docs.filter(languages.lettered())
-    told = languages.predict(docs, model).filter(f"lang_pred <> '{languages.NONE}'")
+    # A learned label may be called as the mark of no language is; the size of the set tells.
+    told = languages.predict(docs, model).filter("n_langs > 0")
     return told.select(*docs.columns)
 
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row: a row of the document with the largest id."""
-    kept = exact.mark_copies(docs).filter("kept")
-    # Rows that repeat an id and its text are kept all; copies fold before they are shuffled.
-    repeated = kept.filter("group_size > 1").groupBy("doc_id", "text_sha256")
-    once = repeated.agg(F.max(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.filter("group_size = 1").select(*docs.columns).unionByName(once)
+    return exact.without_copies(docs)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only_wanted, stored
+from .shared import PREFIX_BITS, only_wanted, stored
 
 #: A merged block holds about so many fingerprints.
 BLOCK_FINGERPRINTS = 50_000
@@ -132,3 +132,32 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .withColumnRenamed("_sha", "text_sha256")
         .drop("_fp")
     )
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of equal texts one row: a row of the document with the largest id, with its columns.
+
+    Of rows that repeat this id and its text, the one that is last by its other columns stays.
+    What goes is decided on ids and digests. Only rows whose digest may be among those that go
+    are shuffled with their texts.
+    """
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    marks = mark_copies(docs.select(F.col(doc_id).alias("_id"), text), "_id", text)
+    times = marks.filter("group_size > 1").groupBy("_id", "text_sha256", "kept").agg(
+        F.count("*").alias("_times")
+    )
+    times = stored(times.filter("NOT kept OR _times > 1"), "copies")
+    keyed = docs.withColumn("_sha", digest)
+    mark = F.shiftrightunsigned(F.xxhash64("_sha"), 64 - PREFIX_BITS)
+    some = F.broadcast(
+        times.select(F.shiftrightunsigned(F.xxhash64("text_sha256"), 64 - PREFIX_BITS).alias("_mark"))
+        .distinct()
+    )
+    marked = keyed.withColumn("_mark", mark)
+    alone = marked.join(some, "_mark", "left_anti").select(*docs.columns)
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256"))
+    met = marked.join(some, "_mark", "left_semi").join(times, same, "left")
+    others = met.filter("_id IS NULL AND text_sha256 IS NULL").select(*docs.columns)
+    again = met.filter("kept AND _times > 1").groupBy("_sha")
+    once = again.agg(F.max(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return alone.unionByName(others).unionByName(once)

@@ -221,13 +221,17 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
         F.col("size").alias("_words"),
         "copies",
     )
-    mine = Window.partitionBy("doc_id").orderBy("_size", "source")
-    theirs = Window.partitionBy("_id").orderBy("_words", "_src")
+    # Rows without an id are spread by their sizes.
+    mine = Window.partitionBy("doc_id", "_size", "source").orderBy("doc_id")
+    theirs = Window.partitionBy("_id", "_words", "_src").orderBy("_id")
     left = sized.withColumn("_n", F.row_number().over(mine))
     right = taken.withColumn("_m", F.row_number().over(theirs))
     met = left.join(
         right.filter("copies > 0"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m")),
+        F.col("doc_id").eqNullSafe(F.col("_id"))
+        & (F.col("_size") == F.col("_words"))
+        & F.col("source").eqNullSafe(F.col("_src"))
+        & (F.col("_n") == F.col("_m")),
     )
     again = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return again.select(*docs.columns)

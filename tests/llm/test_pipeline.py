@@ -54,6 +54,12 @@ def test_texts_stay_when_no_language_was_learned(spark):
         assert sorted(r["text"] for r in got.collect()) == lettered
 
 
+def test_a_label_called_und_is_a_language(spark):
+    rows = [(i, f"some words of number {i}", "und" if i % 2 else "en", "s", 0) for i in range(80)]
+    docs = spark.createDataFrame([*rows, (80, "123 !!", "und", "s", 0)], cases.DOCS)
+    assert corpus_pipeline.known_language(spark, docs, "").count() == 80
+
+
 def test_runs_over_a_table(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 100 and rows.filter("offset + length > 2048").count() == 0
