@@ -12,9 +12,11 @@ last ones of a source are paired one by one. Every step keeps each document's ch
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,15 +144,15 @@ def round_words(
     return out
 
 
-def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
+def mix(sized: DataFrame, seed: int = 1, keep: Sequence[str] = (), **law) -> DataFrame:
     """Add ``source_size``, ``target``, ``copies`` and ``taken`` to rows with ``doc_id``,
-    ``source`` and ``size``; no other columns are kept.
+    ``source`` and ``size``; no other columns are kept but those named in ``keep``.
 
     A null source is a source. Rows may repeat: each counts. A source without words has a
     target of 0 and takes nothing. ``copies`` is 0, 1 or 2. The draw depends on the rows and
     ``seed`` alone, neither on partitions nor on retries.
     """
-    sized = stored(sized.select("doc_id", "source", "size"), "sized")
+    sized = stored(sized.select("doc_id", "source", "size", *keep), "sized")
     targets = stored(source_targets(sized, **law), "targets")
     most_rows = targets.agg(F.max("source_rows")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -175,8 +177,8 @@ def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
     def reducer(depth: int, last: bool):
         def reduce(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(
-                ["size", "doc_id", "mass"],
-                ascending=[False, True, True], kind="stable", ignore_index=True,
+                ["size", "doc_id", "mass", *keep],
+                ascending=[False, True, True, *[True] * len(keep)], kind="stable", ignore_index=True,
             )
             draw = np.random.default_rng([seed, zlib.crc32(key[0].encode()), int(key[1]), depth])
             fractions, words = part["mass"].to_numpy(), part["size"].to_numpy()
@@ -204,34 +206,43 @@ def mix(sized: DataFrame, seed: int = 1, **law) -> DataFrame:
     copies = (F.col("_whole") + F.col("mass")).cast("long")
     return rows.select(
         "doc_id", "source", "size", "source_size", "target",
-        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep,
     )
 
 
+PLACE = ["_file", "_place"]
+
+
+def _with_places(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_file`` and ``_place``, which tell its rows apart on every read.
+
+    Of a table these are a row's file and its number in there. Rows that don't come straight from
+    files, or several of them from one place, are written to some first.
+    """
+
+    def placed(rows: DataFrame) -> DataFrame:
+        file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        return rows.select("*", file.alias("_file"), place.alias("_place"))
+
+    docs = docs.drop(*PLACE)
+    try:
+        found = placed(docs)
+        if found.groupBy(*PLACE).count().filter("count > 1").isEmpty():
+            return found
+    except AnalysisException:
+        pass  # these rows have no files
+    return placed(stored(docs, "placed"))
+
+
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Rows with the same id are told apart by their size and source.
+    Rows are told apart by where they stand, so ids may be null or repeat. The texts are shuffled
+    once, to meet their rows' number of copies.
     """
-    sized = docs.withColumn("_size", size_in_words())
-    taken = mix(sized.select("doc_id", "source", F.col("_size").alias("size")), seed)
-    taken = taken.select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_src"),
-        F.col("size").alias("_words"),
-        "copies",
-    )
-    # Rows without an id are spread by their sizes.
-    mine = Window.partitionBy("doc_id", "_size", "source").orderBy("doc_id")
-    theirs = Window.partitionBy("_id", "_words", "_src").orderBy("_id")
-    left = sized.withColumn("_n", F.row_number().over(mine))
-    right = taken.withColumn("_m", F.row_number().over(theirs))
-    met = left.join(
-        right.filter("copies > 0"),
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.col("_size") == F.col("_words"))
-        & F.col("source").eqNullSafe(F.col("_src"))
-        & (F.col("_n") == F.col("_m")),
-    )
-    again = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    placed = _with_places(docs)
+    sized = placed.select("doc_id", "source", size_in_words().alias("size"), *PLACE)
+    taken = mix(sized, seed, keep=PLACE).filter("copies > 0").select(*PLACE, "copies")
+    met = placed.join(taken.withColumnRenamed("copies", "_copies"), PLACE)
+    again = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return again.select(*docs.columns)

@@ -297,3 +297,22 @@ def test_held_out_rule(docs):
 
     for row in docs.filter("doc_id IS NOT NULL").select("doc_id", held_out().alias("h")).collect():
         assert row["h"] == (zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0)
+
+
+def test_mixed_documents_by_place(spark, tmp_path):
+    """Rows without ids, repeated rows and rows from one place keep the words that mix() takes."""
+    rows = [(None if i % 3 else i, f"w{i % 2} " * (i % 4 + 1), "en", f"s{i % 3}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, cases.DOCS).withColumn("copies", F.lit(7))
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    twice = read.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).drop("k")
+    for table, n in ((docs, 1), (read, 1), (twice, 2)):
+        got = mixing.mixed_documents(table)
+        assert got.columns == docs.columns
+        words = F.sum(mixing.size_in_words())
+        total = table.agg(words).first()[0]
+        assert abs(got.agg(words).first()[0] - 1.5 * total) <= 0.1 * total
+        most = got.groupBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text", "source")]).count()
+        assert most.filter(f"`coalesce(CAST(doc_id AS STRING), )` <> '' AND count > {2 * n}").isEmpty()
+        again = sorted(map(str, mixing.mixed_documents(read).collect()))
+        assert again == sorted(map(str, mixing.mixed_documents(read).collect()))
