@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import browse as b
-from ..operators import dedup
+from ..operators import dedup, search
 from ..operators.browse import BrowseParams
 from ..sources import corpus
 from . import sql
@@ -43,6 +43,24 @@ def filter_search(spark, sf_dir):
     return _filtered(spark, sf_dir, BrowseParams(q="OC_1_.t"))
 
 
+RARE = " OR ".join(
+    f"{sql.fold(c)} LIKE '%eron_th %the%'" for c in ("filename", "subject", "from_raw", "to_raw")
+)
+
+
+@query("filter_search_indexed", _rows(f"({RARE}) AND {QUIET}"))
+def filter_search_indexed(spark, sf_dir):
+    """The occurrences are stored in several files, with a bitmap of trigrams for each."""
+    base = corpus.scratch(spark, "search")
+    view = corpus.occurrences(spark, sf_dir)
+    view.repartitionByRange(8, "subject").write.parquet(f"{base}/occurrences")
+    stored = spark.read.schema(view.schema).parquet(f"{base}/occurrences")
+    search.update_bitmaps(stored, f"{base}/bitmaps")
+    bitmaps = spark.read.parquet(f"{base}/bitmaps")
+    found = search.search(stored, stored, bitmaps, BrowseParams(q="ERON_th %the"))
+    return found.select(*KEYS)
+
+
 @query("filter_direction", _rows(f"direction = 'unknown' AND {QUIET}"))
 def filter_direction(spark, sf_dir):
     return _filtered(spark, sf_dir, BrowseParams(direction="unknown"))
