@@ -243,6 +243,9 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     placed = _with_places(docs)
     sized = placed.select("doc_id", "source", size_in_words().alias("size"), *PLACE)
     taken = mix(sized, seed, keep=PLACE).filter("copies > 0").select(*PLACE, "copies")
-    met = placed.join(taken.withColumnRenamed("copies", "_copies"), PLACE)
+    # File names shrink so well in a shuffle that Spark would take this side for a small one and
+    # broadcast sixty times what it has seen.
+    taken = taken.withColumnRenamed("copies", "_copies").hint("merge")
+    met = placed.join(taken, PLACE)
     again = met.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return again.select(*docs.columns)
