@@ -204,6 +204,8 @@ class TokenFiles(DataSource):
         vocabulary = self.options["vocabulary"]
         width = 2 if len(encoder(vocabulary).width) <= 1 << 16 else 4
         files, folder = _place(self.options["path"])
+        if files.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
+            raise FileExistsError(f"{self.options['path']} isn't empty")
         files.create_dir(folder, recursive=True)
         return _Writer(self.options["path"], vocabulary, width)
 
@@ -213,7 +215,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str) -> None:
 
     A null or empty text has the end id alone. Rows that repeat an id are documents of their
     own, side by side. Other columns are ignored. An empty table gives a manifest without
-    files. Fails if ``path`` isn't empty.
+    files. Fails before any task starts if ``path`` isn't empty.
     """
     docs.sparkSession.dataSource.register(TokenFiles)
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")

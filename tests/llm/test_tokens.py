@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
@@ -58,6 +59,9 @@ def test_token_files_round_trip(spark, docs, plain):
         start += len(expected)
     order = [r["doc_id"] for r in sorted(read, key=lambda r: r["start"])]
     assert order == [r[0] for r in rows]
+    with pytest.raises(AnalysisException, match="isn't empty"):
+        token_files.write_token_files(docs.limit(2), path, BPE)
+    assert token_files.read_token_files(spark, path).count() == len(rows)
 
 
 def test_token_files_of_nothing(spark, none):
