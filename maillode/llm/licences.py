@@ -12,8 +12,10 @@ are recognised where they end.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,41 +35,70 @@ WORDINGS = {
         " without restriction including without limitation the rights to use copy modify merge"
         " publish distribute sublicense and or sell copies of the software",
         "released under the mit license",
+        "spdx license identifier mit",
+    ],
+    "mit-0": ["spdx license identifier mit 0"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or"
+        " without fee is hereby granted provided that the above copyright notice and this"
+        " permission notice appear in all copies",
+        "spdx license identifier isc",
     ],
     "apache-2": [
         "licensed under the apache license version 2 0 the license you may not use this file"
         " except in compliance with the license you may obtain a copy of the license at",
         "licensed under the apache license version 2 0",
+        "spdx license identifier apache 2 0",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are"
         " permitted provided that the following conditions are met redistributions of source"
         " code must retain the above copyright notice this list of conditions and the following"
-        " disclaimer"
+        " disclaimer",
+        "spdx license identifier bsd 2 clause",
+        "spdx license identifier bsd 3 clause",
     ],
     "gpl-3": [
         "this program is free software you can redistribute it and or modify it under the terms"
         " of the gnu general public license as published by the free software foundation either"
         " version 3 of the license or at your option any later version",
         "licensed under the gnu general public license version 3",
+        "gnu general public license version 3 29 june 2007 copyright c 2007 free software"
+        " foundation",
+        "spdx license identifier gpl 3 0",
     ],
     "mpl-2": [
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a"
-        " copy of the mpl was not distributed with this file you can obtain one at"
+        " copy of the mpl was not distributed with this file you can obtain one at",
+        "mozilla public license version 2 0",
+        "spdx license identifier mpl 2 0",
     ],
     "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial"],
+    "cc-by-nc-nd": ["creative commons attribution noncommercial noderivatives"],
+    "cc-by-nc-sa": ["creative commons attribution noncommercial sharealike"],
+    "cc-by-nd": ["licensed under cc by nd 4 0", "creative commons attribution noderivatives"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike"],
     "all-rights-reserved": ["all rights reserved"],
 }
 #: What tells a licence from others with nearly its wordings: its name and version. A chain has
 #: to hold each of these that the wording has, every one in a single match.
 DISTINGUISHING = {
-    "mit": ["deal in the software"],  # the NCSA licence: deal with
-    "apache-2": ["apache license version 2"],
-    "gpl-3": ["gnu general public license", "version 3"],
-    "mpl-2": ["mozilla public license v 2"],
-    "cc-by-nc": ["by nc"],
-    "cc-by-sa": ["by sa"],
+    "mit": ["deal in the software", "mit license", "identifier mit"],  # NCSA: deal with
+    "mit-0": ["identifier mit 0"],
+    "isc": ["identifier isc"],
+    "apache-2": ["apache license version 2", "identifier apache 2"],
+    "bsd": ["identifier bsd 2 clause", "identifier bsd 3 clause"],
+    "gpl-3": ["gnu general public license", "version 3", "identifier gpl 3"],
+    "mpl-2": [
+        "mozilla public license v 2",
+        "mozilla public license version 2",
+        "identifier mpl 2",
+    ],
+    "cc-by-nc": ["by nc", "attribution noncommercial"],
+    "cc-by-nc-nd": ["noncommercial noderivatives"],
+    "cc-by-nc-sa": ["noncommercial sharealike"],
+    "cc-by-nd": ["by nd", "attribution noderivatives"],
+    "cc-by-sa": ["by sa", "attribution sharealike"],
 }
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A match has so many words at least, or all of a shorter wording or of a distinguishing part.
@@ -76,6 +107,8 @@ LEAST_MATCH = 4
 MOST_GAP = 12
 #: The part of a wording that a chain has to cover.
 LEAST_COVER = 0.75
+#: Label, words of the wording covered, part of it, first and last word in the text.
+Span = tuple[str, int, float, int, int]
 
 
 class Automaton:
@@ -200,8 +233,12 @@ class Automaton:
         return phrases, matches
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int]]:
-        """The best chain of each wording, of those with all its distinguishing parts: label,
-        part of the wording covered, first and last word in the text."""
+        """Label, part of the wording covered, first and last word in the text, of the chains
+        that no stronger one overlaps."""
+        return [(label, *rest) for label, _, *rest in strongest(self.chained(matches))]
+
+    def chained(self, matches: list[tuple[int, int, int]]) -> list[Span]:
+        """The chains that cover enough of a wording, with all its distinguishing parts."""
         by_wording = defaultdict(list)
         for state, end, length in matches:
             for number, place in self.places[state]:
@@ -215,7 +252,7 @@ class Automaton:
             parts = self.parts[number]
             # Distinguishing parts held (bits), words covered, first word in the text.
             chains: list[tuple[int, int, int]] = []
-            best, recent = (0, 0, 0, 0), 0
+            recent = 0
             for i, (end, place, length) in enumerate(own):
                 inside = sum(
                     1 << k for k, (a, b) in enumerate(parts) if place - length <= a and b <= place
@@ -231,12 +268,32 @@ class Automaton:
                         if (both.bit_count(), more) > (held.bit_count(), covered):
                             held, covered, first = both, more, chains[j][2]
                 chains.append((held, covered, first))
-                best = max(best, (held.bit_count(), covered, first, end))
-            if best[0] == len(parts):
-                found.append((label, min(1.0, best[1] / len(words)), best[2], best[3]))
+                part = min(1.0, covered / len(words))
+                if held.bit_count() == len(parts) and part >= LEAST_COVER:
+                    found.append((label, min(covered, len(words)), part, first, end))
         return found
 
 
+def strongest(spans: list[Span]) -> list[Span]:
+    """The spans that don't overlap one with more words covered."""
+    kept: list[Span] = []
+    taken: list[tuple[int, int]] = []  # stretches of the text, in order and apart
+    for _, level in groupby(sorted(spans, key=lambda span: -span[1]), key=lambda span: span[1]):
+        free = []
+        for span in level:
+            at = bisect_right(taken, span[4], key=lambda stretch: stretch[0])
+            if not at or taken[at - 1][1] < span[3]:
+                free.append(span)
+        kept += free
+        merged: list[tuple[int, int]] = []
+        for first, last in sorted(taken + [span[3:] for span in free]):
+            if merged and first <= merged[-1][1]:
+                first, last = merged[-1][0], max(last, merged.pop()[1])
+            merged.append((first, last))
+        taken = merged
+    return kept
+
+
 LEAST_SHORT = min(LEAST_MATCH, *(len(t.split()) for texts in WORDINGS.values() for t in texts))
 RESULT = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string,"
@@ -247,7 +304,7 @@ RESULT = (
 def scan_text(automaton: Automaton, text: str | None) -> tuple:
     words = WORDS.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
     phrases, matches = automaton.scan(words)
-    spans = [s for s in automaton.spans(matches) if s[1] >= LEAST_COVER] if matches else []
+    spans = automaton.spans(matches) if matches else []
     starts = [p[0] for p in phrases]
     base = {p[2] for p in phrases}
     return (

@@ -201,6 +201,19 @@ MIT = licences.WORDINGS["mit"][0]
         (GNU.format("program", "", "2") + " Or: " + GNU.format("code", "", "3"), "gpl-3"),
         ("Licensed under the Apache License, Version 2.0", "apache-2"),
         (MIT, "mit"),
+        ("released under the MIT-derived Acme Proprietary Terms", ""),
+        ("released under the MIT Press editorial policy", ""),
+        ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives", "cc-by-nc-nd"),
+        ("Creative Commons Attribution-ShareAlike", "cc-by-sa"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("SPDX-License-Identifier: MIT-0", "mit-0"),
+        ("SPDX-License-Identifier: LGPL-3.0-only", ""),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+        ("SPDX-License-Identifier: BSD-4-Clause", ""),
+        ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ""),
+        ("Mozilla Public License, version 1.1", ""),
         *((t, label) for label, texts in licences.WORDINGS.items() for t in texts),
     ],
 )
@@ -211,6 +224,23 @@ def test_licences_and_their_near_misses(text, label):
     assert (got[6] > 0) == bool(label)
 
 
+def test_spans_compete_where_they_overlap():
+    longer = "creative commons attribution noncommercial sharealike"
+    shorter = "creative commons attribution noncommercial"
+    known = licences.WORDINGS, licences.PHRASES, licences.DISTINGUISHING
+    for text in (f"{longer} file {shorter}", f"{shorter} file {longer}"):
+        got = licences.scan_text(licences.Automaton(*known), text)
+        assert got[5] == "cc-by-nc,cc-by-nc-sa"
+    draw = np.random.default_rng(8)
+    for _ in range(200):
+        spans = [("x", int(draw.integers(1, 5)), 1.0, a := int(draw.integers(40)), a + int(draw.integers(9))) for _ in range(12)]
+        plain: list = []
+        for span in sorted(spans, key=lambda s: -s[1]):
+            if all(k[1] == span[1] or k[4] < span[3] or k[3] > span[4] for k in plain):
+                plain.append(span)
+        assert sorted(licences.strongest(spans)) == sorted(plain)
+
+
 def test_distinguishing_words_are_used(spark):
     texts = [GNU.format("program", "", "2"), GNU.format("program", "", "3")]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
