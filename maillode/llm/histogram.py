@@ -9,6 +9,7 @@ are near enough, the rows are exchanged once.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,35 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[
     ]
 
 
+def whole_groups(
+    keys: DataFrame, points: list[tuple[int, int, int]], wanted: list[int], most: int
+) -> list[tuple[int, int, int]]:
+    """These boundaries, each put on the nearer side of the group that it would cut.
+
+    Groups of more than ``most`` bytes stay cut. One more count tells where the groups begin
+    and end; a boundary moves within its own group, so the boundaries stay in order.
+    """
+    groups = sorted({key >> 64 for key, _, _ in points if key < _HIGH})
+    probes = sorted({edge << 64 for group in groups for edge in (group, group + 1)})
+    probes = [probe for probe in probes if probe <= _HIGH]
+    if not probes:
+        return points
+    counts = _counted(keys, [_LOW, *probes])
+    rows = size = 0
+    at: dict[int, tuple[int, int, int]] = {}
+    for i, probe in enumerate(probes):
+        if gone := counts.get(i):
+            rows, size = rows + gone["rows"], size + gone["bytes"]
+        at[probe] = (probe, rows, size)
+    out = []
+    for point, want in zip(points, wanted, strict=True):
+        start, end = (at.get(edge << 64) for edge in (point[0] >> 64, (point[0] >> 64) + 1))
+        if start and end and start[1] < point[1] < end[1] and end[2] - start[2] <= most:
+            point = min(start, end, key=lambda side: abs(side[2] - want))
+        out.append(point)
+    return out
+
+
 def shard(
     frame: DataFrame,
     group: str,
@@ -161,10 +191,13 @@ def shard(
 ) -> DataFrame:
     """Add ``shard`` (0 to ``shards`` - 1, near equal in bytes) and ``slot`` (0, 1, ... in it).
 
-    Rows of one ``group`` (a long) stay in one shard, unless a boundary can't be met without
-    cutting the group, as when it is larger than a shard: then its ids are cut. A null group
-    or id counts as the smallest one. Rows that agree in group and id can't be cut apart.
-    Shards at the end are empty when there are fewer rows than shards.
+    Rows of one ``group`` (a long) stay in one shard; only a group of more bytes than a shard
+    has is cut, by id. Shards may therefore differ by the size of the groups at their boundaries.
+    A null group or id counts as the smallest one. Rows that agree in group and id can't be cut
+    apart. Shards are empty when there are fewer groups than shards.
+
+    A shard is sorted in ranges of ``range_bytes``, of which there are ``MOST_RANGES`` at most;
+    that decides about the size of tasks alone.
     """
     smallest = F.lit(-_HALF)
     keyed = frame.drop("shard", "slot").withColumns(
@@ -178,10 +211,15 @@ def shard(
     total = keys.agg(F.sum("_size")).first()[0] or 0
     ranges = max(1, min(-(-total // (shards * range_bytes)), MOST_RANGES // shards))
     # Only the boundaries of shards need the tolerance; they are every so many of the ranges.
-    found = find_splitters(keys, shards * ranges, tolerance * (ranges if ranges > 1 else 1))
-    edges = [(_LOW, 0, 0), *found]
+    found = find_splitters(keys, shards * ranges, tolerance * ranges)
+    wanted = [total * j // shards for j in range(1, shards)]
+    between = whole_groups(keys, found[ranges - 1 :: ranges], wanted, total // shards)
+    edges = [(_LOW, 0, 0), *sorted({*found, *between})]
     splitters = [edge[0] for edge in edges[1:]]
-    base = [edge[1] - edges[i - i % ranges][1] for i, edge in enumerate(edges)]
+    # A range belongs to the last shard that begins where the range does, or before.
+    begins = [0, *(point[1] for point in between)]
+    owner = [bisect_right([point[0] for point in between], edge[0]) for edge in edges]
+    base = [edge[1] - begins[own] for edge, own in zip(edges, owner, strict=True)]
 
     @F.pandas_udf("int")
     def range_of(first, second):
@@ -200,7 +238,7 @@ def shard(
     offset = F.element_at(F.array(*map(F.lit, base)), F.col("_range") + 1)
     return (
         placed.withColumn("_number", F.row_number().over(within) - 1)
-        .withColumn("shard", F.expr(f"cast(_range div {ranges} as int)"))
+        .withColumn("shard", F.element_at(F.array(*map(F.lit, owner)), F.col("_range") + 1))
         .withColumn("slot", (F.col("_number") + offset).cast("long"))
         .drop("_first", "_second", "_size", "_range", "_number")
     )

@@ -300,11 +300,35 @@ def test_shards(spark, range_bytes):
     got = sharded(spark.createDataFrame(rows, cases.DOCS).repartition(4), 6, range_bytes=range_bytes)
     assert sorted(got["doc_id"]) == [r[0] for r in rows]
     size = got.groupby("shard")["size"].sum()
-    assert len(size) == 6 and size.max() - size.min() <= 2 * got["size"].max() + 0.01 * size.mean()
+    groups = got.groupby("text")["size"].sum()
+    shard = got["size"].sum() // 6
+    most = groups[groups <= shard].max()  # boundaries move by half of such a group
+    assert len(size) == 6 and size.max() - size.min() <= 2 * most + 0.01 * size.mean()
     for _, own in got.groupby("shard"):
         assert sorted(own["slot"]) == list(range(len(own)))
-    cut = got.groupby("text", dropna=False)["shard"].nunique()
-    assert (cut > 1).sum() <= 6
+    cut = got.groupby("text")["shard"].nunique()
+    assert set(cut[cut > 1].index) == set(groups[groups > shard].index) == {"hot" * 20}
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 30, 300])
+@pytest.mark.parametrize("seed", range(3))
+def test_boundaries_are_the_nearest_ones_between_groups(spark, seed, range_bytes):
+    """Against a plain walk over the sorted groups; none of them is larger than a shard."""
+    draw = np.random.default_rng(seed)
+    rows = [(i, int(draw.integers(40)) - 20, int(draw.integers(8, 60))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, h long, size long").repartition(3)
+    got = histogram.shard(frame, "h", "doc_id", "size", 5, 0, range_bytes).toPandas()
+    total = sum(r[2] for r in rows)
+    ends = [sum(r[2] for r in rows if r[1] < h) for h in range(-21, 22)]
+    below = got.groupby("shard")["size"].sum().reindex(range(5), fill_value=0).cumsum()
+    for j in range(1, 5):
+        want = total * j // 5
+        assert abs(below[j - 1] - want) == min(abs(end - want) for end in ends)
+    assert (got.groupby("h")["shard"].nunique() == 1).all()
+    ordered = got.sort_values(["h", "doc_id"])
+    assert ordered["shard"].is_monotonic_increasing
+    for _, own in ordered.groupby("shard"):
+        assert own["slot"].tolist() == list(range(len(own)))
 
 
 def test_shards_of_odd_rows(docs, none):
