@@ -232,11 +232,13 @@ def count_on_page(page: DataFrame, attachments: DataFrame) -> DataFrame:
     """Add ``copies`` to the rows of a page, which stands once in the plan.
 
     The page's rows are gathered by digest, at most a page of them, and met by all
-    occurrences once; what is left after counting is unfolded again.
+    occurrences, or by the kept differences, once; what is left after counting is unfolded again.
     """
     files = page.groupBy("sha256").agg(F.collect_list(F.struct(*page.columns)).alias("rows"))
-    occurrences = attachments.select("sha256").join(F.broadcast(files), "sha256")
-    counted = occurrences.groupBy("sha256", "rows").agg(F.count("*").alias("copies"))
+    kept = "copies" in attachments.columns  # differences, of which there are few for a page
+    one = F.col("copies") if kept else F.lit(1).cast("long").alias("copies")
+    occurrences = attachments.select("sha256", one).join(F.broadcast(files), "sha256")
+    counted = occurrences.groupBy("sha256", "rows").agg(F.sum("copies").alias("copies"))
     return counted.select("copies", F.inline("rows"))
 
 

@@ -45,7 +45,14 @@ def representatives(rows: DataFrame, *facts: str) -> DataFrame:
 
 
 def digest_counts(attachments: DataFrame) -> DataFrame:
-    """(sha256, copies) over all occurrences."""
+    """(sha256, copies) over all occurrences.
+
+    Here and wherever all occurrences are given for their copies to be counted, the kept
+    differences (sha256, copies) of :mod:`.counts` may be given in their place.
+    """
+    if "copies" in attachments.columns:
+        summed = attachments.groupBy("sha256").agg(F.sum("copies").alias("copies"))
+        return summed.filter(F.col("copies") > 0)
     return attachments.groupBy("sha256").agg(F.count("*").alias("copies"))
 
 

@@ -31,7 +31,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental
+from ..operators import counts, incremental
 from ..operators.dedup import blob_rows
 from ..operators.mime import (
     addressed_parts,
@@ -118,17 +118,22 @@ def ingest_files(
         "failures": failures.withColumn("run", F.lit(run)),
     }
     if not todo.isEmpty():
+        occurrences = occurrence_rows(whole, options.me, options.min_size)
         messages = {
             "messages": message_rows(whole, options.me),
             "attachments": kept,
             "bodies": body_rows(whole),
-            "occurrences": browsable(occurrence_rows(whole, options.me, options.min_size)),
+            "occurrences": browsable(occurrences),
         }
+        came = messages | {"occurrences": occurrences, "blobs": fresh}
+        went: dict[str, DataFrame] = {}
         if known.join(messages["messages"], "maildir_path", "left_semi").isEmpty():
             tables |= messages
         else:
-            tables |= _replacing(store, following, known, messages)
+            whole_buckets, went = _replacing(store, following, known, messages)
+            tables |= whole_buckets
         tables["blobs"] = fresh
+        tables |= _differences(store, current, came, went)
     for name, directory in _write_all(store, run, tables).items():
         following.setdefault(name, []).append(directory)
     store.commit(following, version + 1)
@@ -225,8 +230,8 @@ def _replacing(
     following: dict[str, list[Directory]],
     known: DataFrame,
     tables: dict[str, DataFrame],
-) -> dict[str, DataFrame]:
-    """Tables in which messages read again take the place of their old rows.
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Tables in which messages read again take the place of their old rows, and these.
 
     Only the buckets that hold such messages are written anew, together with what is new;
     ``following`` is told to pass over them in the older directories.
@@ -235,15 +240,52 @@ def _replacing(
     changed = known.select("maildir_path").join(again, "maildir_path", "left_semi")
     # One row for each bucket at most.
     buckets = sorted(row[0] for row in changed.select(bucket_of()).distinct().collect())
-    whole = {}
+    whole, went = {}, {}
     for name, frame in tables.items():
         old = store.rows_of_buckets(following, name, buckets)
+        went[name] = old.join(again, "maildir_path", "left_semi")
         whole[name] = incremental.replace_children(old, frame.select(*old.columns), again)
         following[name] = [
             Directory(d.path, tuple(sorted({*d.without, *buckets})))
             for d in following.get(name, [])
         ]
-    return whole
+    return whole, went
+
+
+def _differences(
+    store: IndexStore,
+    current: dict[str, list[Directory]],
+    came: dict[str, DataFrame],
+    went: dict[str, DataFrame],
+) -> dict[str, DataFrame]:
+    """What a run changes of the counts, by the rows that came and went.
+
+    An index that was begun without counts gets those of all that it holds, once.
+    """
+    if not current.get("facet_counts"):
+        came = {
+            name: store.read_from(current, name).select(*wanted).unionByName(frame.select(*wanted))
+            for name, frame in came.items()
+            if (wanted := COUNTED.get(name))
+        }
+    none = {name: frame.filter(F.lit(False)) for name, frame in came.items()}
+    old = went or none
+    digests = counts.digest_differences(came["occurrences"], old["occurrences"])
+    return {
+        # In order, so that the files of a page's digests can be told from others.
+        "digest_counts": digests.repartitionByRange("sha256").sortWithinPartitions("sha256"),
+        "facet_counts": counts.facet_differences(
+            came["occurrences"], old["occurrences"], came["messages"], old["messages"], came["blobs"]
+        ),
+    }
+
+
+#: What the counts need of each table.
+COUNTED = {
+    "occurrences": ["sha256", "size", "year", "folder"],
+    "messages": ["maildir_path"],
+    "blobs": ["size"],
+}
 
 
 def _write_all(

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MaillodeError
+from ..operators.counts import DIGESTS, FACETS
 
 SCHEMAS = {
     "messages": "maildir_path string, folder string, mtime double, size long,"
@@ -38,6 +39,9 @@ SCHEMAS = {
     " blob_path string, sniffed_type string, sniffed_ext string, folder string,"
     " direction string, subject string, from_addr string, from_raw string, to_raw string,"
     " date_parsed string, year string",
+    # What each run changed of copies and facets; their sums are what there is.
+    "digest_counts": DIGESTS,
+    "facet_counts": FACETS,
     "failures": "run string, maildir_path string, part_path string, problem string",
     "runs": "run string, scanned long, indexed long, skipped long, attachments long,"
     " new_blobs long, dup_blobs long, errors long",
