@@ -181,6 +181,26 @@ def page_two(spark, sf_dir):
     return _listed(spark, sf_dir, BrowseParams(page=1))
 
 
+@query("page_after", sql.page(f"{EVERY} WHERE {QUIET}", "name", number=1))
+def page_after(spark, sf_dir):
+    """The second page, found by the sort key of the first one's last row."""
+    view = corpus.occurrences(spark, sf_dir)
+    params = BrowseParams(collapse=False, sort="name")
+    last = b.listing(view, view, params).orderBy(F.desc("pos")).first()
+    if last is None:
+        return b.listing(view, view, b.next_page(params))
+    return b.listing(view, view, params, after=last.asDict())
+
+
+@query("page_of_kept_order", sql.page(sql.collapsed(EVERY), "size", number=2))
+def page_of_kept_order(spark, sf_dir):
+    """The third page, from an order that is written once for all pages."""
+    view = corpus.occurrences(spark, sf_dir)
+    path = corpus.scratch(spark, "order")
+    b.keep_listing(view, view, BrowseParams(noise=True, sort="size"), path)
+    return b.kept_page(view, view, path, page=2)
+
+
 def _sort_query(sort: str, collapse_rows: bool) -> None:
     rows = sql.collapsed(EVERY) if collapse_rows else EVERY
 

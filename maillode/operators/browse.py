@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.names import effective_type
-from ..functions.text import ascii_fold, like_ascii
+from ..functions.text import like_ascii
 from ..sources.scratch import scratch
 from .dedup import (
     OCCURRENCE_KEY,
@@ -21,6 +21,7 @@ from .dedup import (
     representatives,
     with_copies,
 )
+from .paging import SortKey, page_after, page_in_order, write_order
 
 PAGE_SIZE = 120
 
@@ -146,18 +147,24 @@ def browse(view: DataFrame, attachments: DataFrame, params: BrowseParams) -> Dat
     return only_duplicated(view, attachments) if params.dupes else view
 
 
-def sort_order(sort: str) -> list[Column]:
-    """Total order of a sort key; an unknown key means newest first."""
-    up = [F.asc(c) for c in OCCURRENCE_KEY]
-    down = [F.desc(c) for c in OCCURRENCE_KEY]
-    orders = {
-        "date": [F.desc_nulls_last("date_parsed"), *down],
-        "oldest": [F.asc_nulls_first("date_parsed"), *up],
-        "size": [F.desc("size"), F.asc("sha256"), *up],
-        "name": [ascii_fold(F.col("filename")).asc_nulls_first(), F.asc("sha256"), *up],
-        "dupes": [F.desc("copies"), F.asc("sha256"), *up],
+def sort_keys(sort: str) -> list[SortKey]:
+    """The columns of a sort, down to a row's own key; an unknown sort means newest first."""
+    up = [SortKey(c, True) for c in OCCURRENCE_KEY]
+    down = [SortKey(c, False) for c in OCCURRENCE_KEY]
+    digest = SortKey("sha256", True)
+    keys = {
+        "date": [SortKey("date_parsed", False), *down],
+        "oldest": [SortKey("date_parsed", True), *up],
+        "size": [SortKey("size", False), digest, *up],
+        "name": [SortKey("filename", True, folded=True), digest, *up],
+        "dupes": [SortKey("copies", False), digest, *up],
     }
-    return orders.get(sort, orders["date"])
+    return keys.get(sort, keys["date"])
+
+
+def sort_order(sort: str) -> list[Column]:
+    """Total order of a sort."""
+    return [key.order() for key in sort_keys(sort)]
 
 
 def page_of(rows: DataFrame, order: list[Column], page: int, size: int = PAGE_SIZE) -> DataFrame:
@@ -173,56 +180,78 @@ def page_of(rows: DataFrame, order: list[Column], page: int, size: int = PAGE_SI
 def deep_page(rows: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
     """A page far down a long listing, without a single task seeing all rows.
 
-    The sorted rows are checkpointed so that both passes see the same
-    partitions; only one count per partition is brought together.
+    The order is written to be read once. Who turns more such pages keeps it
+    (:func:`keep_listing`) or goes on from the last row (``after`` of :func:`listing`).
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
-    serial = F.monotonically_increasing_id()
-    per_partition = F.lit(1 << 33)
-    ordered = (
-        rows.orderBy(*order)
-        .withColumn("__serial", serial)
-        .withColumn("__part", F.floor(F.col("__serial") / per_partition).cast("long"))
-        .checkpoint()
-    )
-    counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
-    )
-    pos = F.col("__before") + F.col("__serial") - F.col("__part") * per_partition + 1
-    numbered = ordered.join(F.broadcast(offsets), "__part").withColumn("pos", pos)
-    return numbered.filter((F.col("pos") > skip) & (F.col("pos") <= skip + size)).drop(
-        "__serial", "__part", "__before"
-    )
+    path = scratch(rows.sparkSession, "order")
+    write_order(rows, order, path)
+    return page_in_order(rows.sparkSession, path, skip, size)
+
+
+def listed_keys(view: DataFrame, attachments: DataFrame, params: BrowseParams) -> DataFrame:
+    """The rows of a whole listing, narrowed to the columns that sorts need."""
+    rows = browse(view, attachments, params)
+    keys = rows.select(*OCCURRENCE_KEY, "sha256", "date_parsed", "size", "filename")
+    if params.collapse:
+        keys = representatives(keys, "size", "filename")
+    if params.sort != "dupes":
+        return keys
+    if params.collapse:
+        # Both sides hold a digest once and are already spread by it.
+        return keys.join(digest_counts(attachments), "sha256")
+    return with_copies(keys, attachments)
 
 
 def listing(
-    view: DataFrame, attachments: DataFrame, params: BrowseParams, size: int = PAGE_SIZE
+    view: DataFrame,
+    attachments: DataFrame,
+    params: BrowseParams,
+    size: int = PAGE_SIZE,
+    after: Mapping | None = None,
 ) -> DataFrame:
     """One page of a listing: filter, collapse, sort, cut, then count copies.
 
     The representative of a file is chosen among the rows that match, its
     copies are counted among all. Unless the sort needs the counts, they are
     taken for the files of the page alone.
+
+    ``after`` is the last row of a page, as a mapping. The page is then the one that follows it,
+    found by its sort key, and the page number doesn't count.
     """
-    rows = browse(view, attachments, params).select(*LISTED)
-    order = sort_order(params.sort)
-    keys = rows.select(*OCCURRENCE_KEY, "sha256", "date_parsed", "size", "filename")
-    if params.collapse:
-        keys = representatives(keys, "size", "filename")
-    if params.sort == "dupes":
-        if params.collapse:
-            # Both sides hold a digest once and are already spread by it.
-            keys = keys.join(digest_counts(attachments), "sha256")
-        else:
-            keys = with_copies(keys, attachments)
-    # The page is cut on narrow rows; the others of its columns are fetched for it alone.
-    page = page_of(keys, order, params.page, size)
+    keys = listed_keys(view, attachments, params)
+    if after is None:
+        page = page_of(keys, sort_order(params.sort), params.page, size)
+    else:
+        page = page_after(keys, sort_keys(params.sort), after, size)
+    return whole_rows(view, attachments, page, size)
+
+
+def keep_listing(
+    view: DataFrame, attachments: DataFrame, params: BrowseParams, path: str
+) -> None:
+    """Write the order of a listing to ``path``, a new folder, for :func:`kept_page`.
+
+    It stays what it was when mail comes in; a new one is kept for the new version then.
+    """
+    keys = listed_keys(view, attachments, params)
+    write_order(keys, sort_order(params.sort), path)
+
+
+def kept_page(
+    view: DataFrame, attachments: DataFrame, path: str, page: int, size: int = PAGE_SIZE
+) -> DataFrame:
+    """A page of a kept listing, however far down, from the few files that hold its keys."""
+    keys = page_in_order(view.sparkSession, path, page * size, size)
+    return whole_rows(view, attachments, keys, size)
+
+
+def whole_rows(
+    view: DataFrame, attachments: DataFrame, page: DataFrame, size: int
+) -> DataFrame:
+    """A page's rows with all columns that are listed, fetched for the page alone."""
     known = [c for c in ("pos", "copies") if c in page.columns]
-    fetched = rows.join(F.broadcast(page.select(*OCCURRENCE_KEY, *known)), list(OCCURRENCE_KEY))
+    keys = page.select(*OCCURRENCE_KEY, *known)
+    fetched = view.select(*LISTED).join(F.broadcast(keys), list(OCCURRENCE_KEY))
     if "copies" not in known:
         fetched = count_on_page(fetched, attachments)
     return fetched.select(*LISTED, "pos", "copies").orderBy("pos").limit(size)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maillode.operators import browse as b
-from maillode.operators import dedup, reports
+from maillode.operators import dedup, paging, reports
 from maillode.operators.browse import BrowseParams
 from maillode.operators.incremental import replace_children, unseen, upsert
 
@@ -133,6 +133,74 @@ def test_deep_pages_equal_shallow_ones(skewed, monkeypatch):
     assert sorted(shallow) == sorted(deep) and len(deep) == b.PAGE_SIZE
 
 
+@pytest.mark.parametrize("sort", ["date", "oldest", "size", "name", "dupes"])
+@pytest.mark.parametrize("collapse", [True, False])
+def test_turning_pages_by_the_last_row_gives_the_listing(spark, sort, collapse):
+    """Undated rows, files without a name and equal values on both sides of a page's end."""
+    rows = [
+        occurrence(
+            i, "abcdef"[i * i % 6], size=i % 3, filename=(None, "B", "a", "b")[i % 4],
+            date_parsed=None if i % 3 == 0 else f"20{i % 5:02d}-01-01T00:00:00+00:00",
+        )
+        for i in range(40)
+    ]
+    view = spark.createDataFrame(rows, SCHEMA)
+    params = BrowseParams(collapse=collapse, sort=sort)
+    whole = b.listing(view, view, params, size=100).orderBy("pos").collect()
+    got, last = [], None
+    while True:
+        found = b.listing(view, view, params, size=7, after=last).orderBy("pos").collect()
+        if not found:
+            break
+        got += found
+        last = found[-1].asDict()
+    assert got == whole and len(whole) == (40 if not collapse else view.select("sha256").distinct().count())
+
+
+def test_the_key_of_the_last_row_reaches_the_scan(skewed, tmp_path):
+    skewed.write.parquet(f"{tmp_path}/view")
+    stored = skewed.sparkSession.read.parquet(f"{tmp_path}/view")
+    keys = b.sort_keys("date")
+    last = {"date_parsed": "2004-01-01T00:00:00+00:00", "maildir_path": "/m", "part_path": "2", "pos": 7}
+    page = paging.page_after(stored, keys, last, 10)
+    mode = skewed.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = page._jdf.queryExecution().explainString(mode)
+    pushed = next(line for line in plan.split("\n") if line.startswith("PushedFilters"))
+    assert "LessThan(date_parsed" in pushed and "LessThan(maildir_path" in pushed
+
+
+def test_kept_orders_read_the_files_of_a_page(spark, skewed, tmp_path):
+    """Forty files of which a page of ten rows touches three at most, wherever it lies."""
+    params = BrowseParams(noise=True, collapse=False, sort="oldest")
+    path = f"{tmp_path}/order"
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 8)
+    try:
+        b.keep_listing(skewed, skewed, params, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    files = spark.read.parquet(f"{path}/files")
+    assert files.count() >= 38 and files.agg(F.sum("n")).first()[0] == 300
+    whole = b.listing(skewed, skewed, params, size=300).orderBy("pos").collect()
+    for page in (0, 13, 29):
+        keys = paging.page_in_order(spark, path, page * 10, 10)
+        assert not any("Sort" in line or "rangepartitioning" in line for line in physical(keys))
+        got = b.kept_page(skewed, skewed, path, page, size=10).orderBy("pos").collect()
+        assert got == whole[page * 10 : page * 10 + 10]
+    rows = files.orderBy("first").collect()
+    away = [r.file for r in rows[1:] if r.before >= 140 or r.before + r.n <= 130]
+    assert len(away) >= len(rows) - 4  # the first one's footer tells the schema
+    for name in away:
+        with open("/" + name.removeprefix("file:").lstrip("/"), "r+b") as handle:
+            handle.truncate(3)
+    got = b.kept_page(skewed, skewed, path, 13, size=10).orderBy("pos").collect()
+    assert got == whole[130:140]
+    assert b.kept_page(skewed, skewed, path, 30, size=10).count() == 0
+    b.keep_listing(skewed, skewed, BrowseParams(noise=True, sort="dupes"), f"{tmp_path}/dupes")
+    assert b.kept_page(skewed, skewed, f"{tmp_path}/dupes", 0).first().copies == 100
+    b.keep_listing(skewed.limit(0), skewed, params, f"{tmp_path}/empty")
+    assert b.kept_page(skewed, skewed, f"{tmp_path}/empty", 0).count() == 0
+
+
 @pytest.mark.parametrize("hot_rows", [1, 50, 10**6])
 def test_joins_give_the_same_rows_however_hot_keys_are_split(skewed, hot_rows):
     counts = {r.sha256: r.copies for r in dedup.digest_counts(skewed).collect()}
