@@ -293,8 +293,8 @@ def header_decode(spark, sf_dir):
             )
         )
     )
-    documents = _documents(spark, sf_dir)
-    return documents.select(i.alias("doc_id"), headers.decode_words(raw).alias("decoded"))
+    mail = _documents(spark, sf_dir).select(i.alias("doc_id"), raw.alias("raw"))
+    return mail.select("doc_id", headers.decode_words(F.col("raw")).alias("decoded"))
 
 
 @query(

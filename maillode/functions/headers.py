@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from email.header import decode_header, make_header
 from email.utils import parsedate_to_datetime
 from functools import reduce
@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import blank_to_null, strip
+from .text import PY_SPACE, blank_to_null, strip
 
 # Words that mark a folder of sent mail, matched whole in any case.
 SENT_WORDS = ("sent", "gesendet", "ausgang", "outbox", "postausgang")
@@ -23,6 +23,24 @@ EPOCH_PREFIX = r"^(\d{9,11})\."
 FOLDER_YEAR = r"\.(19[89]\d|20[0-4]\d)(?:\.|\z)"
 YEAR_AFTER, YEAR_BEFORE = 1980, 2100
 
+# Where lines end and what counts as blank in a header of ASCII letters, and beside
+# which letters an encoded word needs no space.
+LINE_END = r"[\n\r\x0b\x0c\x1c-\x1e]"
+BLANK = r"[\t-\r\x1c-\x20]"
+NO_SPACE_AT = r"[\t-\r\x1c-\x20()\\]"
+
+# Up to the first ?= of its line, written so that no step is taken back in a long word.
+_IN_WORD = r"[^?\n\r]*+"
+ENCODED_WORD = rf"=\?[^?]*+\?[qQbB]\?{_IN_WORD}(?:\?(?!=){_IN_WORD})*+\?="
+# Encoded words that Column expressions can decode: the letter each character set goes by, and
+# what may stand in a word.
+NATIVE_SETS = {"u": "utf-8", "l": "iso-8859-1"}
+_QUARTET = "[A-Za-z0-9+/]"
+NATIVE_WORD = (
+    rf"\A=\?(?i:{'|'.join(NATIVE_SETS.values())})\?(?:[qQ]\?[\t -~]*+\z"
+    rf"|[bB]\?(?:{_QUARTET}{{4}})*+(?:{_QUARTET}{{2}}(?:==)?|{_QUARTET}{{3}}=?)?\?=\z)"
+)
+
 
 def rfc2047(raw: str | None) -> str | None:
     """Decode encoded words; text that will not decode is returned as it came."""
@@ -49,10 +67,143 @@ def _decoded(raw: pd.Series) -> pd.Series:
 
 
 def decode_words(raw: Column) -> Column:
-    """Column form of :func:`rfc2047`; only text with encoded words goes to Python."""
-    encoded = F.contains(raw, F.lit("=?"))
-    plain = blank_to_null(strip(raw))
-    return F.when(encoded, _decoded(F.when(encoded, raw))).otherwise(plain)
+    """A header's text with its encoded words decoded, NULL where nothing is left of it.
+
+    What :func:`is_native` accepts is decoded by :func:`native_words`; only headers with other
+    character sets, stray letters or broken base64 carry their text to Python.
+    """
+    marked = F.contains(raw, F.lit("=?"))
+    plain = _let(strip(raw), blank_to_null)
+    rare = _decoded(F.when(marked & (_word_state(raw) == "rare"), raw))
+    here = _word_state(raw, {"plain": plain, "native": native_words(raw), "rare": F.lit(None)})
+    return F.when(marked, F.coalesce(rare, here)).otherwise(plain)
+
+
+def _word_state(raw: Column, results: Mapping[str, Column] | None = None) -> Column:
+    """Whether a header has encoded words, and whether Column expressions can decode it.
+
+    The result is one of plain, native and rare, or what ``results`` has for it.
+    """
+    results = results or {state: F.lit(state) for state in ("plain", "native", "rare")}
+    words = F.regexp_extract_all(raw, F.lit(ENCODED_WORD), 0)
+    ascii_only = F.length(raw) == F.octet_length(raw)
+    return _let(
+        words,
+        lambda found: F.when(F.size(found) == 0, results["plain"])
+        .when(ascii_only & F.forall(found, lambda w: w.rlike(NATIVE_WORD)), results["native"])
+        .otherwise(results["rare"]),
+    )
+
+
+def is_native(raw: Column) -> Column:
+    """Whether a header has encoded words, all well-formed and in utf-8 or latin-1, among ASCII."""
+    return _word_state(raw) == "native"
+
+
+def native_words(raw: Column) -> Column:
+    """:func:`rfc2047` for headers that :func:`is_native` accepts, as Column expressions.
+
+    Neighbouring words in one character set are decoded as one, so that a letter may be split
+    between them; blanks between two words are dropped. Each piece of the header is written as a
+    letter for its kind and its bytes in hex, so that neighbours of a kind are found by a pattern.
+    """
+    lines = F.transform(F.split(raw, LINE_END), lambda line: F.ltrim(line, F.lit(PY_SPACE)))
+    pieces = F.flatten(F.transform(lines, _pieces))
+    coded = _let(pieces, lambda all_: F.array_join(F.transform(_without_gaps(all_), _coded), ""))
+    kinds = "|".join(f"(?:{kind}[0-9A-F]*+)++" for kind in ("t", *NATIVE_SETS))
+    runs = F.transform(F.regexp_extract_all(coded, F.lit(kinds), 0), _run_text)
+    joined = _let(
+        runs,
+        lambda texts: F.when(
+            F.exists(texts, lambda t: t["text"].isNull()), F.lit(None).cast("string")
+        ).otherwise(F.array_join(F.transform(texts, lambda t, i: _spaced(t, i, F.size(texts))), "")),
+    )
+    return _let(strip(F.coalesce(joined, raw)), blank_to_null)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(line: Column) -> Column:
+    """A line's texts and encoded words in turn, as (word, body)."""
+    texts = F.split(line, ENCODED_WORD)
+    words = F.regexp_extract_all(line, F.lit(ENCODED_WORD), 0)
+
+    def pair(text: Column, word: Column) -> Column:
+        kind = F.lit("t")
+        head = F.lit(0)
+        start = F.lower(F.substring(word, 1, max(map(len, NATIVE_SETS.values())) + 3))
+        for letter, name in NATIVE_SETS.items():
+            found = F.startswith(start, F.lit(f"=?{name}?"))
+            kind = F.when(found, letter).otherwise(kind)
+            head = F.when(found, len(name) + 5).otherwise(head)
+        encoding = F.lower(F.substring(word, head - 1, F.lit(1)))
+        body = F.substring(word, head + 1, F.length(word) - head - 2)
+        plain = F.struct(
+            F.lit("t").alias("kind"), F.lit(None).cast("string").alias("encoding"), text.alias("body")
+        )
+        return F.array(
+            plain, F.struct(kind.alias("kind"), encoding.alias("encoding"), body.alias("body"))
+        )
+
+    both = F.flatten(F.zip_with(texts, words, pair))
+    return F.filter(both, lambda p: F.when(p["kind"] == "t", p["body"] != "").otherwise(True))
+
+
+def _without_gaps(pieces: Column) -> Column:
+    """Without blank pieces that stand between two encoded words."""
+
+    def kept(piece: Column, i: Column) -> Column:
+        around = [F.get(pieces, i + step)["kind"] for step in (-1, 1)]
+        between = (F.coalesce(around[0], F.lit("t")) != "t") & (
+            F.coalesce(around[1], F.lit("t")) != "t"
+        )
+        return ~(between & piece["body"].rlike(rf"\A{BLANK}+\z"))
+
+    return F.filter(pieces, kept)
+
+
+def _coded(piece: Column) -> Column:
+    body = piece["body"]
+    missing = F.pmod(-F.length(body), F.lit(4))
+    base64 = F.hex(F.unbase64(F.concat(body, F.repeat(F.lit("="), missing))))
+    tokens = F.regexp_extract_all(
+        F.replace(body, F.lit("_"), F.lit(" ")),
+        F.lit("(?:=[0-9A-Fa-f]{2})++|[^=]++|="), 0,
+    )
+    quoted = F.transform(
+        tokens,
+        lambda t: F.when(t.rlike("^=[0-9A-Fa-f]"), F.upper(F.replace(t, F.lit("="), F.lit(""))))
+        .otherwise(F.hex(t)),
+    )
+    return F.concat(
+        piece["kind"],
+        F.when(piece["kind"] == "t", F.hex(body))
+        .when(piece["encoding"] == "b", base64)
+        .otherwise(F.array_join(quoted, "")),
+    )
+
+
+def _run_text(run: Column) -> Column:
+    """(kind, text) of neighbours of one kind; texts are set apart by a space, words aren't."""
+    kind = F.substring(run, 1, 1)
+    rest = F.substring(run, F.lit(2), F.length(run))
+    raw = F.unhex(F.replace(rest, kind, F.when(kind == "t", "20").otherwise("")))
+    text = F.when(kind == "l", F.decode(raw, "ISO-8859-1")).when(
+        F.is_valid_utf8(raw), F.decode(raw, "UTF-8")
+    )
+    return F.struct(kind.alias("kind"), text.alias("text"))
+
+
+def _spaced(run: Column, i: Column, n: Column) -> Column:
+    """A text keeps apart from the words beside it, unless a blank or a bracket does so."""
+    text = run["text"]
+    apart = F.lit(" ")
+    before = F.when((i > 0) & ~text.rlike(rf"\A{NO_SPACE_AT}"), apart).otherwise("")
+    after = F.when((i < n - 1) & ~text.rlike(rf"{NO_SPACE_AT}\z"), apart).otherwise("")
+    return F.when(run["kind"] == "t", F.concat(before, text, after)).otherwise(text)
 
 
 def folder_of(path: Column, root: str) -> Column:

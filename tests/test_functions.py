@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 
 import pytest
@@ -83,7 +84,7 @@ def test_charset_ladder_equals_the_python_decoders(spark):
     rng = random.Random(7)
     raws = [bytes([b]) for b in range(256)]
     raws += [bytes(rng.choices(range(256), k=rng.randint(0, 6))) for _ in range(400)]
-    raws += ["Grüße aus München".encode("cp1252"), b"\x81\x8d\x8f\x90\x9d", "“hello”".encode("cp1252")]
+    raws += ["Süßholz à la crème".encode("cp1252"), b"\x81\x8d\x8f\x90\x9d", "‘tea’ — 3 €".encode("cp1252")]
     got = apply(
         spark, raws, lambda c: F.struct(text.decode_ladder(c), text.charset_of(c)), "binary"
     )
@@ -148,14 +149,63 @@ def test_like_folds_ascii_only_and_knows_no_escape(spark):
 
 
 def test_header_decoding(spark):
-    raws = ["=?utf-8?q?Gr=C3=BC=C3=9Fe?=", None, " =?bogus-charset?q?abc?= ", "  ", "plain"]
-    assert apply(spark, raws, headers.decode_words) == [
-        "Grüße",
-        None,
-        "=?bogus-charset?q?abc?=",
-        None,
-        "plain",
-    ]
+    cases = {
+        "=?utf-8?q?caf=C3=A9_no=C3=ABl?=": "café noël",
+        None: None,
+        "\t=?x-nowhere?q?quay?= ": "=?x-nowhere?q?quay?=",
+        " \t ": None,
+        "Minutes of May": "Minutes of May",
+        "=?koi8-r?b?yQ==?=": "и",
+        # A letter split between two words, blanks between words, and texts beside them.
+        "=?utf-8?b?w?=\r\n =?utf-8?b?6k=?=": "=?utf-8?b?w?=\r\n =?utf-8?b?6k=?=",
+        "=?utf-8?q?=C3?=\r\n =?utf-8?q?=A9?=": "é",
+        "=?utf-8?q?=C3?= x": "=?utf-8?q?=C3?= x",
+        "(=?utf-8?q?a?=)=?iso-8859-1?q?=E9?=b": "(a)é b",
+    }
+    assert apply(spark, list(cases), headers.decode_words) == list(cases.values())
+
+
+def random_headers(rng):
+    """Words of both kinds, sound and broken, in several character sets, among odd texts."""
+    odd = [
+        "plain", "a b", "(c", "d)", "x\\", " ", "\t", "\r\n ", "\n", "\x0b", "=?", "?=", "=", "ü", "Ω", "",
+        "  \x1c", "\x85", "\u2028", "\x00", "=?utf-8?q? ?=", "=?utf-8?q??=", "=?utf-8?b??=",
+        "=?utf-8?b?QQ?=", "=?utf-8?b?QQ=?=", "=?utf-8?b?Q?=", "=?utf-8?b?QUI=?=", "=?utf-8?b?w7w?=",
+        "=?utf-8?q?=C3?=", "=?utf-8?q?=BC?=", "=?iso-8859-1?q?=E4_=zz=?=", "=?x?q?a", "=?bogus?q?a?=",
+        "=?us-ascii?q?a?=", "=?windows-1252?q?=80?=", "=?utf-8?q?a?b??=", "=?utf8?q?=C3=BC?=",
+        "=?utf-8*en?q?x?=", "=?a\nb?q?c?=", "=?utf-8?Q?=ED=A0=80?=", "=?utf-8?q?=EF=BB=BFx?=",
+    ]
+
+    def word():
+        charset = rng.choice(["utf-8", "UTF-8", "iso-8859-1"])
+        raw = rng.choice(["Süß", "a", "x y", "5 €", "", " lead", "tail ", "😀"]).encode(charset, "replace")
+        if rng.random() < 0.5:
+            return f"=?{charset}?{rng.choice('bB')}?{base64.b64encode(raw).decode()}?="
+        return f"=?{charset}?{rng.choice('qQ')}?{''.join(f'={c:02X}' if c != 32 else '_' for c in raw)}?="
+
+    for _ in range(1500):
+        kinds = rng.choices([word, lambda: rng.choice([" ", "\r\n ", "text", "("]), lambda: rng.choice(odd)], (5, 3, 2), k=rng.randint(1, 6))
+        yield "".join(make() for make in kinds)
+
+
+def test_header_decoding_equals_the_library(spark):
+    raws = list(random_headers(random.Random(5)))
+    got = apply(spark, raws, lambda c: F.struct(headers.decode_words(c), headers.is_native(c)))
+    assert [r[0] for r in got] == [headers.rfc2047(raw) for raw in raws]
+    assert sum(r[1] for r in got) > 500
+    native = [raw for raw, r in zip(raws, got, strict=True) if r[1]]
+    assert apply(spark, native, headers.native_words) == [headers.rfc2047(raw) for raw in native]
+
+
+def test_common_headers_stay_out_of_python(spark):
+    """Words in utf-8 and latin-1 are decoded without Python, and long ones in one pass."""
+    long = "=?utf-8?q?" + "=C3=A9" * 300_000 + "?="
+    many = "\r\n ".join(["=?iso-8859-1?q?=E9?="] * 20_000)
+    frame = spark.createDataFrame([(long,), (many,)], "v string")
+    decoded = frame.select(headers.native_words(F.col("v")).alias("d"))
+    assert "Python" not in decoded._jdf.queryExecution().executedPlan().toString()
+    assert [r.d for r in decoded.collect()] == ["é" * 300_000, "é" * 20_000]
+    assert frame.filter(headers.is_native(F.col("v"))).count() == 2
 
 
 def test_date_header_keeps_the_senders_offset():
@@ -173,16 +223,16 @@ def test_date_header_keeps_the_senders_offset():
 @pytest.mark.parametrize(
     ("folder", "expected"),
     [
-        ("Sent", True),
-        (".Gesendet", True),
-        ("sent-mail", True),
-        (".Sent Messages", True),
-        ("Postausgang", True),
-        ("OUTBOX", True),
-        (".Sent.2013", False),
-        ("consent", False),
-        ("dissent", False),
-        ("sentü", False),
+        ("sent", True),
+        (".Postausgang", True),
+        ("Sent/old", True),
+        (".2009.Gesendet", True),
+        ("AUSGANG", True),
+        ("outbox-copy", True),
+        (".Outbox.1999", False),
+        ("presents", False),
+        ("Vorausgang", False),
+        ("ausgangé", False),
     ],
 )
 def test_sent_folders(spark, folder, expected):
@@ -236,8 +286,8 @@ def test_direction(spark):
     assert direction(spark, "x@else.org", ["y@else.org"], ".Gesendet", me) == "out"
     assert direction(spark, "x@else.org", [], "INBOX", []) == "in"
     assert direction(spark, None, None, "INBOX", me) == "unknown"
-    # A suffix test: b@c.org also claims bb@c.org.
-    assert direction(spark, "bb@c.org", [], "INBOX", ["b@c.org"]) == "out"
+    # A suffix test, which claims a longer name before the same end as well.
+    assert direction(spark, "choir-ida@sings.test", [], "INBOX", ["ida@sings.test"]) == "out"
 
 
 def test_names(spark):
