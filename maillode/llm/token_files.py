@@ -35,6 +35,9 @@ from .shared import ARROW_ROWS, arrow_rows
 from .tokens import encoder
 
 END_ID = 0
+#: Pieces that a writing worker remembers (some 200 bytes each). Besides them it holds one batch
+#: of rows only.
+REMEMBERED = 1_000_000
 #: Documents that one reading task takes at most.
 READ_DOCUMENTS = 50_000
 #: The number that stands for a null id.
@@ -78,7 +81,7 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """Encodes ``text`` and appends the end id, in the order of the rows."""
-        encode = encoder(self.vocabulary).batch
+        encode = encoder(self.vocabulary, REMEMBERED).batch
         name = uuid.uuid4().hex
         files, folder = _place(self.path)
         first, documents, ids = NULL_ID, 0, 0

@@ -31,9 +31,10 @@ _LINE_END = re.compile(rf"({_LATIN.pattern})([.,]?)\n(\S+)")
 class BulkEncoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)``, to packed ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(
             token.content for token in self.tokenizer.get_added_tokens_decoder().values()
@@ -108,7 +109,7 @@ class BulkEncoder:
             for k in gaps:
                 ids[k] = known[pieces[k]]
             out[i] += b"".join(ids)
-        if len(known) > REMEMBERED:  # those that came last go again
+        if len(known) > self.remembered:  # those that came last go again
             for piece in missing:
                 del known[piece]
         return out
@@ -147,6 +148,6 @@ class BulkEncoder:
         return array("I", [token.id for token in self.tokenize(seen)]).tobytes()
 
 
-def encoder(path: str) -> BulkEncoder:
-    """The encoder of this worker process."""
-    return lasting(("encoder", path), lambda: BulkEncoder(path))
+def encoder(path: str, remembered: int | None = None) -> BulkEncoder:
+    """The encoder of this worker process that remembers so many pieces."""
+    return lasting(("encoder", path, remembered), lambda: BulkEncoder(path, remembered))

@@ -151,3 +151,11 @@ def test_trie_shares_and_restarts(monkeypatch):
 
 def test_token_counts_of_nothing(none):
     assert token_counts.count_tokens(none, PIECES).collect() == []
+
+
+def test_pieces_that_are_not_remembered_are_encoded_each_time():
+    few = BulkEncoder(BPE, remembered=3)
+    texts = ["one two, three four five", "six two. seven\neight one", None, "", "one two, nine ten"] * 3
+    want = [few.whole(text) if text else b"" for text in texts]
+    assert [few.batch([text])[0] for text in texts] == want == few.batch(texts)
+    assert len(few.known) <= 3 + 4
