@@ -104,9 +104,9 @@ def filter_noise(spark, sf_dir):
 
 @query("filter_sha", _rows(f"sha256 = (SELECT min(sha256) FROM occ WHERE {QUIET}) AND {QUIET}"))
 def filter_sha(spark, sf_dir):
-    quiet = _filtered(spark, sf_dir, BrowseParams())
-    lowest = quiet.agg(F.min("sha256")).first()[0]
-    return _filtered(spark, sf_dir, BrowseParams.from_form({"sha": lowest or ""}))
+    """The digest is found by a subquery of one row, in the job that filters by it."""
+    lowest = _filtered(spark, sf_dir, BrowseParams()).agg(F.min("sha256"))
+    return _filtered(spark, sf_dir, BrowseParams(sha=lowest.scalar()))
 
 
 DOUBLED = "sha256 IN (SELECT sha256 FROM occ GROUP BY sha256 HAVING count(*) > 1)"

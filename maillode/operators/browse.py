@@ -69,7 +69,7 @@ class BrowseParams:
     minsize: int | None = None
     noise: bool = False
     noise_folders: tuple[str, ...] = NOISE_FOLDERS
-    sha: str | None = None
+    sha: str | Column | None = None  # a digest, or a column of one value for all rows
     dupes: bool = False
     collapse: bool = True
     sort: str = "date"
@@ -135,7 +135,7 @@ def conditions(params: BrowseParams) -> list[Column]:
         found.append(F.col("size") >= params.minsize * 1024)
     if not params.folder and not params.noise:
         found.append(~F.col("folder").isin(*params.noise_folders))
-    if params.sha:
+    if isinstance(params.sha, Column) or params.sha:
         found.append(F.col("sha256") == params.sha)
     return found
 

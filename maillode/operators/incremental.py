@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+from .paging import page_in_order, write_order
+
 FILE_STATE = ["maildir_path", "mtime", "size"]
 
+#: Up to so many files the first ones are found as a top-k, which ends in one task.
+TOP_FILES = 20_000
+
 
 def skip_known(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose path, time and size are not all as stored. Run before reading bytes."""
@@ -14,19 +20,30 @@ def skip_known(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def first_files(
-    files: DataFrame, limit: int | None, failed: DataFrame | None = None
+    files: DataFrame,
+    limit: int | None,
+    failed: DataFrame | None = None,
+    top_files: int = TOP_FILES,
 ) -> DataFrame:
     """At most ``limit`` files of a run, lowest paths first; all for None or 0.
 
-    Files that failed in an earlier run come last, so they cannot hold up the rest.
+    Files that failed in an earlier run come last, so they cannot hold up the rest. Beyond
+    ``top_files``, a matter of cost alone, the files are sorted into ranges and written, and
+    the first of these are read: no task has all files of the run.
     """
     if not limit:
         return files
-    if failed is None:
-        return files.orderBy("maildir_path").limit(limit)
-    before = failed.select("maildir_path", F.lit(True).alias("failed_before")).distinct()
-    marked = files.join(before, "maildir_path", "left")
-    return marked.orderBy("failed_before", "maildir_path").limit(limit).drop("failed_before")
+    columns = files.columns
+    order = [F.asc("maildir_path")]
+    if failed is not None:
+        before = failed.select("maildir_path", F.lit(True).alias("failed_before")).distinct()
+        files = files.join(before, "maildir_path", "left")
+        order.insert(0, F.asc("failed_before"))
+    if limit <= top_files:
+        return files.orderBy(*order).limit(limit).select(*columns)
+    path = scratch(files.sparkSession, "first-files")
+    write_order(files, order, path)
+    return page_in_order(files.sparkSession, path, 0, limit).select(*columns)
 
 
 def indexable() -> Column:

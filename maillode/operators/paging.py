@@ -91,17 +91,20 @@ def write_order(rows: DataFrame, order: Sequence[Column], path: str) -> None:
 def page_in_order(spark: SparkSession, path: str, skip: int, size: int) -> DataFrame:
     """Rows ``skip + 1`` to ``skip + size`` of a kept order, with ``pos`` counting from 1.
 
-    Reads the files with such rows, of which there are ``size`` at most.
+    Reads the files with such rows, of which there are ``size`` at most, in as many tasks as
+    they need.
     """
     files = spark.read.parquet(f"{path}/files")
     inside = (F.col("before") < skip + size) & (F.col("before") + F.col("n") > skip)
     found = files.filter(inside).collect()
     stored = spark.read.parquet(f"{path}/rows")
-    rows = stored.withColumn("file", F.col(FILE)).filter(
+    rows = stored.withColumn("__file", F.col(FILE)).filter(
         F.col(FILE).isin([row["file"] for row in found])
     )
-    bounds = spark.createDataFrame(found, files.schema)
-    pos = F.col("before") + F.col("__serial") - F.col("first") + 1
-    numbered = rows.join(F.broadcast(bounds), "file").withColumn("pos", pos)
+    bounds = spark.createDataFrame(found, files.schema).select(
+        F.col("file").alias("__file"), F.col("first").alias("__first"), F.col("before").alias("__before")
+    )
+    pos = F.col("__before") + F.col("__serial") - F.col("__first") + 1
+    numbered = rows.join(F.broadcast(bounds), "__file").withColumn("pos", pos)
     page = numbered.filter((F.col("pos") > skip) & (F.col("pos") <= skip + size))
-    return page.drop("file", "first", "n", "before", "__serial")
+    return page.drop("__file", "__first", "__before", "__serial")

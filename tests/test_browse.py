@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maillode.operators import browse as b
 from maillode.operators import dedup, paging, reports
 from maillode.operators.browse import BrowseParams
-from maillode.operators.incremental import replace_children, unseen, upsert
+from maillode.operators.incremental import first_files, replace_children, unseen, upsert
 
 SCHEMA = (
     "maildir_path string, part_path string, sha256 string, filename string,"
@@ -266,3 +266,21 @@ def test_upserts(spark):
     stored = spark.createDataFrame([("x",)], "sha256 string")
     found = spark.createDataFrame([("x", 1), ("y", 2)], "sha256 string, n int")
     assert [tuple(r) for r in unseen(found, stored).collect()] == [("y", 2)]
+
+
+@pytest.mark.parametrize("failed", [None, ["/m/cur/0000", "/m/cur/0007", "/m/gone"]])
+def test_the_first_files_of_a_run_without_one_task_for_all(spark, skewed, failed):
+    """Found as a top-k or in a written order, they are the same; failed ones come last."""
+    files = skewed.select("maildir_path", "size", F.lit(1).alias("n"), F.lit("x").alias("file"))
+    before = failed and spark.createDataFrame([(path,) for path in failed], "maildir_path string")
+    for limit in (1, 120, 299, 300, 1000):
+        top = first_files(files, limit, before)
+        ranges = first_files(files, limit, before, top_files=0)
+        assert ranges.columns == top.columns == files.columns
+        assert sorted(ranges.collect()) == sorted(top.collect())
+        assert ranges.count() == min(limit, 300)
+        paths = {row.maildir_path for row in ranges.collect()}
+        assert ("/m/cur/0007" in paths) == (limit >= (300 if failed else 120))
+        assert not any("TakeOrdered" in line or "GlobalLimit" in line for line in physical(ranges))
+    assert first_files(files, 0, before) is files
+    assert first_files(files.limit(0), 5, before, top_files=0).count() == 0
