@@ -29,8 +29,9 @@ def _slot(gram: Column) -> Column:
 def trigram_bitmaps(rows: DataFrame) -> DataFrame:
     """(file, bitmap) of the folded trigrams in the columns that are searched.
 
-    ``rows`` have these columns and their ``file``. Bitmaps are merged in the tasks that read a
-    file, so that a row of fixed size leaves them.
+    ``rows`` have these columns and their ``file``. The slots of a file are made distinct by hash
+    in the tasks that read it, so that at most ``SLOTS`` rows a file leave them: Spark sorts what
+    it makes a bitmap of, and would otherwise sort every trigram of every row.
     """
 
     def grams(column: str) -> Column:
@@ -40,11 +41,20 @@ def trigram_bitmaps(rows: DataFrame) -> DataFrame:
 
     distinct = F.array_distinct(F.concat(*[grams(c) for c in SEARCHED]))
     found = rows.select("file", F.explode(distinct).alias("gram"))
-    return found.groupBy("file").agg(F.bitmap_construct_agg(_slot(F.col("gram"))).alias("bitmap"))
+    slots = found.select("file", _slot(F.col("gram")).alias("slot")).distinct()
+    return slots.groupBy("file").agg(F.bitmap_construct_agg("slot").alias("bitmap"))
 
 
 def update_bitmaps(occurrences: DataFrame, path: str) -> None:
     """Add the bitmaps of files that ``path`` has none of; files never change once written."""
+    trigram_bitmaps(new_rows(occurrences, path)).write.mode("append").parquet(path)
+
+
+def new_rows(occurrences: DataFrame, path: str) -> DataFrame:
+    """(file, searched columns) of the rows in files that ``path`` has no bitmaps of.
+
+    The names of known files go to the tasks that read, so that no text is shuffled by its file.
+    """
     spark = occurrences.sparkSession
     try:
         known = spark.read.parquet(path).select("file")
@@ -53,8 +63,7 @@ def update_bitmaps(occurrences: DataFrame, path: str) -> None:
             raise
         known = spark.createDataFrame([], "file string")
     rows = occurrences.select(F.col(FILE).alias("file"), *SEARCHED)
-    new = rows.join(known, "file", "left_anti")
-    trigram_bitmaps(new).write.mode("append").parquet(path)
+    return rows.join(F.broadcast(known), "file", "left_anti")
 
 
 def trigrams_of(q: str) -> list[str]:

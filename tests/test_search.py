@@ -84,3 +84,26 @@ def test_long_texts_in_one_pass(spark, tmp_path):
     s.update_bitmaps(stored, f"{tmp_path}/b")
     found = s.search(stored, stored, spark.read.parquet(f"{tmp_path}/b"), BrowseParams(q="59999 need", noise=True))
     assert found.count() == 1
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_sorts_texts_or_all_their_trigrams(table, tmp_path):
+    base, stored, _ = table
+    for path in (f"{tmp_path}/none", f"{base}/bitmaps"):
+        plan = _plan(s.trigram_bitmaps(s.new_rows(stored, path)))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        # Printed from the result down: what explodes the trigrams lies below a hash aggregate.
+        below = plan[plan.rindex("Sort ["):]
+        assert "HashAggregate(keys=[file" in below[: below.index("Generate")]
+
+
+def test_bitmaps_hold_each_trigram_once_or_often(spark):
+    rows = [("f", "abcabcabc", "abcd", None, ""), ("f", "ABC", None, None, "xabc"), ("g", "ab", "Zzz", "", "zzz")]
+    frame = spark.createDataFrame(rows, "file string, filename string, subject string, from_raw string, to_raw string")
+    grams = [("f", g) for g in ("abc", "bca", "cab", "bcd", "xab")] + [("g", "zzz")]
+    slots = spark.createDataFrame(grams, "file string, gram string").select("file", s._slot(F.col("gram")).alias("slot"))
+    expected = slots.groupBy("file").agg(F.bitmap_construct_agg("slot").alias("bitmap"))
+    assert sorted(s.trigram_bitmaps(frame).collect()) == sorted(expected.collect())
