@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import encodings.aliases
 import random
 
 import pytest
@@ -208,6 +209,30 @@ def test_common_headers_stay_out_of_python(spark):
     assert frame.filter(headers.is_native(F.col("v"))).count() == 2
 
 
+def in_sets(names):
+    """A word in each set alone, blank, empty, and between and beside words in utf-8."""
+    for name in names:
+        for word in (f"=?{name}?q?a=41?=", f"=?{name}?B?YWI=?=", f"=?{name}?q? ?=", f"=?{name}?q??="):
+            yield word
+            yield f"=?utf-8?q?x?= {word} =?utf-8?q?=C3=A9?= "
+            yield f" see {word}\n(=?koi8-r?b?yQ==?="
+
+
+def test_unknown_character_sets_equal_the_library(spark):
+    """Whether Python is asked or not, the result is its own."""
+    names = [*headers.known_sets(), *encodings.aliases.aliases, "Latin-1", "KOI8-R", "cp 1252", "utf-8*en", "unknown-8bit",
+             "viscii", "nowhere", "x-utf-8", "utf-9", "a\nb", "a\x0bb", "-", "gb2312", "gb-2312", "hex", "mac_roman"]
+    raws = [*in_sets(names), "=?a\nb =?nowhere?q?x?=", "=?utf-8?q?a\x1c=?nowhere?q?x?=", "=?nowhere?q?\x0b?= ?=", "ü =?nowhere?q?x?="]
+    assert apply(spark, raws, headers.decode_words) == [headers.rfc2047(raw) for raw in raws]
+
+
+def test_texts_in_no_known_set_are_not_sent_to_python(spark, monkeypatch):
+    sent = F.udf(lambda raw: None if raw is None else f"sent {len(raw)}")
+    monkeypatch.setattr(headers, "_decoded", sent)
+    raws = ["=?x-nowhere?q?" + "=41" * 90_000 + "?= ", "=?utf-8?q?a?= =?nowhere?b?YQ==?=", "=?koi8-r?b?yQ==?="]
+    assert apply(spark, raws, headers.decode_words) == [raws[0].strip(), raws[1], "sent 17"]
+
+
 def test_date_header_keeps_the_senders_offset():
     dates = {
         "Fri, 3 Oct 2008 19:30:05 -0400": "2008-10-03T19:30:05-04:00",
